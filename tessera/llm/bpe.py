@@ -1,11 +1,10 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
 A word (one match of the split pattern) is an array of byte pieces in hexadecimal. The fold merges the
-leftmost pair of lowest rank until no pair has a rank. Ranks are a literal: an array of bucket strings,
-addressed by the CRC-32 of a piece, each holding a few ``piece rank`` entries. The words of the corpus are
-counted, the ``hot`` most frequent ones (a documented bound) are folded once and become a second literal
-of that form; documents look words up there and fold any other word where it stands. Nothing but the word
-counts is shuffled. Decoding looks ids up in a literal array of pieces and concatenates them.
+leftmost pair of lowest rank until no pair has a rank. Ranks are a literal: an array of small maps,
+addressed by the CRC-32 of a piece. The words of the corpus are counted, the ``hot`` most frequent ones (a
+documented bound) are folded once and become a second literal; documents look words up there and fold any
+other word where it stands. Nothing but the word counts is shuffled. Decoding looks ids up in a literal array of pieces and concatenates them.
 
 Defined results: a null or empty text has no ids; its hash is that of the empty string. Repeated rows are
 encoded each. A word of any length is folded exactly; the cost of one word grows with its length squared.
@@ -22,9 +21,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, read
 
-HOT = 1 << 19
+HOT = 1 << 18
 #: Words longer than this are never hot, so the literal has a size bound.
 HOT_CHARS = 48
+#: Unicode's White_Space, which \\s means in the split pattern (Java's own \\s is ASCII only).
+SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _NONE = 2147483647
 _A, _B = "\x01", "\x02"
 
@@ -34,63 +35,87 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(k): int(v) for k, v in (line.split() for line in f if line.strip())}
 
 
-def _strings(values: list[str]) -> Column:
-    """A literal array of strings, folded once at planning."""
-    return F.from_json(F.lit(json.dumps(values)), "array<string>")
+def _literal(value, kind: str) -> Column:
+    """A nested literal, folded once at planning."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-class Table:
-    """A literal map from string to string: bucket strings addressed by CRC-32."""
+def _bucket(key: Column, n: int) -> Column:
+    return F.pmod(F.crc32(key.cast("binary")), F.lit(n)).cast("int")
 
-    def __init__(self, entries, buckets: int):
-        self.n = max(1, buckets)
-        rows = [[] for _ in range(self.n)]
-        for k, v in entries:
-            rows[zlib.crc32(k.encode()) % self.n].append(f"{_A}{k}{_B}{v}")
-        self.lit = _strings(["".join(r) + _A for r in rows])
+
+class Ranks:
+    """A literal map from piece (in hexadecimal) to rank: an array of small maps addressed by CRC-32."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.n = max(1, len(ranks) // 2)
+        rows: list[dict[str, int]] = [{} for _ in range(self.n)]
+        for k, v in ranks.items():
+            h = k.hex().upper()
+            rows[zlib.crc32(h.encode()) % self.n][h] = v
+        self.lit = _literal(rows, "array<map<string,int>>")
+
+    def get(self, key: Column) -> Column:
+        return F.try_element_at(F.get(self.lit, _bucket(key, self.n)), key)
+
+
+class Hot:
+    """A literal map from word to ids: bucket strings addressed by CRC-32, built on the executors."""
+
+    def __init__(self, words: DataFrame, n: int):
+        entry = F.concat(F.lit(_A), "w", F.lit(_B), "ids")
+        rows = words.groupBy(_bucket(F.col("w"), n).alias("b")).agg(F.array_join(F.sort_array(F.collect_list(entry)), "").alias("row"))
+        self.n, strings = n, [""] * n
+        for b, row in rows.collect():
+            strings[b] = row + _A
+        self.lit = _literal(strings, "array<string>")
 
     def get(self, key: Column) -> Column:
-        row = F.get(self.lit, F.pmod(F.crc32(key.cast("binary")), F.lit(self.n)).cast("int"))
+        row = F.get(self.lit, _bucket(key, self.n))
         rest = F.call_function("substring_index", row, F.concat(F.lit(_A), key, F.lit(_B)), F.lit(-1))
-        # without the key the row comes back whole, and that begins with the mark
-        return F.when(F.startswith(rest, F.lit(_A)), None).otherwise(F.substring_index(rest, _A, 1))
+        # without the key the row comes back whole, and that begins with the mark or is empty
+        return _let(rest, lambda x: F.when(F.startswith(x, F.lit(_A)) | (x == ""), None).otherwise(F.substring_index(x, _A, 1)))
 
 
 def _let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def fold(word: Column, ranks: Table) -> Column:
-    """The ids of a word, joined by commas."""
-    rank = lambda piece: F.coalesce(ranks.get(piece).cast("int"), F.lit(_NONE))
+def fold(word: Column, ranks: Ranks) -> Column:
+    """The ids of a word, joined by commas.
+
+    State: pieces p, and r, where r[i] is the rank of the pair p[i-1], p[i]; both ends of r hold "no rank".
+    """
+    none = F.lit(_NONE)
+    lookup = lambda keys: F.transform(keys, lambda k: F.coalesce(ranks.get(k), none))
+
+    def state(p: Column, r: Column) -> Column:
+        return _let(r, lambda x: F.struct(p.alias("p"), x.alias("r"), F.array_min(x).alias("m")))
 
     def start(p: Column) -> Column:
-        pairs = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), lambda a, b: rank(F.concat(a, b)))
-        return F.struct(p.alias("p"), pairs.alias("r"), F.array_min(pairs).alias("m"))
+        pairs = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), lambda a, b: F.concat(a, b))
+        return state(p, F.concat(F.array(none), lookup(pairs), F.array(none)))
 
     def merge(s: Column) -> Column:
         p, r = s["p"], s["r"]
 
         def at(i: Column) -> Column:
-            n = F.size(p)
-            new = F.concat(F.get(p, i - 1), F.get(p, i))
-            none = F.slice(r, F.lit(1), F.lit(0))
-            left = F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), new)))).otherwise(none)
-            right = F.when(i + 1 < n, F.array(rank(F.concat(new, F.get(p, i + 1))))).otherwise(none)
-            pieces = F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, n))
-            kept = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, n))
-            return _let(kept, lambda k: F.struct(pieces.alias("p"), k.alias("r"), F.array_min(k).alias("m")))
+            def put(new: Column) -> Column:
+                beside = lookup(F.array(F.concat(F.get(p, i - 2), new), F.concat(new, F.get(p, i + 1))))
+                pieces = F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, F.size(p)))
+                return state(pieces, F.concat(F.slice(r, F.lit(1), i - 1), beside, F.slice(r, i + 3, F.size(p))))
+
+            return _let(F.concat(F.get(p, i - 1), F.get(p, i)), put)
 
-        return _let(F.array_position(r, s["m"]).cast("int"), at)
+        return _let(F.array_position(r, s["m"]).cast("int") - 1, at)
 
     def whole(h: Column) -> Column:
-        p = F.regexp_extract_all(h, F.lit(".."), F.lit(0))
-        steps = F.sequence(F.lit(2), F.greatest(F.size(p), F.lit(2)))
-        done = lambda s: F.coalesce(s["m"], F.lit(_NONE)) == _NONE
-        s = F.aggregate(steps, start(p), lambda s, _: F.when(done(s), s).otherwise(merge(s)))
+        p = F.transform(F.sequence(F.lit(1), F.length(h) - 1, F.lit(2)), lambda i: F.substr(h, i, F.lit(2)))
+        steps = F.sequence(F.lit(2), F.greatest(F.length(h) / 2, F.lit(2)).cast("int"))
+        s = F.aggregate(steps, start(p), lambda s, _: F.when(s["m"] == none, s).otherwise(merge(s)))
         return F.array_join(F.transform(s["p"], lambda x: ranks.get(x)), ",")
 
-    return _let(F.hex(word.cast("binary")), lambda h: F.coalesce(ranks.get(h), whole(h)))
+    return _let(F.hex(word.cast("binary")), lambda h: F.coalesce(ranks.get(h).cast("string"), whole(h)))
 
 
 class Codec:
@@ -100,10 +125,10 @@ class Codec:
         ranks = load_ranks(path)
         if sorted(ranks.values()) != list(range(len(ranks))):
             raise ValueError("ranks must be 0..n-1")
-        self.pattern = "(?U)" + pattern
-        self.ranks = Table(((k.hex().upper(), v) for k, v in ranks.items()), len(ranks) // 4)
-        self.pieces = _strings([k.hex().upper() for k in sorted(ranks, key=ranks.get)])
-        self.hot: Table | None = None
+        self.pattern = pattern.replace(r"[^\s", "[^" + SPACE).replace(r"\s", "[" + SPACE + "]").replace(r"\S", "[^" + SPACE + "]")
+        self.ranks = Ranks(ranks)
+        self.pieces = _literal([k.hex().upper() for k in sorted(ranks, key=ranks.get)], "array<string>")
+        self.hot: Hot | None = None
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -120,9 +145,8 @@ class Codec:
                 cut = c + 1
                 break
             left -= n
-        rows = w.where(F.col("c") >= cut).select("w", fold(F.col("w"), self.ranks).alias("ids"))
-        found = rows.toPandas()
-        self.hot = Table(zip(found["w"], found["ids"], strict=True), max(1, len(found) // 8))
+        chosen = w.where(F.col("c") >= cut).select("w", fold(F.col("w"), self.ranks).alias("ids"))
+        self.hot = Hot(chosen, max(1, hot // 8))
         return self
 
     def encode(self, text: Column) -> Column:
