@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, mixing
+from tessera.llm import bpe, mixing, simhash, topk
 
 QUERIES = {
+    "op7_topk": topk.op7_topk,
+    "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
     "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLE = {
+    "op7_topk": topk.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
