@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
 A word (one match of the split pattern) is an array of byte pieces in hexadecimal. The fold merges the
-leftmost pair of lowest rank until no pair has a rank. Ranks are a literal: an array of small maps,
+leftmost pair of lowest rank until no pair has a rank. Ranks are a constant: an array of small maps,
 addressed by the CRC-32 of a piece. The words of the corpus are counted, the ``hot`` most frequent ones (a
-documented bound) are folded once and become a second literal; documents look words up there and fold any
-other word where it stands. Nothing but the word counts is shuffled. Decoding looks ids up in a literal array of pieces and concatenates them.
+documented bound) are folded once and become a second constant; documents look words up there and fold any
+other word where it stands. Constants enter queries as scalar subqueries, which execution turns into
+literals: written into the plan, they would fill the driver's memory with plan descriptions. Nothing but the word counts is shuffled. Decoding looks ids up in a constant array of pieces and concatenates them.
 
 Defined results: a null or empty text has no ids; its hash is that of the empty string. Repeated rows are
 encoded each. A word of any length is folded exactly; the cost of one word grows with its length squared.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, read
 
-HOT = 1 << 18
+HOT = 1 << 19
 #: Words longer than this are never hot, so the literal has a size bound.
 HOT_CHARS = 48
 #: Unicode's White_Space, which \\s means in the split pattern (Java's own \\s is ASCII only).
@@ -35,59 +36,60 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(k): int(v) for k, v in (line.split() for line in f if line.strip())}
 
 
-def _literal(value, kind: str) -> Column:
-    """A nested literal, folded once at planning."""
-    return F.from_json(F.lit(json.dumps(value)), kind)
+def _value(spark: SparkSession, value, kind: str) -> Column:
+    """A nested constant as a one-row scalar subquery: evaluated once for a query, and short in plans."""
+    row = spark.range(1).select(F.from_json(F.lit(json.dumps(value)), kind).alias("v"))
+    return materialize(row, "bpe-constant").scalar()
 
 
 def _bucket(key: Column, n: int) -> Column:
     return F.pmod(F.crc32(key.cast("binary")), F.lit(n)).cast("int")
 
 
+def _let(value: Column, f) -> Column:
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 class Ranks:
-    """A literal map from piece (in hexadecimal) to rank: an array of small maps addressed by CRC-32."""
+    """The map from piece (in hexadecimal) to rank: an array of small maps addressed by CRC-32."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
         self.n = max(1, len(ranks) // 2)
         rows: list[dict[str, int]] = [{} for _ in range(self.n)]
         for k, v in ranks.items():
             h = k.hex().upper()
             rows[zlib.crc32(h.encode()) % self.n][h] = v
-        self.lit = _literal(rows, "array<map<string,int>>")
+        self.value = _value(spark, rows, "array<map<string,int>>")
 
-    def get(self, key: Column) -> Column:
-        return F.try_element_at(F.get(self.lit, _bucket(key, self.n)), key)
+    def get(self, table: Column, key: Column) -> Column:
+        return F.try_element_at(F.get(table, _bucket(key, self.n)), key)
 
 
 class Hot:
-    """A literal map from word to ids: bucket strings addressed by CRC-32, built on the executors."""
+    """A map from word to ids: bucket strings addressed by CRC-32, built on the executors."""
 
     def __init__(self, words: DataFrame, n: int):
         entry = F.concat(F.lit(_A), "w", F.lit(_B), "ids")
         rows = words.groupBy(_bucket(F.col("w"), n).alias("b")).agg(F.array_join(F.sort_array(F.collect_list(entry)), "").alias("row"))
-        self.n, strings = n, [""] * n
+        self.n, strings = n, [_A] * n
         for b, row in rows.collect():
             strings[b] = row + _A
-        self.lit = _literal(strings, "array<string>")
+        self.value = _value(words.sparkSession, strings, "array<string>")
 
-    def get(self, key: Column) -> Column:
-        row = F.get(self.lit, _bucket(key, self.n))
+    def get(self, table: Column, key: Column) -> Column:
+        row = F.get(table, _bucket(key, self.n))
         rest = F.call_function("substring_index", row, F.concat(F.lit(_A), key, F.lit(_B)), F.lit(-1))
-        # without the key the row comes back whole, and that begins with the mark or is empty
-        return _let(rest, lambda x: F.when(F.startswith(x, F.lit(_A)) | (x == ""), None).otherwise(F.substring_index(x, _A, 1)))
+        # without the key the row comes back whole, and that begins with the mark
+        return _let(rest, lambda x: F.when(F.startswith(x, F.lit(_A)), None).otherwise(F.substring_index(x, _A, 1)))
 
 
-def _let(value: Column, f) -> Column:
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
-def fold(word: Column, ranks: Ranks) -> Column:
+def fold(word: Column, ranks: Ranks, table: Column) -> Column:
     """The ids of a word, joined by commas.
 
     State: pieces p, and r, where r[i] is the rank of the pair p[i-1], p[i]; both ends of r hold "no rank".
     """
     none = F.lit(_NONE)
-    lookup = lambda keys: F.transform(keys, lambda k: F.coalesce(ranks.get(k), none))
+    lookup = lambda keys: F.transform(keys, lambda k: F.coalesce(ranks.get(table, k), none))
 
     def state(p: Column, r: Column) -> Column:
         return _let(r, lambda x: F.struct(p.alias("p"), x.alias("r"), F.array_min(x).alias("m")))
@@ -113,21 +115,21 @@ def fold(word: Column, ranks: Ranks) -> Column:
         p = F.transform(F.sequence(F.lit(1), F.length(h) - 1, F.lit(2)), lambda i: F.substr(h, i, F.lit(2)))
         steps = F.sequence(F.lit(2), F.greatest(F.length(h) / 2, F.lit(2)).cast("int"))
         s = F.aggregate(steps, start(p), lambda s, _: F.when(s["m"] == none, s).otherwise(merge(s)))
-        return F.array_join(F.transform(s["p"], lambda x: ranks.get(x)), ",")
+        return F.array_join(F.transform(s["p"], lambda x: ranks.get(table, x)), ",")
 
-    return _let(F.hex(word.cast("binary")), lambda h: F.coalesce(ranks.get(h).cast("string"), whole(h)))
+    return _let(F.hex(word.cast("binary")), lambda h: F.coalesce(ranks.get(table, h).cast("string"), whole(h)))
 
 
 class Codec:
     """Encoding and decoding by one rank file. ``pattern`` is a regular expression whose \\s is Unicode's."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, spark: SparkSession, path: str, pattern: str):
         ranks = load_ranks(path)
         if sorted(ranks.values()) != list(range(len(ranks))):
             raise ValueError("ranks must be 0..n-1")
         self.pattern = pattern.replace(r"[^\s", "[^" + SPACE).replace(r"\s", "[" + SPACE + "]").replace(r"\S", "[^" + SPACE + "]")
-        self.ranks = Ranks(ranks)
-        self.pieces = _literal([k.hex().upper() for k in sorted(ranks, key=ranks.get)], "array<string>")
+        self.ranks = Ranks(spark, ranks)
+        self.pieces = _value(spark, [k.hex().upper() for k in sorted(ranks, key=ranks.get)], "array<string>")
         self.hot: Hot | None = None
 
     def words(self, text: Column) -> Column:
@@ -145,33 +147,47 @@ class Codec:
                 cut = c + 1
                 break
             left -= n
-        chosen = w.where(F.col("c") >= cut).select("w", fold(F.col("w"), self.ranks).alias("ids"))
-        self.hot = Hot(chosen, max(1, hot // 8))
+        self.hot = Hot(self.fold_words(w.where(F.col("c") >= cut).select("w")), max(1, hot // 8))
         return self
 
-    def encode(self, text: Column) -> Column:
-        """The ids of a text, joined by commas."""
-        one = (lambda w: fold(w, self.ranks)) if self.hot is None else (lambda w: F.coalesce(self.hot.get(w), fold(w, self.ranks)))
-        return F.array_join(F.transform(self.words(text), one), ",")
-
-    def decode(self, ids: Column) -> Column:
-        """The bytes of ids joined by commas."""
-        split = F.filter(F.split(ids, ","), lambda i: i != "")
-        return F.unhex(F.array_join(F.transform(split, lambda i: F.get(self.pieces, i.cast("int"))), ""))
-
-
-def default_codec() -> Codec:
+    def _with(self, df: DataFrame, name: str, expr, **constants: Column) -> DataFrame:
+        """``df`` with a column made from constants. Subqueries may not stand in higher-order functions, so they
+        are columns first; each is used once, and the optimizer moves it to its place without copying rows."""
+        for k, v in constants.items():
+            df = df.withColumn(f"__{k}", v)
+        return df.withColumn(name, expr).drop(*(f"__{k}" for k in constants))
+
+    def fold_words(self, df: DataFrame, word_col: str = "w", name: str = "ids") -> DataFrame:
+        return self._with(df, name, _let(F.col("__r"), lambda r: fold(F.col(word_col), self.ranks, r)), r=self.ranks.value)
+
+    def encode(self, docs: DataFrame, text_col: str = "text", name: str = "ids") -> DataFrame:
+        """``docs`` with the ids of a text, joined by commas."""
+        words = self.words(F.col(text_col))
+        if self.hot is None:
+            whole = _let(F.col("__r"), lambda r: F.array_join(F.transform(words, lambda w: fold(w, self.ranks, r)), ","))
+            return self._with(docs, name, whole, r=self.ranks.value)
+        one = lambda r, h: lambda w: F.coalesce(self.hot.get(h, w), fold(w, self.ranks, r))
+        whole = _let(F.col("__r"), lambda r: _let(F.col("__h"), lambda h: F.array_join(F.transform(words, one(r, h)), ",")))
+        return self._with(docs, name, whole, r=self.ranks.value, h=self.hot.value)
+
+    def decode(self, df: DataFrame, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
+        """``df`` with the bytes of ids joined by commas."""
+        split = F.filter(F.split(ids_col, ","), lambda i: i != "")
+        return self._with(df, name, F.unhex(_let(F.col("__p"), lambda p: F.array_join(F.transform(split, lambda i: F.get(p, i.cast("int"))), ""))), p=self.pieces)
+
+
+def default_codec(spark: SparkSession) -> Codec:
     import public_tokenizers
 
-    return Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return Codec(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def encode_documents(docs: DataFrame, codec: Codec | None = None) -> DataFrame:
     """doc_id, n_tokens, ids (joined by commas) and decoded bytes of every document."""
-    codec = codec or default_codec().learn_hot(docs)
-    ids = docs.select("doc_id", codec.encode(F.col("text")).alias("ids"))
+    codec = codec or default_codec(docs.sparkSession).learn_hot(docs)
+    ids = codec.encode(docs.select("doc_id", "text")).select("doc_id", "ids")
     n = F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.translate("ids", ",", "")) + 1)
-    return ids.select("doc_id", n.cast("bigint").alias("n_tokens"), "ids", codec.decode(F.col("ids")).alias("decoded"))
+    return codec.decode(ids).select("doc_id", n.cast("bigint").alias("n_tokens"), "ids", "decoded")
 
 
 def digest(encoded: DataFrame) -> DataFrame:
