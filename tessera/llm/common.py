@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words as every contract here counts them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +37,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plus(schema: StructType, name: str, kind: str) -> StructType:
+    """A copy of a schema with one more column."""
+    return StructType(list(schema.fields)).add(name, kind)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

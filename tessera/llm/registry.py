@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, mixing, simhash, topk
+from tessera.llm import bpe, mixing, simhash, topk, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op7_topk": topk.op7_topk,
     "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
