@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, fingerprints, mixing, simhash, topk, toxicity
+from tessera.llm import bpe, fingerprints, maxent, mixing, simhash, topk, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_fingerprints": fingerprints.op3_fingerprints,
+    "op5_maxent": maxent.op5_maxent,
     "op7_topk": topk.op7_topk,
     "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
