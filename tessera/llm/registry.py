@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, fingerprints, maxent, mixing, simhash, topk, toxicity
+from tessera.llm import bpe, fingerprints, maxent, mixing, simhash, toolcalls, topk, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_fingerprints": fingerprints.op3_fingerprints,
+    "op4_toolcalls": toolcalls.op4_toolcalls,
     "op5_maxent": maxent.op5_maxent,
     "op7_topk": topk.op7_topk,
     "op8_simhash": simhash.op8_simhash,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_toolcalls": toolcalls.ORACLE,
     "op7_topk": topk.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
