@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, fingerprints, maxent, mixing, simhash, toolcalls, topk, toxicity
+from tessera.llm import bpe, extraction, fingerprints, maxent, mixing, simhash, toolcalls, topk, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_toolcalls": toolcalls.op4_toolcalls,
     "op5_maxent": maxent.op5_maxent,
+    "op6_extraction": extraction.op6_extraction,
     "op7_topk": topk.op7_topk,
     "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
