@@ -196,3 +196,8 @@ def digest(encoded: DataFrame) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(encode_documents(read(spark, sf_dir, "documents")))
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage, the last: ids and the round trip of every document, as digests."""
+    return digest(encode_documents(docs))

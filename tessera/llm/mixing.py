@@ -95,6 +95,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy("position", "doc_id")
 
 
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: each document as often as the mix takes it, in the order of training positions."""
+    key = F.md5(F.to_json(F.struct(*docs.columns)).cast("binary"))
+    keyed = docs.withColumn("_key", key)
+    taken = mix(keyed, id_col="_key").select(F.col("doc_id").alias("_key"), F.explode("positions").alias("_position"))
+    # rows repeated whole share a key, and all their copies
+    out = keyed.dropDuplicates(["_key"]).join(taken, "_key").orderBy("_position", "_key")
+    return out.select(*docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

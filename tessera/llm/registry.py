@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, extraction, fingerprints, maxent, mixing, simhash, toolcalls, topk, toxicity
+from tessera.llm import bpe, extraction, fingerprints, maxent, mixing, simhash, suffixes, toolcalls, topk, toxicity
 
 QUERIES = {
+    "op1_suffixes": suffixes.op1_suffixes,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_toolcalls": toolcalls.op4_toolcalls,

@@ -242,7 +242,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document of smallest id of each group stays, once; rows with a null id stay."""
+    """Pipeline stage: the document of smallest id of each group stays. An id is one document: rows repeated under it
+    stay once. Rows with a null id stay."""
     found = near_duplicates(docs)
     stay = materialize(found.where("doc_id = component_id").select("doc_id").distinct(), "stay")
     kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
