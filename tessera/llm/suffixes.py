@@ -222,8 +222,13 @@ def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without their repeated passages; a character that lost some of its bytes goes whole."""
-    out = dedup(docs)
-    text = F.when(F.col("removed_spans") == 0, F.col("text")).otherwise(F.decode(F.col("kept"), F.lit("UTF-8")))
-    if "n_chars" in docs.columns:
-        return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
-    return out.withColumn("text", text).select(*docs.columns)
+    n_chars = "n_chars" in docs.columns
+
+    def run(batches):
+        for d in batches:
+            # bytes of characters that were cut through decode to nothing
+            text = [t if not n else k.decode("utf-8", "ignore") for t, k, n in zip(d["text"], d["kept"], d["removed_spans"], strict=True)]
+            d = d.drop(columns=["kept", "removed_spans"]).assign(text=text)
+            yield d.assign(n_chars=[None if t is None else len(t) for t in text]) if n_chars else d
+
+    return dedup(docs).mapInPandas(run, docs.schema)
