@@ -3,8 +3,7 @@
 A token is a word or the end of a text. The most frequent words are dealt by rank into classes of equal
 size; all other words fall into classes by their last two bytes. P(token | context) = P(class | context) *
 P(token | class, context). Both factors are softmaxes over sums of weight rows picked by hashed features of
-the context: the word before, the two words before, and skips to the second and third word before. Inside a
-class of infrequent words, probability goes by smoothed counts, so the whole is a distribution over the
+the context: the word before, the two words before, and a skip to the second word before. Inside a class of infrequent words, probability goes by smoothed counts, so the whole is a distribution over the
 known words and one unknown word a class.
 
 Training starts from the unigram distribution. In each round every partition runs stochastic gradient steps
@@ -30,13 +29,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, read
 
-FREQUENT, MEMBERS, RARE = 48, 32, 16
+FREQUENT, MEMBERS, RARE = 32, 32, 16
 CLASSES = FREQUENT + RARE
 ROWS = 1 << 14
 HOT = 1 << 17
 ROUNDS = 2
 RATE, BATCH = 0.35, 4096
-PAD = 3
+PAD = 2
 END = b"\n"  # no word holds white space
 _BLOCK = 256
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -76,19 +75,40 @@ class Vocabulary:
     def look_up(self, words: list[bytes]) -> np.ndarray:
         """Ids, with hashed ids for words outside the list."""
         get, crc = self.ids.get, zlib.crc32
-        return np.array([get(w) if w in self.ids else _UNSEEN + crc(w) for w in words], np.int64)
+        out = np.array([get(w, -1) for w in words], np.int64)
+        for i in np.flatnonzero(out < 0).tolist():
+            out[i] = _UNSEEN + crc(words[i])
+        return out
 
 
 def contexts(ids: np.ndarray) -> np.ndarray:
     """Feature hashes by token, for ids that have PAD pads before each text; the first PAD rows are void."""
     u = ids.astype(np.uint64)
-    w1, w2, w3 = (np.concatenate((np.zeros(k, np.uint64), u[:-k])) for k in (1, 2, 3))
-    f = np.stack([w1 * _K[0] + np.uint64(1), w1 * _K[1] + w2 * _K[2] + np.uint64(2), w2 * _K[0] + np.uint64(3), w3 * _K[0] + np.uint64(4)])
+    w1, w2 = (np.concatenate((np.zeros(k, np.uint64), u[:-k])) for k in (1, 2))
+    f = np.stack([w1 * _K[0] + np.uint64(1), w1 * _K[1] + w2 * _K[2] + np.uint64(2), w2 * _K[0] + np.uint64(3)])
     f ^= f >> np.uint64(31)
     f *= _K[3]
     return f ^ (f >> np.uint64(29))
 
 
+def segment_sums(rows: np.ndarray, grad: np.ndarray):
+    """Distinct rows, their counts and the sums of their gradients. Rows fit 16 bits, which sort fast; short
+    segments are added up side by side, long ones one by one."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    g = grad[order]
+    first = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    n = np.diff(np.append(first, len(rows)))
+    out = g[first]
+    for j in np.flatnonzero(n > 8).tolist():
+        out[j] = g[first[j] : first[j] + n[j]].sum(axis=0)
+    few, k = np.flatnonzero((n > 1) & (n <= 8)), 1
+    while len(few):
+        out[few] += g[first[few] + k]
+        k += 1
+        few = few[n[few] > k]
+    return rows[order[first]], n, out
+
+
 class Model:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -137,16 +157,11 @@ class Model:
         h[np.arange(len(own)), ids[own] % MEMBERS] += 1
         for table, part, grad, seen, hit in ((self.by_class, rows, g, squares[0], touched[0]), (self.by_word, member_rows, h, squares[1], touched[1])):
             for r in part:
-                order = np.argsort(r, kind="stable")
-                sorted_rows = r[order]
-                first = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
-                if not len(first):
+                if not len(r):
                     continue
-                which = sorted_rows[first]
-                total = np.add.reduceat(grad[order], first, axis=0)
-                n = np.diff(np.append(first, len(r))).astype(np.float32)
+                which, n, total = segment_sums(r, grad)
                 hit[which] += n
-                seen[which] += (total * total).mean(axis=1)
+                seen[which] += np.einsum("ij,ij->i", total, total) / total.shape[1]
                 table[which] += (RATE / np.sqrt(seen[which] + 1.0))[:, None] * total
 
 
