@@ -1,0 +1 @@
+"""Query factories on the driver's tables, each with the SQL it is checked against."""
