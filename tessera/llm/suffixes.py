@@ -7,8 +7,10 @@ are counted by hash, with map-side combine; a whole piece that occurs twice is s
 that occurs once. What is left are anchors with several different pieces. Their texts are dealt by anchor
 into buckets of bounded size; each bucket's shards get Burrows-Wheeler transforms, which are merged by
 interleave refinement (bwt.py), and intervals whose common prefix reaches LENGTH give the repeated windows.
-An anchor with more than ``CROWD`` different pieces would not fit a bucket: the windows of its pieces are
-counted by 128-bit hash instead, which is exact as well and falls on no one task.
+An anchor with more than ``CROWD`` different pieces would not fit a bucket. Its windows are counted by 128-bit
+hash instead, which is exact as well and falls on no one task: first blocks of ``BLOCK`` neighbouring windows by
+the bytes all of them share (found once: none repeats) and by all their bytes (found twice: all repeat), then
+single windows of the blocks that are left, which are those at the edge of what is shared.
 
 Defined results: null texts are empty and have nothing to remove; texts under LENGTH bytes stay whole;
 repeated rows are documents each, so their windows repeat; matches never cross documents; an empty table
@@ -30,6 +32,8 @@ from tessera.llm.common import materialize, plus, read
 LENGTH, STEP, ANCHOR = 400, 80, 32
 #: Different pieces of one anchor that a bucket takes, and bytes of pieces in a bucket.
 CROWD, BUCKET_BYTES = 512, 1 << 21
+#: Windows counted together first under crowded anchors.
+BLOCK = 16
 BATCH_BYTES = 1 << 20
 _POSITION = np.uint64((1 << 26) - 1)
 
@@ -44,12 +48,12 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(texts: list[bytes]):
-    """(text, first window, last window, anchor hash) of every piece, as arrays."""
+    """(text, first window, last window, place of the anchor in the piece, anchor hash) of every piece, as arrays."""
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes)))[:-1].astype(np.int64)
     t = np.frombuffer(b"".join(texts), np.uint8)
     if not (sizes >= LENGTH).any():
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     h = rolling(t, ANCHOR)
     at = _least((h & ~_POSITION) | np.arange(len(h), dtype=np.uint64), LENGTH - ANCHOR + 1) & _POSITION
     n = np.maximum(sizes - LENGTH + 1, 0)
@@ -58,7 +62,7 @@ def pieces(texts: list[bytes]):
     anchor = at[window].astype(np.int64)
     cut = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(which, prepend=-1) != 0))
     last = np.append(cut[1:], len(window)) - 1
-    return which[cut], window[cut] - starts[which[cut]], window[last] - starts[which[cut]], h[anchor[cut]]
+    return which[cut], window[cut] - starts[which[cut]], window[last] - starts[which[cut]], anchor[cut] - window[cut], h[anchor[cut]]
 
 
 def _groups(texts):
@@ -81,7 +85,7 @@ def _key(docs: DataFrame):
 
 
 def find_pieces(docs: DataFrame) -> DataFrame:
-    """``docs``: key, text. key, at (first window), more (windows after it), anchor, e1, e2 (128-bit hash of the piece)."""
+    """``docs``: key, text. key, at (first window), more (windows after it), lead (bytes before the anchor), anchor, e1, e2 (128-bit hash of the piece)."""
 
     def run(batches):
         import xxhash
@@ -90,15 +94,15 @@ def find_pieces(docs: DataFrame) -> DataFrame:
         for d in batches:
             keys = list(d["key"])
             for group in _groups([t.encode() for t in d["text"]]):
-                which, a, b, h = pieces([t for _, _, t in group])
+                which, a, b, lead, h = pieces([t for _, _, t in group])
                 views = [memoryview(t) for _, _, t in group]
                 hashes = b"".join([digest(views[w][x : y + LENGTH]) for w, x, y in zip(which.tolist(), a.tolist(), b.tolist(), strict=True)])
                 e = np.frombuffer(hashes, "<i8").reshape(-1, 2)
                 offset = np.array([o for _, o, _ in group], np.int64)[which] if len(which) else a
                 index = [group[w][0] for w in which.tolist()]
-                yield pd.DataFrame({"key": [keys[i] for i in index], "at": a + offset, "more": (b - a).astype(np.int32), "anchor": h.view(np.int64), "e1": e[:, 0], "e2": e[:, 1]})
+                yield pd.DataFrame({"key": [keys[i] for i in index], "at": a + offset, "more": (b - a).astype(np.int32), "lead": lead.astype(np.int32), "anchor": h.view(np.int64), "e1": e[:, 0], "e2": e[:, 1]})
 
-    return docs.mapInPandas(run, "key binary, at long, more int, anchor long, e1 long, e2 long")
+    return docs.mapInPandas(run, "key binary, at long, more int, lead int, anchor long, e1 long, e2 long")
 
 
 def _runs(x: np.ndarray) -> list[dict]:
@@ -120,22 +124,87 @@ def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     once = docs.join(asked, "key")
     schema = plus(wanted.select("at", "more", *cols).schema, "piece", "binary")
 
+    names = ["at", "more", *cols]
+
     def run(batches):
         for d in batches:
+            out: list = []
             for text, rows in zip(d["text"], d["asked"], strict=True):
                 raw = text.encode()
-                out = pd.DataFrame([x if isinstance(x, dict) else x.asDict() for x in rows])
-                out["piece"] = [raw[a : a + m + LENGTH] for a, m in zip(out["at"], out["more"], strict=True)]
-                yield out
+                for x in rows:
+                    a = x["at"]
+                    out.append((*(x[c] for c in names), raw[a : a + x["more"] + LENGTH]))
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=[*names, "piece"])
+                    out = []
+            yield pd.DataFrame(out, columns=[*names, "piece"])
 
     return once.select("text", "asked").mapInPandas(run, schema)
 
 
+def _crowded(texts: DataFrame) -> DataFrame:
+    """``texts``: anchor, e1, e2, piece, lead. The ranges of repeated windows of pieces of crowded anchors."""
+    ident = ["anchor", "e1", "e2"]
+    span = LENGTH - BLOCK + 1  # bytes that all windows of a block share
+
+    def blocks(batches):
+        import xxhash
+
+        digest = xxhash.xxh3_128_digest
+        for d in batches:
+            rows, cores, unions = [], [], []
+            for anchor, e1, e2, piece, lead in zip(d["anchor"], d["e1"], d["e2"], d["piece"], d["lead"], strict=True):
+                low = lead - (len(piece) - LENGTH)  # windows have low..lead bytes before the anchor
+                for r in range(low // BLOCK, lead // BLOCK + 1):
+                    a = lead - r * BLOCK
+                    full = r * BLOCK >= low and (r + 1) * BLOCK - 1 <= lead
+                    rows.append((anchor, e1, e2, r, full))
+                    cores.append(digest(piece[a : a + span], r))
+                    unions.append(digest(piece[a - BLOCK + 1 : a + LENGTH], r) if full else b"\0" * 16)
+            out = pd.DataFrame(rows, columns=[*ident, "r", "full"])
+            c, u = (np.frombuffer(b"".join(x), "<i8").reshape(-1, 2) for x in (cores, unions))
+            yield out.assign(c1=c[:, 0], c2=c[:, 1], u1=u[:, 0], u2=u[:, 1])
+
+    each = texts.mapInPandas(blocks, "anchor long, e1 long, e2 long, r int, full boolean, c1 long, c2 long, u1 long, u2 long")
+    each = materialize(each, "blocks")
+    shared = materialize(each.groupBy("c1", "c2").count().where("count > 1").select("c1", "c2"), "shared")
+    alike = materialize(each.join(shared, ["c1", "c2"]).drop("c1", "c2"), "alike")
+    unions = materialize(alike.where("full").groupBy("u1", "u2").agg(F.count("*").alias("n"), F.min(F.struct(*ident, "r")).alias("one")), "unions")
+    settled = alike.where("full").join(unions.where("n > 1").select("u1", "u2"), ["u1", "u2"]).select(*ident, "r")
+    # a block that is settled still stands for its windows, once
+    edge = alike.where("not full").select(*ident, "r").union(unions.select("one.*"))
+    asked = edge.groupBy(*ident).agg(F.collect_list("r").alias("rs"))
+
+    def windows(batches):
+        import xxhash
+
+        digest = xxhash.xxh3_128_digest
+        for d in batches:
+            rows, hashes = [], []
+            for anchor, e1, e2, piece, lead, rs in zip(d["anchor"], d["e1"], d["e2"], d["piece"], d["lead"], d["rs"], strict=True):
+                low = lead - (len(piece) - LENGTH)
+                for r in rs:
+                    for o in range(max(low, r * BLOCK), min(lead, (r + 1) * BLOCK - 1) + 1):
+                        rows.append((anchor, e1, e2, lead - o))
+                        hashes.append(digest(piece[lead - o : lead - o + LENGTH]))
+            w = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+            yield pd.DataFrame(rows, columns=[*ident, "i"]).assign(w1=w[:, 0], w2=w[:, 1])
+
+    single = texts.join(asked, ident).mapInPandas(windows, "anchor long, e1 long, e2 long, i int, w1 long, w2 long")
+    single = materialize(single, "windows")
+    twice = materialize(single.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), "twice")
+    lone = single.join(twice, ["w1", "w2"]).select(*ident, F.struct(F.col("i").alias("lo"), F.col("i").alias("hi")).alias("range"))
+    place = texts.select(*ident, "lead")
+    hi = F.col("lead") - F.col("r") * BLOCK
+    blocked = settled.join(place, ident).select(*ident, F.struct((hi - BLOCK + 1).cast("int").alias("lo"), hi.cast("int").alias("hi")).alias("range"))
+    return lone.union(blocked).groupBy(*ident).agg(F.collect_list("range").cast(_RANGES).alias("ranges"))
+
+
 def repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """``docs``: key, text. key and spans (lo, hi: first and last window) that also begin elsewhere."""
     found = materialize(find_pieces(docs), "pieces")
     ident = ["anchor", "e1", "e2"]
-    kinds = found.groupBy(*ident).agg(F.count("*").alias("n"), F.min(F.struct("key", "at", "more")).alias("one"))
+    kinds = found.groupBy(*ident).agg(F.count("*").alias("n"), F.min(F.struct("key", "at", "more", "lead")).alias("one"))
     kinds = materialize(kinds, "kinds")
     anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), F.min("n").alias("least"))
     anchors = materialize(anchors.where(F.col("all") > 1), "anchors")
@@ -157,23 +226,10 @@ def repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     schema = f"anchor long, e1 long, e2 long, ranges {_RANGES}"
     by_bwt = light.withColumn("b", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).select("b", "n", "piece", *ident).groupBy("b").applyInPandas(settle, schema)
 
-    def windows(batches):
-        import xxhash
-
-        for d in batches:
-            for row in d.itertuples(index=False):
-                v = memoryview(row.piece)
-                h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(v[i : i + LENGTH]) for i in range(len(v) - LENGTH + 1)]), "<i8").reshape(-1, 2)
-                yield pd.DataFrame({"anchor": row.anchor, "e1": row.e1, "e2": row.e2, "i": np.arange(len(h), dtype=np.int32), "w1": h[:, 0], "w2": h[:, 1]})
-
-    each = materialize(texts.where("crowded").select("piece", *ident).mapInPandas(windows, "anchor long, e1 long, e2 long, i int, w1 long, w2 long"), "windows")
-    twice = materialize(each.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), "twice")
-    by_hash = each.join(twice, ["w1", "w2"]).groupBy(*ident).agg(F.sort_array(F.collect_list("i")).alias("i"))
-    by_hash = by_hash.select(*ident, F.transform("i", lambda i: F.struct(i.alias("lo"), i.alias("hi"))).alias("ranges"))
-
+    by_hash = _crowded(texts.where("crowded").select("piece", "lead", *ident))
     whole = kinds.where("n > 1").select(*ident, F.array(F.struct(F.lit(0).alias("lo"), F.col("one.more").alias("hi"))).cast(_RANGES).alias("ranges"))
     single = kinds.where("n = 1").select(*ident)
-    settled = whole.union(by_bwt).union(by_hash.join(single, ident, "left_semi").withColumn("ranges", F.col("ranges").cast(_RANGES)))
+    settled = whole.union(by_bwt).union(by_hash.join(single, ident, "left_semi"))
     settled = materialize(settled, "settled")
     spans = found.join(settled, ident).select("key", F.explode(F.transform("ranges", lambda r: F.struct((F.col("at") + r["lo"]).alias("lo"), (F.col("at") + r["hi"]).alias("hi")))).alias("s"))
     return spans.groupBy("key").agg(F.collect_list("s").alias("spans"))
