@@ -15,7 +15,19 @@ from pyspark.sql.types import StructType
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows handed to Python at a time; texts may be long, and two workers share an executor's memory.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds, unless the session already asks for less."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -32,6 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder, so that a lost executor costs a reread."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

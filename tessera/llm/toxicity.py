@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, plus, read
+from tessera.llm.common import materialize, plus, read, small_batches
 
 TRAIN_ROWS = 20_000
 LEXICON = 400
@@ -262,6 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` and tox_score."""
+    small_batches(docs.sparkSession)
     schema = plus(docs.schema, "tox_score", "double")
 
     def run(batches):
