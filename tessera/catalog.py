@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from tessera.plans import analysis_queries, ranking_queries, relational_queries  # noqa: F401
+from tessera.plans.register import COVERS, ORACLE, QUERIES  # noqa: F401

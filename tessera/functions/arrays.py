@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Least positive normal double, the floor of decibels.
@@ -48,8 +48,8 @@ def token_statistics(ids: Column, logp: Column, end: int, special: list[int]) ->
     at = F.array_position(ids, end)
     n = F.when(at > 0, at.cast("int")).otherwise(F.size(ids))
     kept, lp = F.slice(ids, F.lit(1), n), F.slice(logp, F.lit(1), n)
-    pairs = F.filter(F.arrays_zip(kept.alias("i"), lp.alias("p")), lambda z: ~z["0"].isin([*special, end]))
-    content = F.transform(pairs, lambda z: z["1"])
+    pairs = F.filter(F.arrays_zip(kept.alias("i"), lp.alias("p")), lambda z: ~z["i"].isin([*special, end]))
+    content = F.transform(pairs, lambda z: z["p"])
     size = F.size(content)
     some = size > 0
     probability = F.sort_array(F.transform(content, lambda v: F.exp(v)))
@@ -76,30 +76,32 @@ def frames(x: Column, rate: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(padded, i * f + 1, f))
 
 
-def acoustic_profile(x: Column, rate: Column) -> dict[str, Column]:
-    """ARR1: levels, silence at the ends, share of active frames, and a signal-to-noise proxy capped at 60 dB."""
-    level = F.transform(frames(x, rate), lambda fr: rms(fr))
-    peak_frame = F.array_max(level)
-    cut = peak_frame * (10.0 ** (-SILENCE_DB / 20.0))
-    alive = peak_frame > 0
-    active = F.filter(level, lambda v: (v >= cut) & alive)
-    flags = F.transform(level, lambda v: (v >= cut) & alive)
-    seconds = F.size(x) / rate
-    first = F.array_position(flags, True) - 1
-    last = F.size(flags) - F.array_position(F.reverse(flags), True)
-    speech, noise = percentile(F.sort_array(active), 0.75), percentile(F.sort_array(level), 0.2)
-    peak = F.array_max(F.transform(x, lambda v: F.abs(v.cast("double"))))
-    return {
+def acoustic_profile(df: DataFrame, x: str, rate: Column) -> DataFrame:
+    """ARR1: levels, silence at the ends, share of active frames, and a signal-to-noise proxy capped at 60 dB.
+
+    In three steps, so that frame levels are computed once for all that is read off them.
+    """
+    d = df.withColumn("_level", F.transform(frames(F.col(x), rate), lambda fr: rms(fr))).withColumn("_seconds", F.size(x) / rate)
+    d = d.withColumn("_peak", F.array_max("_level"))
+    cut = F.col("_peak") * (10.0 ** (-SILENCE_DB / 20.0))
+    alive = F.col("_peak") > 0
+    d = d.withColumn("_flags", F.transform("_level", lambda v: (v >= cut) & alive)).withColumn("_active", F.sort_array(F.filter("_level", lambda v: (v >= cut) & alive)))
+    d = d.withColumn("_speech", percentile(F.col("_active"), 0.75)).withColumn("_sorted", F.sort_array("_level"))
+    d = d.withColumn("noise_rms", percentile(F.col("_sorted"), 0.2))
+    seconds = F.col("_seconds")
+    first = F.array_position("_flags", True) - 1
+    last = F.size("_flags") - F.array_position(F.reverse("_flags"), True)
+    out = {
         "measured_duration": seconds,
-        "peak_dbfs": dbfs(peak),
-        "rms_dbfs": dbfs(rms(x)),
-        "speech_ratio": F.when(alive, F.size(active) / F.size(level)).otherwise(0.0),
-        "speech_rms": F.when(alive, speech).otherwise(0.0),
-        "noise_rms": noise,
+        "peak_dbfs": dbfs(F.array_max(F.transform(x, lambda v: F.abs(v.cast("double"))))),
+        "rms_dbfs": dbfs(rms(F.col(x))),
+        "speech_ratio": F.when(alive, F.size("_active") / F.size("_level")).otherwise(0.0),
+        "speech_rms": F.when(alive, F.col("_speech")).otherwise(0.0),
         "leading_silence": F.when(alive, F.least(seconds, first * FRAME_SECONDS)).otherwise(seconds),
         "trailing_silence": F.when(alive, F.greatest(F.lit(0.0), seconds - F.least(seconds, (last + 1) * FRAME_SECONDS))).otherwise(seconds),
-        "snr_proxy_db": F.when(alive, F.least(F.lit(SNR_CAP), dbfs(speech) - dbfs(noise))).otherwise(0.0),
+        "snr_proxy_db": F.when(alive, F.least(F.lit(SNR_CAP), dbfs(F.col("_speech")) - dbfs(F.col("noise_rms")))).otherwise(0.0),
     }
+    return d.withColumns(out).drop("_level", "_seconds", "_peak", "_flags", "_active", "_speech", "_sorted")
 
 
 def fit_without_tiling(noise: Column, length: Column, offset: Column) -> Column:

@@ -10,7 +10,7 @@ import unicodedata
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: fixed values: apostrophe forms that become '
@@ -98,13 +98,19 @@ def compression_ratio(c: Column) -> Column:
 
 
 def ngrams(w: Column, n: int) -> Column:
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    """Runs of n words, each as one string: the array zipped with itself shifted, in one pass."""
+    none = F.array().cast("array<string>")
+    out = F.slice(w, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0)))
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(w, F.lit(k + 1), F.greatest(F.size(w) - (n - 1), F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(w) >= n, out).otherwise(none)
 
 
 def repeated_fraction(w: Column, n: int) -> Column:
     """FN9: share of n-grams that repeat an earlier one; 0 when there is none."""
-    g = ngrams(w, n)
-    return F.when(F.size(g) > 0, (F.size(g) - F.size(F.array_distinct(g))) / F.size(g)).otherwise(F.lit(0.0))
+    some = F.size(w) >= n
+    total = F.size(w) - (n - 1)
+    return F.when(some, (total - F.size(F.array_distinct(ngrams(w, n)))) / total).otherwise(F.lit(0.0))
 
 
 def longest_run(w: Column) -> Column:
@@ -118,13 +124,13 @@ def longest_run(w: Column) -> Column:
     return F.aggregate(w, start, step, lambda s: s["best"])
 
 
-def diagnostics(text: Column, duration: Column) -> dict[str, Column]:
-    """FN10 without the compression ratio (FN8): by name."""
-    w = words(text)
-    n, bare = F.size(w), F.length(F.regexp_replace(text, r"(?U)\s", ""))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    spaces = F.length(text) - bare
-    return {
+def with_diagnostics(df: DataFrame, text: str, duration: Column) -> DataFrame:
+    """FN10 without the compression ratio (FN8). Words are split once, in a step of their own."""
+    t = F.col(text)
+    d = df.withColumn("_w", words(t)).withColumn("_bare", F.length(F.regexp_replace(t, r"(?U)\s", "")))
+    w, n, bare = F.col("_w"), F.size("_w"), F.col("_bare")
+    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
+    return d.withColumns({
         "empty_text": n == 0,
         "word_count": n,
         "character_count": bare,
@@ -134,8 +140,8 @@ def diagnostics(text: Column, duration: Column) -> dict[str, Column]:
         "maximum_consecutive_word_run": longest_run(w),
         "repeated_bigram_fraction": repeated_fraction(w, 2),
         "repeated_trigram_fraction": repeated_fraction(w, 3),
-        "non_letter_fraction_raw": F.when(F.length(text) > 0, (F.length(text) - letters - spaces) / F.length(text)),
-    }
+        "non_letter_fraction_raw": F.when(F.length(t) > 0, (bare - letters) / F.length(t)),
+    }).drop("_w", "_bare")
 
 
 def disagreement(a: Column, b: Column) -> Column:

@@ -59,13 +59,13 @@ def out_of_fold(data: DataFrame, features: list[str], target: str, fold: str, ke
     """
     cols = [key, target, fold, *features]
     narrow = data.select(*cols)
-    folds = F.explode(F.array_sort(F.collect_set(fold).over(Window.partitionBy()))).alias("_held")
+    held = F.broadcast(narrow.select(F.col(fold).alias("_held")).distinct())  # a row a fold
     kind = dict(data.dtypes)
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
-        held = d["_held"].iloc[0]
+        out_fold = d["_held"].iloc[0]
         d = d.sort_values(key, kind="stable")
-        inside, out = d[d[fold] != held], d[d[fold] == held]
+        inside, out = d[d[fold] != out_fold], d[d[fold] == out_fold]
         x, y, f = inside[features].to_numpy(float), inside[target].to_numpy(float), inside[fold].to_numpy()
         best = (-1.0, None)
         for c in grid:
@@ -80,7 +80,7 @@ def out_of_fold(data: DataFrame, features: list[str], target: str, fold: str, ke
         p = Logistic(best[1]).fit(x, y).predict(out[features].to_numpy(float))
         return pd.DataFrame({key: out[key], "probability": p, "c": best[1]})
 
-    return narrow.select("*", folds).groupBy("_held").applyInPandas(run, f"{key} {kind[key]}, probability double, c double")
+    return narrow.crossJoin(held).groupBy("_held").applyInPandas(run, f"{key} {kind[key]}, probability double, c double")
 
 
 def rank_auc(df: DataFrame, label: str, score: str) -> DataFrame:
