@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read
+from tessera.llm.common import read, small_batches
 from tessera.llm.dom import Node, attributes, own_texts, parse
 
 TRAIN_PAGES = 120
@@ -254,7 +254,10 @@ def extract_pages(pages: DataFrame, model: Model | None = None) -> DataFrame:
             t = [model.extract(h) for h in d["html"]]
             yield pd.DataFrame({"page_id": d["page_id"], "url": d["url"], "text": t, "n_chars": [len(x) for x in t]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    small_batches(pages.sparkSession)
+    # ids travel as text: pandas would turn numbers beside nulls into doubles
+    out = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html").mapInPandas(run, f"page_id string, url {kinds['url']}, text string, n_chars long")
+    return out.withColumn("page_id", F.col("page_id").cast(kinds["page_id"]))
 
 
 def op6_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

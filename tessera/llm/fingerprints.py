@@ -183,6 +183,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     rows = marked.select("doc_id", "text", F.explode(homes).alias("h")).select("h.b", "h.g", "doc_id", "text")
     ordered = rows.repartition(n, "b").sortWithinPartitions("b", "g", F.asc_nulls_first("doc_id"), "text")
 
+    # ids travel as text: pandas would turn numbers beside nulls into doubles
+    ordered = ordered.withColumn("doc_id", F.col("doc_id").cast("string"))
+
     def run(batches):
         held: list[tuple] = []  # (id, text) of the range being read, the last one still without its follower
         state = {"b": None, "guest": False}
@@ -226,8 +229,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             if pairs:
                 yield emit(pairs)
 
-    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return ordered.mapInPandas(run, schema)
+    schema = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return ordered.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -302,7 +302,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                     a += n
             yield pd.DataFrame(out, columns=["doc_id", "key", "n_tokens", "n_hot", "hot_base", "part", "w", "tf"])
 
-    rows = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, key long, n_tokens long, n_hot long, hot_base double, part double, w array<binary>, tf array<long>")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, key long, n_tokens long, n_hot long, hot_base double, part double, w array<binary>, tf array<long>")
     rows = materialize(rows, "lm-scored")
     pairs = rows.select("key", F.explode(F.arrays_zip("w", "tf")).alias("x")).select("key", "x.w", "x.tf")
     known = pairs.join(counts, "w", "left").groupBy("key").agg(
@@ -311,7 +311,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0))
     below = float(np.log10(model.v.total + 0.5 * (model.v.distinct + 1)))
     return rows.join(known, "key", "left").select(
-        "doc_id", "n_tokens", (F.col("n_hot") + zero("seen")).alias("n_known"),
+        F.col("doc_id").cast(kind).alias("doc_id"), "n_tokens", (F.col("n_hot") + zero("seen")).alias("n_known"),
         (F.col("hot_base") + zero("logs") - zero("n") * below).alias("base_score"), (F.col("part") + zero("logs")).alias("score"),
     )
 

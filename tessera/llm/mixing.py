@@ -98,10 +98,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it, in the order of training positions."""
     key = F.md5(F.to_json(F.struct(*docs.columns)).cast("binary"))
-    keyed = docs.withColumn("_key", key)
-    taken = mix(keyed, id_col="_key").select(F.col("doc_id").alias("_key"), F.explode("positions").alias("_position"))
+    keyed = docs.withColumn("__key", key)
+    taken = mix(keyed, id_col="__key").select(F.col("doc_id").alias("__key"), F.explode("positions").alias("__position"))
     # rows repeated whole share a key, and all their copies
-    out = keyed.dropDuplicates(["_key"]).join(taken, "_key").orderBy("_position", "_key")
+    out = keyed.dropDuplicates(["__key"]).join(taken, "__key").orderBy("__position", "__key")
     return out.select(*docs.columns)
 
 

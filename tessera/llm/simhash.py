@@ -66,7 +66,9 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> Dat
             yield pd.DataFrame({"doc_id": d["doc_id"], "fp": np.array([fingerprint(t, width, seed) for t in d["text"]], np.uint64).view(np.int64)})
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(batch, f"doc_id {kind}, fp long")
+    # ids travel as text: pandas would turn numbers beside nulls into doubles
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(batch, "doc_id string, fp long")
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "fp")
 
 
 def _variants(bits: list[int], radius: int) -> list[int]:

@@ -23,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def _groups(texts):
 
 def _key(docs: DataFrame):
     """128 bits that tell documents apart; rows repeated whole share them, and all their windows."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.col("text")).cast("binary")))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary")))
 
 
 def find_pieces(docs: DataFrame) -> DataFrame:
@@ -255,36 +256,43 @@ def _remove(raw: bytes, spans) -> tuple[bytes, int]:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` (doc_id, text, ...) with kept (binary) and removed_spans."""
-    d = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    d = d.withColumn("key", _key(d))
-    found = materialize(repeats(d.select("key", "text")), "spans")
-    joined = d.join(found, "key", "left").drop("key")
-    schema = plus(plus(docs.schema, "kept", "binary"), "removed_spans", "long")
+    """All columns of ``docs`` (doc_id, text, ...) as they are, with __kept (binary) and __runs (removed runs)."""
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumn("__key", _key(docs))
+    found = materialize(repeats(keyed.select(F.col("__key").alias("key"), text.alias("text"))), "spans")
+    joined = keyed.join(found.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left")
+    schema = plus(plus(docs.schema, "__kept", "binary"), "__runs", "long")
+    names = docs.columns
 
     def run(batches):
-        for x in batches:
-            out = [_remove(t.encode(), s) for t, s in zip(x["text"], x["spans"], strict=True)]
-            yield x.drop(columns="spans").assign(kept=[k for k, _ in out], removed_spans=[n for _, n in out])
+        for b in batches:
+            out = [_remove((t or "").encode(), s) for t, s in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), strict=True)]
+            more = [pa.array([k for k, _ in out], pa.binary()), pa.array([n for _, n in out], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *more], [*names, "__kept", "__runs"])
 
-    return joined.select(*docs.columns, "spans").mapInPandas(run, schema)
+    return joined.select(*names, "__spans").mapInArrow(run, schema)
 
 
 def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    n = F.octet_length("text").cast("bigint")
-    return out.select("doc_id", n.alias("n_bytes"), (n - F.octet_length("kept")).cast("bigint").alias("n_removed"), F.col("removed_spans").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")
+    return out.select("doc_id", n.alias("n_bytes"), (n - F.octet_length("__kept")).cast("bigint").alias("n_removed"), F.col("__runs").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without their repeated passages; a character that lost some of its bytes goes whole."""
-    n_chars = "n_chars" in docs.columns
+    """Pipeline stage: texts without their repeated passages; a character that lost some of its bytes goes whole.
+    Null texts stay null; n_chars counts what is left."""
+    names, schema = docs.columns, docs.schema
 
     def run(batches):
-        for d in batches:
-            # bytes of characters that were cut through decode to nothing
-            text = [t if not n else k.decode("utf-8", "ignore") for t, k, n in zip(d["text"], d["kept"], d["removed_spans"], strict=True)]
-            d = d.drop(columns=["kept", "removed_spans"]).assign(text=text)
-            yield d.assign(n_chars=[None if t is None else len(t) for t in text]) if n_chars else d
-
-    return dedup(docs).mapInPandas(run, docs.schema)
+        for b in batches:
+            text = b.column("text").to_pylist()
+            for i, (k, n) in enumerate(zip(b.column("__kept").to_pylist(), b.column("__runs").to_pylist(), strict=True)):
+                if n:
+                    text[i] = k.decode("utf-8", "ignore")
+            cols = {c: b.column(c) for c in names} | {"text": pa.array(text, pa.string())}
+            if "n_chars" in cols:
+                cols["n_chars"] = pa.array([o if not n else len(t) for o, n, t in zip(b.column("n_chars").to_pylist(), b.column("__runs").to_pylist(), text, strict=True)], b.column("n_chars").type)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names)
+
+    return dedup(docs).mapInArrow(run, schema)

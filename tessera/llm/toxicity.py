@@ -4,7 +4,8 @@ Features of a text: densities of a lexicon (strong and weak entries, found by th
 labelled training rows), nearness of second-person words to lexicon hits, rates of capitals, punctuation
 and obfuscation (letters mixed with digits or signs, and lexicon hits that show only after undoing them).
 Trees are fitted on the driver to a bounded sample of labelled rows (``TRAIN_ROWS``, a documented limit);
-one fifth of the sample is kept from the trees and fits the calibration. Scoring reads every text whole.
+the calibration is fitted to margins of trees that did not see the row (three folds), so all rows serve both.
+Scoring reads every text whole.
 
 Learning uses only rows whose crc32(doc_id as text) mod 4 is not 2. Labels, language, source and id are
 never inputs of a score. Defined results: null and empty texts are scored like any text (all features 0);
@@ -20,6 +21,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ from tessera.llm.common import materialize, plus, read, small_batches
 TRAIN_ROWS = 20_000
 LEXICON = 400
 THRESHOLD = 0.3
+FOLDS = 3
 WINDOW = 6
 #: Letters of a word that may stand for it in the lexicon, as "abcd*".
 STEM = 4
@@ -102,7 +105,7 @@ def features(text: str | None, lexicon: dict[str, float], strong: float) -> list
 class Trees:
     """Gradient-boosted regression trees for the logistic loss, on binned features."""
 
-    def __init__(self, trees: int = 80, depth: int = 4, rate: float = 0.12, bins: int = 48, l2: float = 2.0, least: float = 4.0):
+    def __init__(self, trees: int = 80, depth: int = 4, rate: float = 0.12, bins: int = 48, l2: float = 1.0, least: float = 0.8):
         self.trees, self.depth, self.rate, self.bins, self.l2, self.least = trees, depth, rate, bins, l2, least
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
@@ -191,12 +194,19 @@ class Model:
     def matrix(self, texts) -> np.ndarray:
         return np.array([features(t, self.lexicon, self.strong) for t in texts], float).reshape(-1, len(NAMES))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, calibrate: np.ndarray) -> Model:
+    def fit(self, x: np.ndarray, y: np.ndarray) -> Model:
         self.share = float(y.mean()) if len(y) else 0.0
-        if len(np.unique(y[~calibrate])) == 2:
-            self.trees = Trees().fit(x[~calibrate], y[~calibrate])
-            c = calibrate if len(np.unique(y[calibrate])) == 2 else ~calibrate
-            self.knots = isotonic(self.trees.margin(x[c]), y[c])
+        if len(np.unique(y)) < 2:
+            return self
+        self.trees = Trees().fit(x, y)
+        margin, fold = np.full(len(y), np.nan), np.arange(len(y)) % FOLDS
+        for k in range(FOLDS):
+            out = fold == k
+            if len(np.unique(y[~out])) == 2:
+                margin[out] = Trees().fit(x[~out], y[~out]).margin(x[out])
+        seen = ~np.isnan(margin)
+        margin[~seen] = self.trees.margin(x[~seen])
+        self.knots = isotonic(margin, y)
         return self
 
     def score(self, texts) -> np.ndarray:
@@ -251,41 +261,33 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     def featurise(batches):
         for d in batches:
             x = model.matrix(d["text"])
-            yield pd.DataFrame({"doc_id": d["doc_id"], "toxic": d["toxic"], "x": list(x)})
+            yield pd.DataFrame({"doc_id": d["doc_id"].astype(str), "toxic": d["toxic"], "x": list(x)})
 
-    kind = dict(docs.dtypes)["doc_id"]
-    data = t.mapInPandas(featurise, f"doc_id {kind}, toxic int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    data = t.mapInPandas(featurise, "doc_id string, toxic int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(data["x"].tolist(), float).reshape(-1, len(NAMES))
-    fold = np.arange(len(data)) % 5 == 0
-    return model.fit(x, data["toxic"].to_numpy(float), fold)
+    return model.fit(x, data["toxic"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and tox_score."""
+def score(docs: DataFrame, model: Model, name: str = "tox_score") -> DataFrame:
+    """All columns of ``docs`` as they are, and a score."""
     small_batches(docs.sparkSession)
-    schema = plus(docs.schema, "tox_score", "double")
 
     def run(batches):
-        for d in batches:
-            yield d.assign(tox_score=model.score(d["text"]))
+        for b in batches:
+            p = pa.array(model.score(b.column("text").to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, p], [*b.schema.names, name])
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, plus(docs.schema, name, "double"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, read(spark, sf_dir, "labels"))
-    kind = dict(docs.dtypes)["doc_id"]
-
-    def run(batches):
-        for d in batches:
-            yield pd.DataFrame({"doc_id": d["doc_id"], "score": model.score(d["text"])})
-
-    out = docs.mapInPandas(run, f"doc_id {kind}, score double")
+    out = score(docs, model, "score")
     return out.select("doc_id", (bucket() == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents scored at the threshold or above go."""
     model = train(docs, read(spark, sf_dir, "labels"))
-    return score(docs, model).where(F.col("tox_score") < THRESHOLD).drop("tox_score")
+    return score(docs, model, "__tox_score").where(F.col("__tox_score") < THRESHOLD).drop("__tox_score")
