@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from tessera.llm.common import materialize, read
 
 FREQUENT, MEMBERS, RARE = 32, 32, 16
 CLASSES = FREQUENT + RARE
-ROWS = 1 << 14
+ROWS = 1 << 13
 HOT = 1 << 17
 ROUNDS = 2
 RATE, BATCH = 0.35, 4096
@@ -75,7 +76,7 @@ class Vocabulary:
     def look_up(self, words: list[bytes]) -> np.ndarray:
         """Ids, with hashed ids for words outside the list."""
         get, crc = self.ids.get, zlib.crc32
-        out = np.array([get(w, -1) for w in words], np.int64)
+        out = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         for i in np.flatnonzero(out < 0).tolist():
             out[i] = _UNSEEN + crc(words[i])
         return out
@@ -123,7 +124,7 @@ class Model:
             z += self.by_class[r]
         z += self.v.class_bias
         z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        z -= np.log(np.einsum("ij->i", np.exp(z)))[:, None]
         own = np.flatnonzero(cls < FREQUENT)
         c = cls[own]
         g = (f[:, own] + c.astype(np.uint64) * _K[2]) * _K[1]
@@ -133,7 +134,7 @@ class Model:
             y += self.by_word[r]
         y += self.v.word_bias[c]
         y -= y.max(axis=1, keepdims=True)
-        y -= np.log(np.exp(y).sum(axis=1, keepdims=True))
+        y -= np.log(np.einsum("ij->i", np.exp(y)))[:, None]
         return rows, z, own, member_rows, y
 
     def log10(self, ids: np.ndarray, f: np.ndarray, cls: np.ndarray) -> np.ndarray:
@@ -180,7 +181,7 @@ def _batches(texts, v: Vocabulary, size: int):
 
 def _lay_out(group, v):
     lengths = np.array([len(t) for t in group])
-    flat = [w for t in group for w in t]
+    flat = list(chain.from_iterable(group))
     found = v.look_up(flat)
     cls = np.empty(len(flat), np.int64)
     hot = found < _UNSEEN
