@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, read
 
-HOT = 1 << 19
+HOT = 1 << 20
 #: Words longer than this are never hot, so the literal has a size bound.
 HOT_CHARS = 48
 #: Unicode's White_Space, which \\s means in the split pattern (Java's own \\s is ASCII only).
@@ -66,18 +66,26 @@ class Ranks:
 
 
 class Hot:
-    """A map from word to ids: bucket strings addressed by CRC-32, built on the executors."""
+    """The map from word to ids: bucket strings addressed by CRC-32, in groups of ``GROUP``. The table is built
+    and stays on the executors; the driver never holds it as an object."""
+
+    GROUP = 16
 
     def __init__(self, words: DataFrame, n: int):
+        g = self.GROUP
+        self.n = max(1, n // g) * g
+        spark = words.sparkSession
         entry = F.concat(F.lit(_A), "w", F.lit(_B), "ids")
-        rows = words.groupBy(_bucket(F.col("w"), n).alias("b")).agg(F.array_join(F.sort_array(F.collect_list(entry)), "").alias("row"))
-        self.n, strings = n, [_A] * n
-        for b, row in rows.collect():
-            strings[b] = row + _A
-        self.value = _value(words.sparkSession, strings, "array<string>")
+        rows = words.groupBy(_bucket(F.col("w"), self.n).alias("b")).agg(F.array_join(F.sort_array(F.collect_list(entry)), "").alias("row"))
+        rows = rows.groupBy(F.floor(F.col("b") / g).cast("int").alias("q")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("b") % g, "row"))).alias("m"))
+        whole = spark.range(self.n // g).select(F.col("id").cast("int").alias("q")).join(rows, "q", "left")
+        strings = F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda i: F.coalesce(F.concat(F.try_element_at("m", i), F.lit(_A)), F.lit(_A)))
+        # a fixed number of groups meets in one row
+        one = whole.select("q", strings.alias("s")).agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "s"))), lambda x: x["s"]).alias("v"))
+        self.value = materialize(one, "bpe-hot").scalar()
 
     def get(self, table: Column, key: Column) -> Column:
-        row = F.get(table, _bucket(key, self.n))
+        row = _let(_bucket(key, self.n), lambda b: F.get(F.get(table, F.floor(b / self.GROUP).cast("int")), b % self.GROUP))
         rest = F.call_function("substring_index", row, F.concat(F.lit(_A), key, F.lit(_B)), F.lit(-1))
         # without the key the row comes back whole, and that begins with the mark
         return _let(rest, lambda x: F.when(F.startswith(x, F.lit(_A)), None).otherwise(F.substring_index(x, _A, 1)))
