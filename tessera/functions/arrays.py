@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Least positive normal double, the floor of decibels.
 TINY = 2.2250738585072014e-308
@@ -148,7 +149,7 @@ def _seeded(seed: int) -> np.random.Generator:
     return np.random.default_rng(int(seed) & 0xFFFFFFFFFFFFFFFF)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def convolve(x: pd.Series, impulse: pd.Series, most: pd.Series) -> pd.Series:
     """ARR5: convolution with an impulse response of unit energy, cut to a length."""
 
@@ -162,7 +163,7 @@ def convolve(x: pd.Series, impulse: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([one(a, b, n) for a, b, n in zip(x, impulse, most, strict=True)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def change_speed(x: pd.Series, factor: pd.Series) -> pd.Series:
     """ARR6: resampled to length / factor by band-limited (Fourier) interpolation; factor 1 leaves a copy."""
 
@@ -181,7 +182,7 @@ def change_speed(x: pd.Series, factor: pd.Series) -> pd.Series:
     return pd.Series([one(a, f) for a, f in zip(x, factor, strict=True)])
 
 
-@F.pandas_udf("array<array<float>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.FloatType())))
 def mask_spectrum(mel: pd.Series, valid: pd.Series, seed: pd.Series, spec: pd.Series) -> pd.Series:
     """ARR11 and ARR12: bands of frequency (full width) and spans of time (within valid frames) set to 0.
 
@@ -211,7 +212,7 @@ def mask_spectrum(mel: pd.Series, valid: pd.Series, seed: pd.Series, spec: pd.Se
     return pd.Series([one(m, n, s, c) for m, n, s, c in zip(mel, valid, seed, rows, strict=True)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def augment(x: pd.Series, noise: pd.Series, impulse: pd.Series, seed: pd.Series, condition: pd.Series) -> pd.Series:
     """ARR9 and ARR10: the kernels of a condition (clean, noise, rir, noise-rir, speed) with seeded draws, peak-limited."""
 

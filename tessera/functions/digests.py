@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def unsigned64(hex_digest: Column) -> Column:
@@ -43,7 +44,7 @@ def file_sha256(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def pcm_sha256(samples: pd.Series, rate: pd.Series, channels: pd.Series) -> pd.Series:
     """FN25: the hash of 16-bit samples behind ``rate:channels:``."""
 
@@ -56,7 +57,7 @@ def pcm_sha256(samples: pd.Series, rate: pd.Series, channels: pd.Series) -> pd.S
     return pd.Series([one(*z) for z in zip(samples, rate, channels, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def content_sha256(samples: pd.Series, rate: pd.Series, frames: pd.Series, channels: pd.Series) -> pd.Series:
     """FN26: the hash of 32-bit samples behind a packed header of rate, frames and channels."""
 

@@ -6,9 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import words
 
+#: Types as objects: names of types can only be read with a session.
+_SPLIT = T.StructType([T.StructField(n, T.LongType()) for n in ("substitutions", "deletions", "insertions", "hits")])
+
 
 def edit_distance(a: Column, b: Column) -> Column:
     """Edits between two arrays of words, in generated code: each distinct word of the pair becomes one
@@ -56,12 +60,12 @@ def align(reference: list, hypothesis: list) -> tuple[int, int, int, int]:
     return subs, n - hits - subs, m - hits - subs, hits
 
 
-@F.pandas_udf("substitutions long, deletions long, insertions long, hits long")
+@F.pandas_udf(_SPLIT)
 def _split(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([align((x or "").split(), (y or "").split()) for x, y in zip(a, b, strict=True)], columns=["substitutions", "deletions", "insertions", "hits"])
 
 
-@F.pandas_udf("substitutions long, deletions long, insertions long, hits long")
+@F.pandas_udf(_SPLIT)
 def _split_characters(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([align(list(x or ""), list(y or "")) for x, y in zip(a, b, strict=True)], columns=["substitutions", "deletions", "insertions", "hits"])
 

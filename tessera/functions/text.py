@@ -12,6 +12,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: fixed values: apostrophe forms that become '
 APOSTROPHES = "‘’‚‛ʼ`´"
@@ -36,12 +37,12 @@ def _clean_v2(text: str) -> str:
     return " ".join("".join(out).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unicode_v1(s: pd.Series) -> pd.Series:
     return s.map(_clean_v1, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unicode_v2(s: pd.Series) -> pd.Series:
     return s.map(_clean_v2, na_action="ignore")
 
@@ -83,7 +84,7 @@ def legacy_upper(c: Column) -> Column:
     return F.translate(F.upper(c), ". ,!?", "")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(s: pd.Series) -> pd.Series:
     def one(t):
         raw = t.encode()
