@@ -31,8 +31,9 @@ def numbered_jsonl(spark: SparkSession, path, schema: str, split: str) -> DataFr
 def bad_lines(spark: SparkSession, path, schema: str) -> DataFrame:
     """SRC2: file and text of lines that do not parse."""
     full = StructType([*StructType.fromDDL(schema).fields, StructField("_corrupt", StringType())])
-    rows = spark.read.schema(full).option("columnNameOfCorruptRecord", "_corrupt").json(path).withColumn("file", F.input_file_name())
-    return rows.where("_corrupt is not null").select("file", F.col("_corrupt").alias("line"))
+    lines = spark.read.text(path).where("trim(value) <> ''").withColumn("file", F.input_file_name())
+    parsed = lines.withColumn("r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    return parsed.where("r._corrupt is not null").select("file", F.col("value").alias("line"))
 
 
 def missing_files(manifest: DataFrame, column: str, files: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def union_columns(*dfs: DataFrame) -> DataFrame:
     """SNK6: tables under the union of their columns."""
-    out = dfs[0]
+    out = dfs[0].select("*")
     for d in dfs[1:]:
         out = out.unionByName(d, allowMissingColumns=True)
     return out
