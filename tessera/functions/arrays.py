@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -163,6 +165,42 @@ def convolve(x: pd.Series, impulse: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([one(a, b, n) for a, b, n in zip(x, impulse, most, strict=True)])
 
 
+def ratio(factor: float, most: int = 1000) -> tuple[int, int]:
+    """FN27: a factor as a fraction of small numbers."""
+    f = Fraction(factor).limit_denominator(most)
+    return f.numerator, f.denominator
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def stretch(x: pd.Series, factor: pd.Series) -> pd.Series:
+    """ARR7: length divided by a factor at the same pitch, by a phase vocoder (frames of 256, hop 64)."""
+
+    def one(a, f):
+        if a is None:
+            return None
+        a, n, hop = np.asarray(a, float), 256, 64
+        if f == 1.0 or not len(a):
+            return a
+        w = np.hanning(n)
+        padded = np.concatenate((np.zeros(n), a, np.zeros(2 * n)))
+        z = np.stack([np.fft.rfft(w * padded[i : i + n]) for i in range(0, len(padded) - n, hop)])
+        at = np.arange(0, len(z) - 1, f)
+        advance = 2 * np.pi * hop * np.arange(z.shape[1]) / n
+        phase, out, norm = np.angle(z[0]), np.zeros(len(at) * hop + n), np.zeros(len(at) * hop + n)
+        for k, t in enumerate(at):
+            i, part = int(t), t - int(t)
+            size = (1 - part) * np.abs(z[i]) + part * np.abs(z[i + 1])
+            out[k * hop : k * hop + n] += w * np.fft.irfft(size * np.exp(1j * phase), n)
+            norm[k * hop : k * hop + n] += w * w
+            turn = np.angle(z[i + 1]) - np.angle(z[i]) - advance
+            phase = phase + advance + turn - 2 * np.pi * np.round(turn / (2 * np.pi))
+        out /= np.maximum(norm, 1e-3)
+        skip = round(n / f)
+        return out[skip : skip + max(1, round(len(a) / f))]
+
+    return pd.Series([one(a, f) for a, f in zip(x, factor, strict=True)])
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def change_speed(x: pd.Series, factor: pd.Series) -> pd.Series:
     """ARR6: resampled to length / factor by band-limited (Fourier) interpolation; factor 1 leaves a copy."""
@@ -171,7 +209,8 @@ def change_speed(x: pd.Series, factor: pd.Series) -> pd.Series:
         if a is None:
             return None
         a = np.asarray(a, float)
-        n = max(1, round(len(a) / f)) if len(a) else 0
+        up, down = ratio(f)
+        n = max(1, round(len(a) * down / up)) if len(a) else 0
         if f == 1.0 or n == len(a):
             return a
         z = np.fft.rfft(a)

@@ -64,6 +64,12 @@ def normalize_v2(c: Column) -> Column:
     return _ascii_only(c, native, _unicode_v2)
 
 
+def basic_normalize(c: Column) -> Column:
+    """FN6: lower case, marks kept, signs and punctuation to spaces. What the library behind the original did is
+    not stated anywhere, so this is FN2 without its apostrophes."""
+    return F.trim(F.regexp_replace(F.replace(normalize_v2(c), F.lit("'"), F.lit(" ")), " +", " "))
+
+
 def only_characters(c: Column, allowed: str) -> Column:
     """FN3: whether a text has characters of a class only (regular-expression class body)."""
     return c.rlike(f"^[{allowed}]*$")

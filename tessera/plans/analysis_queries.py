@@ -35,6 +35,11 @@ def text_normalize_v2(spark, d):
     return _docs(spark, d).select("doc_id", T.normalize_v2(F.col("text")).alias("clean"))
 
 
+@query("FN6", r"SELECT doc_id, trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')) AS clean FROM documents")
+def text_normalize_basic(spark, d):
+    return _docs(spark, d).select("doc_id", T.basic_normalize(F.col("text")).alias("clean"))
+
+
 @query("FN3 FN4", r"SELECT doc_id, regexp_full_match(text, '[\p{L}\p{P}\s]*') AS letters_only, regexp_matches(text, '\p{N}') AS has_number FROM documents")
 def character_checks(spark, d):
     x = F.col("text")
@@ -209,13 +214,13 @@ def tiled_noise(spark, d):
     return e.select("vec_id", _r(V.total(V.fit_by_tiling(F.col("embedding"), F.lit(100), F.col("vec_id") % 7))).alias("total"))
 
 
-@query("ARR5 ARR6 ARR9 ARR10")
+@query("ARR5 ARR6 ARR7 ARR9 ARR10 FN27")
 def augmented_signals(spark, d):
     e = table(spark, d, "embeddings").where(F.size("embedding") == 64)
     x, imp = F.col("embedding"), F.slice("embedding", 1, 8)
     condition = F.get(F.array(*map(F.lit, ("clean", "noise", "rir", "noise-rir", "speed"))), (F.col("vec_id") % 5).cast("int"))
     aug = V.augment(x, F.reverse("embedding"), imp, F.col("vec_id"), condition)
-    return e.select("vec_id", F.size(V.convolve(x, imp, F.lit(64))).alias("convolved"), F.size(V.change_speed(x, F.lit(0.9))).alias("slowed"), condition.alias("condition"), _r(V.rms(aug)).alias("rms"))
+    return e.select("vec_id", F.size(V.convolve(x, imp, F.lit(64))).alias("convolved"), F.size(V.change_speed(x, F.lit(0.9))).alias("slowed"), F.size(V.stretch(x, F.lit(1.25))).alias("stretched"), condition.alias("condition"), _r(V.rms(aug)).alias("rms"))
 
 
 @query("ARR11 ARR12")

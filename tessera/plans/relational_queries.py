@@ -73,6 +73,27 @@ def dropped_rows(spark, d):
     return M.dropped_rows(_docs(spark, d), "source", "text")
 
 
+@query("SRC3", "SELECT doc_id FROM documents WHERE lang NOT IN (SELECT DISTINCT lang FROM documents WHERE doc_id < 5)")
+def missing_files(spark, d):
+    x = _docs(spark, d).select("doc_id", F.col("lang").alias("file"))
+    return M.missing_files(x, "file", x.where("doc_id < 5").select(F.col("file").alias("path"))).select("doc_id")
+
+
+@query("SRC14 SRC22", "SELECT doc_id FROM documents WHERE lang = 'fr'")
+def pinned_dataset(spark, d):
+    extra = {"fr": _docs(spark, d).where("lang = 'fr'").withColumn("revision", F.lit("v2"))}
+    return M.pinned(extra["fr"], "v2").select("doc_id")
+
+
+@query("SRC17", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: (v::DOUBLE + 2 * v::DOUBLE) / 2)), 5) AS total FROM embeddings WHERE len(embedding) > 0")
+def downmixed(spark, d):
+    from tessera.functions.arrays import total
+
+    e = table(spark, d, "embeddings").where(F.size("embedding") > 0)
+    two = F.array(F.transform("embedding", lambda v: v.cast("double")), F.transform("embedding", lambda v: 2 * v.cast("double")))
+    return e.select("vec_id", F.round(total(M.downmix(two)), 5).alias("total"))
+
+
 @query("SRC19", "SELECT p_partkey FROM part WHERE p_size % 3 = 0 AND p_partkey % 2 = 0")
 def asset_partition(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, "noise").otherwise("rir").alias("kind"), F.get(F.array(F.lit("train"), F.lit("validation"), F.lit("test")), F.col("p_size") % 3).alias("partition"))

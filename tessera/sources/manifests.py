@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
+import wave
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from tessera.contracts import enforce, missing, not_missing, unique
 
@@ -157,3 +160,26 @@ def text_directory(text: DataFrame, files: DataFrame) -> DataFrame:
     """SRC23, JN14: paths with their text by base name, '' where there is none."""
     base = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
     return files.withColumn("name", base).join(text, "name", "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+_HEADER = StructType([StructField("sample_rate", IntegerType()), StructField("channels", IntegerType()), StructField("bits", IntegerType()), StructField("duration", DoubleType())])
+
+
+@F.pandas_udf(_HEADER)
+def wav_header(content: pd.Series) -> pd.DataFrame:
+    """SRC18: rate, channels, bits and duration of PCM WAV bytes; nulls for anything else. Other codecs need a
+    library that Spark does not bring."""
+
+    def one(raw):
+        try:
+            with wave.open(io.BytesIO(raw)) as w:
+                return w.getframerate(), w.getnchannels(), 8 * w.getsampwidth(), w.getnframes() / w.getframerate()
+        except (wave.Error, EOFError, TypeError, ZeroDivisionError):
+            return None, None, None, None
+
+    return pd.DataFrame([one(x) for x in content], columns=[f.name for f in _HEADER.fields])
+
+
+def pinned(df: DataFrame, revision: str, column: str = "revision") -> DataFrame:
+    """SRC22: rows, failing if any carries another revision than the pinned one."""
+    return enforce(df, df.where(~F.col(column).eqNullSafe(F.lit(revision))), "rows of another revision")

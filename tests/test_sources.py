@@ -107,3 +107,24 @@ def test_epoch_stream(spark, tmp_path):
     (src / "e1.json").write_text("\n".join(json.dumps({"epoch": 1, "id": str(i), "nll": float(9 - i), "duration": 1.0, "dataset_index": i}) for i in range(4)))
     chunks.epoch_states(spark, str(src), f"{tmp_path}/cp", f"{tmp_path}/out")
     assert [r.id for r in spark.read.parquet(f"{tmp_path}/out").orderBy("position").collect()] == ["3", "2", "1", "0"]
+
+
+def test_wav_header_and_stretch(spark, tmp_path):
+    import wave
+
+    import numpy as np
+
+    from tessera.functions.arrays import ratio, stretch
+
+    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(2)
+        w.setframerate(8000)
+        w.writeframes(b"\0" * 4 * 4000)
+    (tmp_path / "b.wav").write_bytes(b"not a wave file")
+    rows = M.listing(spark, str(tmp_path), "*.wav").select("path").join(spark.read.format("binaryFile").load(str(tmp_path)), "path").orderBy("path").select(M.wav_header("content").alias("h")).collect()
+    assert tuple(rows[0].h) == (8000, 2, 16, 0.5) and tuple(rows[1].h) == (None,) * 4
+    assert ratio(0.9) == (9, 10)
+    t = np.sin(np.arange(4000) * 2 * np.pi * 440 / 8000)
+    out = np.array(spark.createDataFrame([(t.tolist(), 1.25)], "x array<double>, f double").select(stretch("x", "f").alias("y")).first().y)
+    assert len(out) == 3200 and abs(np.abs(np.fft.rfft(out)).argmax() * 8000 / 3200 - 440) < 5
