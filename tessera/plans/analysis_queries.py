@@ -134,7 +134,7 @@ c AS (SELECT *, list_transform(list_filter(list_zip(ids[1:n], lp[1:n]), lambda z
 
 
 @query("FN17 FN19", _TOKENS + """ SELECT vec_id, n AS kept, len(c) AS content, CASE WHEN len(c) > 0 THEN round(list_sum(c), 6) END AS total, CASE WHEN len(c) > 0 THEN round(exp(list_sum(c) / len(c)), 6) END AS confidence,
-CASE WHEN len(c) > 0 THEN round(exp(list_min(c)), 6) END AS least, CASE WHEN len(c) > 0 THEN round(list_aggregate(list_transform(c, lambda v: exp(v)), 'quantile_cont', 0.1), 6) END AS p10, CASE WHEN pos > 0 THEN pos - 1 END AS end_position, pos = 0 AS hit_max FROM c""")
+CASE WHEN len(c) > 0 THEN round(exp(list_min(c)), 6) END AS least, CASE WHEN len(c) > 0 THEN round(list_aggregate(list_transform(c, lambda v: exp(v)), 'quantile_cont', 0.1), 6) END AS p10, CAST(CASE WHEN pos > 0 THEN pos - 1 END AS BIGINT) AS end_position, pos = 0 AS hit_max FROM c""")
 def token_statistics(spark, d):
     q = V.token_statistics(F.col("ids"), F.col("lp"), 9, [1])
     big = lambda c: c.cast("bigint")
@@ -186,7 +186,7 @@ WITH s AS (SELECT vec_id, embedding AS x, 40 AS rate, list_transform(range(0, 16
 p AS (SELECT *, list_max(l) * pow(10.0, -2.0) AS cut FROM s),
 a AS (SELECT *, list_filter(l, lambda v: v >= cut) AS act, list_position(list_transform(l, lambda v: v >= cut), true) - 1 AS first, 16 - list_position(list_reverse(list_transform(l, lambda v: v >= cut)), true) AS last FROM p)
 SELECT vec_id, round(20 * log10(greatest(list_max(list_transform(x, lambda v: abs(v::DOUBLE))), 2.2250738585072014e-308)), 6) AS peak_dbfs, round(len(act) / 16, 6) AS speech_ratio, round(list_aggregate(act, 'quantile_cont', .75), 6) AS speech_rms,
-  round(list_aggregate(l, 'quantile_cont', .2), 6) AS noise_rms, round(least(1.6, first * 0.1), 6) AS leading, round(greatest(0, 1.6 - least(1.6, (last + 1) * 0.1)), 6) AS trailing,
+  round(list_aggregate(l, 'quantile_cont', .2), 6) AS noise_rms, round(CAST(least(1.6, first * 0.1) AS DOUBLE), 6) AS leading, round(CAST(greatest(0, 1.6 - least(1.6, (last + 1) * 0.1)) AS DOUBLE), 6) AS trailing,
   round(least(60.0, 20 * log10(greatest(list_aggregate(act, 'quantile_cont', .75), 2.2250738585072014e-308)) - 20 * log10(greatest(list_aggregate(l, 'quantile_cont', .2), 2.2250738585072014e-308))), 6) AS snr FROM a""")
 def waveform_profile(spark, d):
     e = V.acoustic_profile(table(spark, d, "embeddings").where(F.size("embedding") == 64), "embedding", F.lit(40))

@@ -259,7 +259,7 @@ def selection_profile(spark, d):
     return A.group_profile(_docs(spark, d).select("source", (F.col("n_chars") / 3600.0).alias("h")), "source", "h")
 
 
-@query("AG5", "SELECT 0::BIGINT AS rows, 0.0 AS hours, 0::BIGINT AS groups, NULL::BIGINT AS max_rows, NULL::DOUBLE AS max_hours, NULL::DOUBLE AS max_row_share, NULL::DOUBLE AS max_hour_share")
+@query("AG5", "SELECT 0::BIGINT AS rows, 0.0::DOUBLE AS hours, 0::BIGINT AS groups, NULL::BIGINT AS max_rows, NULL::DOUBLE AS max_hours, NULL::DOUBLE AS max_row_share, NULL::DOUBLE AS max_hour_share")
 def empty_selection_profile(spark, d):
     return A.group_profile(_docs(spark, d).where("false").select("source", (F.col("n_chars") / 3600.0).alias("h")), "source", "h")
 
