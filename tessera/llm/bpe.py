@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
 A word (one match of the split pattern) is an array of byte pieces in hexadecimal. The fold merges the
-leftmost pair of lowest rank until no pair has a rank. Ranks are a constant: an array of small maps,
+leftmost pair of lowest rank until no pair has a rank. Ranks are a constant: an array of small tables,
 addressed by the CRC-32 of a piece. The words of the corpus are counted, the ``hot`` most frequent ones (a
 documented bound) are folded once and become a second constant; documents look words up there and fold any
 other word where it stands. Constants enter queries as scalar subqueries, which execution turns into
@@ -28,7 +28,6 @@ HOT_CHARS = 48
 #: Unicode's White_Space, which \\s means in the split pattern (Java's own \\s is ASCII only).
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _NONE = 2147483647
-_A, _B = "\x01", "\x02"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -43,52 +42,60 @@ def _value(spark: SparkSession, value, kind: str) -> Column:
 
 
 def _bucket(key: Column, n: int) -> Column:
-    return F.pmod(F.crc32(key.cast("binary")), F.lit(n)).cast("int")
+    return (F.crc32(key.cast("binary")) % F.lit(n)).cast("int")
 
 
 def _let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def _find(entry: Column, key: Column) -> Column:
+    """The value of a key in a small table: a struct of parallel arrays k and v."""
+    # the entry is cheap to reach twice, cheaper than to bind
+    return F.get(entry["v"], F.array_position(entry["k"], key).cast("int") - 1)
+
+
 class Ranks:
-    """The map from piece (in hexadecimal) to rank: an array of small maps addressed by CRC-32."""
+    """The map from piece (in hexadecimal) to rank: an array of small tables addressed by CRC-32."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
         self.n = max(1, len(ranks) // 2)
-        rows: list[dict[str, int]] = [{} for _ in range(self.n)]
+        rows: list[dict] = [{"k": [], "v": []} for _ in range(self.n)]
         for k, v in ranks.items():
             h = k.hex().upper()
-            rows[zlib.crc32(h.encode()) % self.n][h] = v
-        self.value = _value(spark, rows, "array<map<string,int>>")
+            row = rows[zlib.crc32(h.encode()) % self.n]
+            row["k"].append(h)
+            row["v"].append(v)
+        self.value = _value(spark, rows, "array<struct<k:array<string>,v:array<int>>>")
 
     def get(self, table: Column, key: Column) -> Column:
-        return F.try_element_at(F.get(table, _bucket(key, self.n)), key)
+        return _find(F.get(table, _bucket(key, self.n)), key)
 
 
 class Hot:
-    """The map from word to ids: bucket strings addressed by CRC-32, in groups of ``GROUP``. The table is built
-    and stays on the executors; the driver never holds it as an object."""
+    """The map from word to ids: small tables addressed by CRC-32, in groups of ``GROUP``. It is built and stays on
+    the executors; the driver never holds it as an object."""
 
-    GROUP = 16
+    SHIFT = 4
+    GROUP = 1 << SHIFT
 
     def __init__(self, words: DataFrame, n: int):
         g = self.GROUP
         self.n = max(1, n // g) * g
         spark = words.sparkSession
-        entry = F.concat(F.lit(_A), "w", F.lit(_B), "ids")
-        rows = words.groupBy(_bucket(F.col("w"), self.n).alias("b")).agg(F.array_join(F.sort_array(F.collect_list(entry)), "").alias("row"))
-        rows = rows.groupBy(F.floor(F.col("b") / g).cast("int").alias("q")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("b") % g, "row"))).alias("m"))
+        rows = words.groupBy(_bucket(F.col("w"), self.n).alias("b")).agg(F.sort_array(F.collect_list(F.struct("w", "ids"))).alias("x"))
+        rows = rows.select("b", F.struct(F.transform("x", lambda x: x["w"]).alias("k"), F.transform("x", lambda x: x["ids"]).alias("v")).alias("e"))
+        rows = rows.groupBy(F.floor(F.col("b") / g).cast("int").alias("q")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("b") % g, "e"))).alias("m"))
         whole = spark.range(self.n // g).select(F.col("id").cast("int").alias("q")).join(rows, "q", "left")
-        strings = F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda i: F.coalesce(F.concat(F.try_element_at("m", i), F.lit(_A)), F.lit(_A)))
+        none = F.array().cast("array<string>")
+        entries = F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.struct(none.alias("k"), none.alias("v"))))
         # a fixed number of groups meets in one row
-        one = whole.select("q", strings.alias("s")).agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "s"))), lambda x: x["s"]).alias("v"))
+        one = whole.select("q", entries.alias("s")).agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "s"))), lambda x: x["s"]).alias("v"))
         self.value = materialize(one, "bpe-hot").scalar()
 
     def get(self, table: Column, key: Column) -> Column:
-        row = _let(_bucket(key, self.n), lambda b: F.get(F.get(table, F.floor(b / self.GROUP).cast("int")), b % self.GROUP))
-        rest = F.call_function("substring_index", row, F.concat(F.lit(_A), key, F.lit(_B)), F.lit(-1))
-        # without the key the row comes back whole, and that begins with the mark
-        return _let(rest, lambda x: F.when(F.startswith(x, F.lit(_A)), None).otherwise(F.substring_index(x, _A, 1)))
+        b = _bucket(key, self.n)
+        return _find(F.get(F.get(table, F.shiftright(b, self.SHIFT)), b.bitwiseAND(self.GROUP - 1)), key)
 
 
 def fold(word: Column, ranks: Ranks, table: Column) -> Column:
@@ -146,7 +153,7 @@ class Codec:
     def learn_hot(self, docs: DataFrame, text_col: str = "text", hot: int = HOT) -> Codec:
         """Count the words of the corpus and fold the most frequent ones once."""
         w = docs.select(F.explode(self.words(F.col(text_col))).alias("w"))
-        w = w.groupBy("w").count().where((F.length("w") <= HOT_CHARS) & (F.col("count") > 1) & ~F.col("w").rlike(f"[{_A}{_B}]"))
+        w = w.groupBy("w").count().where((F.length("w") <= HOT_CHARS) & (F.col("count") > 1))
         # frequency classes, 16 to each doubling, so the cut at ``hot`` words needs no sort and no large result
         w = materialize(w.withColumn("c", F.floor(16 * F.log2("count")).cast("int")), "bpe-words")
         left, cut = hot, 0
