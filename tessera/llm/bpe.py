@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize, read
 
 HOT = 1 << 20
+#: Of these, words in the first table to be asked.
+FEW = 1 << 13
 #: Words longer than this are never hot, so the literal has a size bound.
 HOT_CHARS = 48
 #: Unicode's White_Space, which \\s means in the split pattern (Java's own \\s is ASCII only).
@@ -145,7 +147,7 @@ class Codec:
         self.pattern = pattern.replace(r"[^\s", "[^" + SPACE).replace(r"\s", "[" + SPACE + "]").replace(r"\S", "[^" + SPACE + "]")
         self.ranks = Ranks(spark, ranks)
         self.pieces = _value(spark, [k.hex().upper() for k in sorted(ranks, key=ranks.get)], "array<string>")
-        self.hot: Hot | None = None
+        self.hot: list[Hot] = []
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -154,15 +156,21 @@ class Codec:
         """Count the words of the corpus and fold the most frequent ones once."""
         w = docs.select(F.explode(self.words(F.col(text_col))).alias("w"))
         w = w.groupBy("w").count().where((F.length("w") <= HOT_CHARS) & (F.col("count") > 1))
-        # frequency classes, 16 to each doubling, so the cut at ``hot`` words needs no sort and no large result
+        # frequency classes, 16 to each doubling, so a cut at a number of words needs no sort and no large result
         w = materialize(w.withColumn("c", F.floor(16 * F.log2("count")).cast("int")), "bpe-words")
-        left, cut = hot, 0
-        for c, n in sorted(w.groupBy("c").count().collect(), reverse=True):
-            if n > left:
-                cut = c + 1
-                break
-            left -= n
-        self.hot = Hot(self.fold_words(w.where(F.col("c") >= cut).select("w")), max(1, hot // 8))
+        sizes = sorted(w.groupBy("c").count().collect(), reverse=True)
+
+        def cut(most: int) -> int:
+            for c, n in sizes:
+                most -= n
+                if most < 0:
+                    return c + 1
+            return 0
+
+        chosen = materialize(self.fold_words(w.where(F.col("c") >= cut(hot))), "bpe-folded")
+        # most tokens are found in a table small enough for a core's cache
+        few = min(FEW, hot)
+        self.hot = [Hot(chosen.where(F.col("c") >= cut(few)), max(1, few // 4)), Hot(chosen, max(1, hot // 8))]
         return self
 
     def _with(self, df: DataFrame, name: str, expr, **constants: Column) -> DataFrame:
@@ -178,12 +186,13 @@ class Codec:
     def encode(self, docs: DataFrame, text_col: str = "text", name: str = "ids") -> DataFrame:
         """``docs`` with the ids of a text, joined by commas."""
         words = self.words(F.col(text_col))
-        if self.hot is None:
+        if not self.hot:
             whole = _let(F.col("__r"), lambda r: F.array_join(F.transform(words, lambda w: fold(w, self.ranks, r)), ","))
             return self._with(docs, name, whole, r=self.ranks.value)
-        one = lambda r, h: lambda w: F.coalesce(self.hot.get(h, w), fold(w, self.ranks, r))
-        whole = _let(F.col("__r"), lambda r: _let(F.col("__h"), lambda h: F.array_join(F.transform(words, one(r, h)), ",")))
-        return self._with(docs, name, whole, r=self.ranks.value, h=self.hot.value)
+        few, hot = self.hot
+        one = lambda r, f, h: lambda w: F.coalesce(few.get(f, w), hot.get(h, w), fold(w, self.ranks, r))
+        whole = _let(F.col("__r"), lambda r: _let(F.col("__f"), lambda f: _let(F.col("__h"), lambda h: F.array_join(F.transform(words, one(r, f, h)), ","))))
+        return self._with(docs, name, whole, r=self.ranks.value, f=few.value, h=hot.value)
 
     def decode(self, df: DataFrame, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
         """``df`` with the bytes of ids joined by commas."""
