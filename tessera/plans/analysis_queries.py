@@ -265,7 +265,7 @@ def cluster_bootstrap(spark, d):
 o AS (SELECT 100.0 * sum(eb) / sum(n) AS a, 100.0 * sum(ec) / sum(n) AS b, 100.0 * sum(ed) / sum(n) AS c, 100.0 * sum(eb + ec - ed) / sum(n) AS d FROM c),
 f AS (SELECT 'noise' AS effect, ((a - b) + (c - d)) / 2 AS v FROM w UNION ALL SELECT 'rir', ((a - c) + (b - d)) / 2 FROM w UNION ALL SELECT 'interaction', b + c - d - a FROM w),
 g AS (SELECT 'noise' AS effect, ((a - b) + (c - d)) / 2 AS obs FROM o UNION ALL SELECT 'rir', ((a - c) + (b - d)) / 2 FROM o UNION ALL SELECT 'interaction', b + c - d - a FROM o)
-SELECT effect, round(any_value(obs), 6) AS observed, round((count(*) FILTER (abs(round(v - obs, 9)) >= abs(round(obs, 9))) + 1) / (count(*) + 1), 9) AS p FROM f JOIN g USING (effect) GROUP BY effect""")
+SELECT effect, round(any_value(obs), 6) + 0.0::DOUBLE AS observed, round((count(*) FILTER (abs(round(v - obs, 9)) >= abs(round(obs, 9))) + 1) / (count(*) + 1), 9) AS p FROM f JOIN g USING (effect) GROUP BY effect""")
 def factorial_bootstrap(spark, d):
     c = _clusters(spark, d)
     rate = lambda e: 100.0 * F.sum(e) / F.sum("n")
@@ -276,7 +276,7 @@ def factorial_bootstrap(spark, d):
     obs = c.agg(*cells).select(long).select(F.col("x.effect").alias("effect"), F.col("x.v").alias("obs"))
     j = draws.join(F.broadcast(obs), "effect").withColumn("centred", F.round(F.col("v") - F.col("obs"), 9))
     p = j.groupBy("effect", "obs").agg(((F.count_if(F.abs("centred") >= F.abs("obs")) + 1) / (F.count("*") + 1)).alias("p"))
-    return p.select("effect", F.round("obs", 6).alias("observed"), F.round("p", 9).alias("p"))
+    return p.select("effect", (F.round("obs", 6) + 0.0).alias("observed"), F.round("p", 9).alias("p"))
 
 
 @query("STA5 WN4", """

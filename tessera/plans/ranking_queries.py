@@ -218,7 +218,7 @@ t AS (SELECT trial, user_id, rows, hours, row_number() OVER (PARTITION BY trial
 s AS (SELECT *, CASE WHEN r < {h} THEN 'validation' WHEN r < 2 * {h} THEN 'test' ELSE 'train' END AS split FROM t),
 p AS (SELECT trial, split, sum(rows) AS r, sum(hours) AS h, max(rows) AS mr, max(hours) AS mh, CASE split WHEN 'train' THEN .8 ELSE .1 END AS q FROM s GROUP BY trial, split),
 k AS (SELECT trial, round(sum(pow((r - q * (SELECT sum(rows) FROM g)) / (q * (SELECT sum(rows) FROM g)), 2) + pow((h - q * (SELECT sum(hours) FROM g)) / (q * (SELECT sum(hours) FROM g)), 2)), 12) AS score,
-  bool_and(split = 'train' OR (mr <= {m} * r AND mh <= {m} * h)) AS ok FROM p GROUP BY trial),
+  bool_and(split = 'train' OR (mr <= {m} * r AND mh <= {m} * h)) AND count(*) = 3 AS ok FROM p GROUP BY trial),
 b AS (SELECT trial, score FROM k WHERE ok ORDER BY score, trial LIMIT 1)
 SELECT s.user_id, s.split, CAST(s.trial AS INTEGER) AS trial FROM s JOIN b USING (trial)"""
 
