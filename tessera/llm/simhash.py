@@ -78,6 +78,7 @@ def _variants(bits: list[int], radius: int) -> list[int]:
 
 def allocate(sample: np.ndarray, total: int, distance: int = DISTANCE, row_cost: float = 2e-6, pair_cost: float = 2e-9):
     """Parts (lists of bits) and their thresholds of least estimated cost for ``total`` fingerprints."""
+    total = max(1, total)
     if not len(sample):
         sample = np.zeros(1, np.uint64)
     bits = ((sample[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float64)
