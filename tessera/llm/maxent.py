@@ -3,14 +3,19 @@
 A token is a word or the end of a text. The most frequent words are dealt by rank into classes of equal
 size; all other words fall into classes by their last two bytes. P(token | context) = P(class | context) *
 P(token | class, context). Both factors are softmaxes over sums of weight rows picked by hashed features of
-the context: the word before, the two words before, and a skip to the second word before. Inside a class of infrequent words, probability goes by smoothed counts, so the whole is a distribution over the
+the context: the word before, the two words before, and skips to the second and third word before. Inside a
+class of infrequent words, probability goes by smoothed counts, so the whole is a distribution over the
 known words and one unknown word a class.
 
+The weight tables have a row for every ``PER_ROW`` distinct contexts of the training texts, ``ROWS`` at least, so
+contexts share rows no more in a large corpus than in a small one.
+
 Training starts from the unigram distribution. In each round every partition runs stochastic gradient steps
-over its share of the training texts; the changes of the weights are summed over partitions, block by block
-in two levels, and averaged by the number of tokens that touched a row. All training texts are read once
-over the rounds. The model and the ``HOT`` most frequent words (documented bounds) are broadcast; counts of
-any other word reach the texts that hold it through a join, so counts and scores are exact for every word.
+over its share of the training texts; the changes of the rows it touched are summed over partitions, block by
+block in two levels, and averaged by the number of tokens that touched a row. All training texts are read once
+over the rounds. The model (as large as its tables) and the ``HOT`` most frequent words (a documented bound) are
+broadcast; counts of any other word reach the texts that hold it through a join, so counts and scores are exact
+for every word.
 
 Defined results: a null text is empty and has one token, its end; without training texts every base score
 is 0; repeated rows are texts each, and count in training each time. An empty table gives no rows.
@@ -30,15 +35,18 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, read
 
-FREQUENT, MEMBERS, RARE = 32, 32, 16
+FREQUENT, MEMBERS, RARE = 48, 32, 16
 CLASSES = FREQUENT + RARE
-ROWS = 1 << 13
+#: Least rows of a weight table, and the distinct contexts for which there is a row.
+ROWS, PER_ROW = 1 << 14, 2048
+#: Least hashes kept to estimate how many contexts are distinct.
+KEPT = 4096
 HOT = 1 << 17
 ROUNDS = 2
 RATE, BATCH = 0.35, 4096
 #: Tokens scored together: their rows stay in a core's cache.
 PART = 1024
-PAD = 2
+PAD = 3
 END = b"\n"  # no word holds white space
 _BLOCK = 256
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -87,17 +95,17 @@ class Vocabulary:
 def contexts(ids: np.ndarray) -> np.ndarray:
     """Feature hashes by token, for ids that have PAD pads before each text; the first PAD rows are void."""
     u = ids.astype(np.uint64)
-    w1, w2 = (np.concatenate((np.zeros(k, np.uint64), u[:-k])) for k in (1, 2))
-    f = np.stack([w1 * _K[0] + np.uint64(1), w1 * _K[1] + w2 * _K[2] + np.uint64(2), w2 * _K[0] + np.uint64(3)])
+    w1, w2, w3 = (np.concatenate((np.zeros(k, np.uint64), u[:-k])) for k in (1, 2, 3))
+    f = np.stack([w1 * _K[0] + np.uint64(1), w1 * _K[1] + w2 * _K[2] + np.uint64(2), w2 * _K[0] + np.uint64(3), w3 * _K[0] + np.uint64(4)])
     f ^= f >> np.uint64(31)
     f *= _K[3]
     return f ^ (f >> np.uint64(29))
 
 
 def segment_sums(rows: np.ndarray, grad: np.ndarray):
-    """Distinct rows, their counts and the sums of their gradients. Rows fit 16 bits, which sort fast; short
-    segments are added up side by side, long ones one by one."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    """Distinct rows, their counts and the sums of their gradients. Rows of the least table fit 16 bits, which
+    sort fast; short segments are added up side by side, long ones one by one."""
+    order = np.argsort(rows.astype(np.uint16) if rows.max() < 1 << 16 else rows, kind="stable")
     g = grad[order]
     first = np.flatnonzero(np.diff(rows[order], prepend=-1))
     n = np.diff(np.append(first, len(rows)))
@@ -124,14 +132,15 @@ def softmax(scores: np.ndarray):
 
 
 class Model:
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, rows: int = ROWS):
         self.v = vocabulary
-        self.by_class = np.zeros((ROWS, CLASSES), np.float32)
-        self.by_word = np.zeros((ROWS, MEMBERS), np.float32)
+        self.shift = np.uint64(65 - rows.bit_length())  # ``rows`` is a power of two
+        self.by_class = np.zeros((rows, CLASSES), np.float32)
+        self.by_word = np.zeros((rows, MEMBERS), np.float32)
 
     def forward(self, f: np.ndarray, cls: np.ndarray):
         """Rows and scores of the class factor, and of the member factor where the class is frequent."""
-        rows = (f >> np.uint64(40)).astype(np.int64) & (ROWS - 1)
+        rows = (f >> self.shift).astype(np.int64)
         z = self.by_class[rows[0]]
         for r in rows[1:]:
             z += self.by_class[r]
@@ -139,7 +148,7 @@ class Model:
         own = np.flatnonzero(cls < FREQUENT)
         c = cls[own]
         g = (f[:, own] + c.astype(np.uint64) * _K[2]) * _K[1]
-        member_rows = (g >> np.uint64(40)).astype(np.int64) & (ROWS - 1)
+        member_rows = (g >> self.shift).astype(np.int64)
         y = self.by_word[member_rows[0]]
         for r in member_rows[1:]:
             y += self.by_word[r]
@@ -243,9 +252,34 @@ def hot_words(counts: DataFrame, limit: int = HOT) -> Vocabulary:
     return Vocabulary(words, c, np.maximum(mass, 0), int(total), int(distinct))
 
 
+def count_contexts(docs: DataFrame, v: Vocabulary) -> int:
+    """About how many contexts of ``docs`` are distinct, by their least hashes; exact for few."""
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+
+    def run(parts):
+        least = np.zeros(0, np.int64)
+        for d in parts:
+            for ids, where, _, _, _ in _batches(d["text"], shared.value, 4 * BATCH):
+                h = contexts(ids)[:, where].ravel() * _K[1]
+                h = ((h ^ (h >> np.uint64(32))) * _K[3] >> np.uint64(1)).astype(np.int64)
+                if len(least) == KEPT:
+                    h = h[h < least[-1]]
+                least = np.unique(np.concatenate((least, h)))[:KEPT]
+        yield pd.DataFrame({"h": least})
+
+    found = docs.select("text").mapInPandas(run, "h long").distinct().orderBy("h").limit(KEPT).collect()
+    shared.unpersist()
+    return len(found) if len(found) < KEPT else int((KEPT - 1) / ((found[-1]["h"] + 1) / 2.0**63))
+
+
+def table_rows(n_contexts: int) -> int:
+    return max(ROWS, 1 << max(0, -(-n_contexts // PER_ROW) - 1).bit_length())
+
+
 def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model:
     spark = docs.sparkSession
-    model = Model(v)
+    model = Model(v, table_rows(count_contexts(docs, v)))
+    rows = len(model.by_class)
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(model)
         share = docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k) if rounds > 1 else docs
@@ -253,35 +287,39 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model:
         def run(parts, shared=shared):
             m = shared.value
             before = [m.by_class, m.by_word]
-            m = Model(m.v)
+            m = Model(m.v, rows)
             m.by_class, m.by_word = (x.copy() for x in before)
-            squares = [np.zeros(ROWS, np.float32) for _ in range(2)]
-            touched = [np.zeros(ROWS, np.float32) for _ in range(2)]
+            squares = [np.zeros(rows, np.float32) for _ in range(2)]
+            touched = [np.zeros(rows, np.float32) for _ in range(2)]
             for d in parts:
                 for ids, where, cls, _, _ in _batches(d["text"], m.v, BATCH):
                     m.step(ids[where], contexts(ids)[:, where], cls, squares, touched)
             part = TaskContext.get().partitionId() // 64
             out = []
             for t, (a, b) in enumerate(zip((m.by_class, m.by_word), before, strict=True)):
-                change = (a - b) * touched[t][:, None]
-                for i in range(0, ROWS, _BLOCK):
-                    if touched[t][i : i + _BLOCK].any():
-                        out.append((t, i, part, touched[t][i : i + _BLOCK].tobytes(), change[i : i + _BLOCK].tobytes()))
-            yield pd.DataFrame(out, columns=["t", "i", "part", "n", "d"])
+                hit = np.flatnonzero(touched[t])
+                for at in np.split(hit, np.flatnonzero(np.diff(hit // _BLOCK)) + 1) if len(hit) else ():
+                    n = touched[t][at]
+                    out.append((t, int(at[0]) // _BLOCK * _BLOCK, part, (at % _BLOCK).astype(np.uint8).tobytes(), n.tobytes(), ((a[at] - b[at]) * n[:, None]).tobytes()))
+            yield pd.DataFrame(out, columns=["t", "i", "part", "at", "n", "d"])
 
         def add(d: pd.DataFrame) -> pd.DataFrame:
-            n = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in d["n"])
-            c = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in d["d"])
-            return pd.DataFrame({"t": d["t"][:1], "i": d["i"][:1], "part": d["part"][:1], "n": [n.astype(np.float32).tobytes()], "d": [c.astype(np.float32).tobytes()]})
-
-        kind = "t int, i int, part int, n binary, d binary"
+            n, c = np.zeros(_BLOCK), np.zeros((_BLOCK, (CLASSES, MEMBERS)[d["t"].iloc[0]]))
+            for at, own, change in zip(d["at"], d["n"], d["d"], strict=True):
+                at = np.frombuffer(at, np.uint8)
+                n[at] += np.frombuffer(own, np.float32)
+                c[at] += np.frombuffer(change, np.float32).reshape(len(at), -1)
+            at = np.flatnonzero(n)
+            return pd.DataFrame({"t": d["t"][:1], "i": d["i"][:1], "part": d["part"][:1], "at": [at.astype(np.uint8).tobytes()], "n": [n[at].astype(np.float32).tobytes()], "d": [c[at].astype(np.float32).tobytes()]})
+
+        kind = "t int, i int, part int, at binary, n binary, d binary"
         sums = share.select("text").mapInPandas(run, kind).groupBy("t", "i", "part").applyInPandas(add, kind)
         sums = sums.groupBy("t", "i").applyInPandas(add, kind)
-        for r in sums.toLocalIterator():  # blocks of a model of fixed size
+        for r in sums.toLocalIterator():  # blocks of the model
             table = (model.by_class, model.by_word)[r["t"]]
             n = np.frombuffer(r["n"], np.float32)
             d = np.frombuffer(r["d"], np.float32).reshape(len(n), -1)
-            table[r["i"] : r["i"] + len(n)] += d / np.maximum(n, 1)[:, None]
+            table[r["i"] + np.frombuffer(r["at"], np.uint8).astype(np.int64)] += d / np.maximum(n, 1)[:, None]
         shared.unpersist()
     return model
 

@@ -138,6 +138,27 @@ def test_maxent_is_a_distribution():
     assert abs(p.sum() + unknown.sum() - 1) < 1e-4
 
 
+def test_maxent_sees_the_third_word_and_grows(spark):
+    ids = np.array([maxent._UNSEEN - 1] * 3 + [1, 2, 3, 4, 9, 2, 3, 4])
+    f = maxent.contexts(ids)
+    assert maxent.PAD == 3 and (f[:, 6] != f[:, 10]).sum() == 1  # only the third word before differs
+    assert maxent.FREQUENT * maxent.MEMBERS == 1536 and maxent.table_rows(0) == maxent.ROWS >= 1 << 14
+    assert [maxent.table_rows(k * maxent.ROWS * maxent.PER_ROW) // maxent.ROWS for k in (1, 2, 3, 64)] == [1, 2, 4, 64]
+    g = np.random.default_rng(0)
+    rows, grad = g.integers(0, 1 << 18, 3000), np.ones((3000, 2), np.float32)
+    rows[:1500] = rows[0] ^ (1 << 17)
+    which, n, total = maxent.segment_sums(rows, grad)
+    assert dict(zip(which.tolist(), n.tolist(), strict=True)) == Counter(rows.tolist()) and (total[:, 0] == n).all()
+    texts = [f"a{i} b{i % 7} c{i % 5} d" for i in range(4000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    v = maxent.hot_words(maxent.count_tokens(docs))
+    seen = set()
+    for got, where, *_ in maxent._batches(texts, v, 4096):
+        seen.update(maxent.contexts(got)[:, where].ravel().tolist())
+    assert abs(maxent.count_contexts(docs, v) / len(seen) - 1) < 0.08
+    assert maxent.count_contexts(docs.limit(2), v) < 40
+
+
 def test_maxent_learns_context(spark):
     rows = [(i, " ".join(["alpha beta"] * 30 if i % 2 else ["gamma delta"] * 30)) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
