@@ -3,7 +3,8 @@
 Every 32-byte window of a text has a Shannon entropy, kept in fixed point and updated from window to window.
 Natural text has a typical entropy; the further a window is from it, the rarer it ranks. Within each run of
 32 neighbouring windows the rarest (the first of equals) gets a vote; windows with 8 votes or more are
-features. Features go in order into Bloom filters of 2,048 bits, 5 bits each, and a new filter begins after
+features. In a text of 32 bytes or more where no window is one, the rarest (the first of equals) is the only
+feature. Features go in order into Bloom filters of 2,048 bits, 5 bits each, and a new filter begins after
 160 features. Two digests are compared filter by filter: shared bits between what chance gives and what is
 possible at most, normalised to 0..1, each filter of the shorter digest against its best partner.
 
@@ -105,9 +106,9 @@ def _select(texts: list[bytes]) -> list[np.ndarray]:
     runs = np.maximum(n_windows - RUN + 1, 0)
     valid = np.repeat(begin - np.concatenate(([0], np.cumsum(runs)))[:-1], runs) + np.arange(runs.sum())
     votes = np.bincount(0xFFFFFFFF - (best[valid] & 0xFFFFFFFF), minlength=n)
-    few = np.flatnonzero(runs == 0)
     chosen = (votes >= VOTES) & (rank > 0)
-    for i in few:
+    # texts of few windows, of split votes or of low entropy alone: the rarest window stands for the text
+    for i in np.flatnonzero(np.add.reduceat(chosen, begin) == 0):
         chosen[begin[i] + int(key[begin[i] : ends[i]].argmax())] = True
     picks = np.flatnonzero(chosen)
     hashes = np.zeros(len(picks), np.uint64)

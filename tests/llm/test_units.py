@@ -120,6 +120,21 @@ def test_likeness():
     assert fingerprints.likeness(da, da) == 1 and fingerprints.likeness(da, db) < 0.1 < fingerprints.likeness(da, dab) < 1
 
 
+def test_every_text_has_a_feature():
+    g = np.random.default_rng(2)
+    prose = "the quick brown fox jumps over a lazy dog while seven wizards mix potions and brew strange ales".encode()
+    noise = bytes(g.integers(97, 123, 120).astype(np.uint8))
+    texts = [x[:n] for x in (prose * 2, noise) for n in range(1, 101)] + [b"a" * n for n in (31, 32, 62, 63, 64, 100, 3000)] + [b"ab" * 500, b"aab" * 40]
+    alone = [fingerprints._select([x])[0] for x in texts]
+    assert all(len(h) for h in alone)
+    for a, b in zip(alone, fingerprints._select([b"", *texts])[1:], strict=True):
+        assert a.tolist() == b.tolist()
+    d = fingerprints.digests([b"a" * 80, b"b" * 80, b"", b"a" * 80])
+    assert fingerprints.likeness(d[0], d[3]) == 1 and fingerprints.likeness(d[0], d[1]) == 0 and fingerprints.likeness(d[0], d[2]) == 0
+    # of windows without entropy the first is the feature
+    assert len(alone[-3]) == 1 and alone[-3].tolist() == fingerprints._select([b"a" * 32])[0].tolist()
+
+
 def test_maxent_is_a_distribution():
     words = [f"w{i}".encode() for i in range(3000)]
     counts = np.arange(3000, 0, -1)
