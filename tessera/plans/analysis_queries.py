@@ -75,7 +75,16 @@ SELECT g.doc_id, len(w) = 0 AS empty_text, len(w) AS word_count, round(len(w) /
   round(CASE WHEN len(g3) > 0 THEN (len(g3) - len(list_distinct(g3))) / len(g3) ELSE 0 END, 6) AS repeated_trigrams
 FROM g LEFT JOIN m USING (doc_id)""")
 def text_diagnostics(spark, d):
-    x = T.with_diagnostics(_docs(spark, d).where("n_chars < 4000"), "text", F.col("n_chars") / 15.0)
+    return _diagnostics(_docs(spark, d).where("n_chars < 4000"))  # what its SQL reads
+
+
+@query("FN9 FN10 WN6")
+def text_diagnostics_whole(spark, d):
+    return _diagnostics(_docs(spark, d))
+
+
+def _diagnostics(docs):
+    x = T.with_diagnostics(docs, "text", F.col("n_chars") / 15.0)
     q = {c: F.col(c) for c in x.columns}
     return x.select(
         "doc_id", q["empty_text"].alias("empty_text"), q["word_count"].cast("bigint").alias("word_count"), _r(q["words_per_second"]).alias("words_per_second"), _r(q["unique_word_ratio"]).alias("unique_word_ratio"),
