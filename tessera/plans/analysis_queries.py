@@ -92,8 +92,10 @@ def _diagnostics(docs):
     )
 
 
-def _pairs(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.lower(F.substring("text", 1, 60)), "[^a-z ]", "").alias("ref"))
+def _pairs(spark, d, whole=False):
+    """Turns beside the turns after them; their first 60 characters, as their SQL reads them, or whole."""
+    text = F.col("text") if whole else F.substring("text", 1, 60)
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.lower(text), "[^a-z ]", "").alias("ref"))
     n = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ref").alias("hyp"))
     return c.join(n, ["conv_id", "turn"])
 
@@ -103,7 +105,16 @@ _PAIRS = "WITH c AS (SELECT conv_id, turn, regexp_replace(lower(text[1:60]), '[^
 
 @query("FN11", _PAIRS + " SELECT conv_id, turn, round(levenshtein(ref, hyp) / greatest(1, length(ref), length(hyp)), 6) AS disagreement FROM p")
 def char_disagreement(spark, d):
-    return _pairs(spark, d).select("conv_id", "turn", _r(T.disagreement(F.col("ref"), F.col("hyp"))).alias("disagreement"))
+    return _disagreement(_pairs(spark, d))
+
+
+@query("FN11")
+def char_disagreement_whole(spark, d):
+    return _disagreement(_pairs(spark, d, True))
+
+
+def _disagreement(p):
+    return p.select("conv_id", "turn", _r(T.disagreement(F.col("ref"), F.col("hyp"))).alias("disagreement"))
 
 
 _WORDS = """, w AS (SELECT conv_id, turn, list_filter(string_split(ref, ' '), lambda x: x <> '') AS a, list_filter(string_split(hyp, ' '), lambda x: x <> '') AS b FROM p),
@@ -117,18 +128,45 @@ def pair_word_error(spark, d):
     return p.select("conv_id", "turn", E.word_errors(F.col("ref"), F.col("hyp")).cast("bigint").alias("errors"), _r(E.word_error_rate(F.col("ref"), F.col("hyp"))).alias("wer"))
 
 
+@query("FN12 FN13 FN14")
+def pair_word_error_whole(spark, d):
+    rate = F.when(F.col("n") == 0, F.col("m").cast("double")).otherwise(F.col("errors") / F.col("n"))
+    return _aligned(spark, d).select("conv_id", "turn", "errors", _r(rate).alias("wer"))
+
+
+def _aligned(spark, d):
+    """Whole turns beside the turns after them, aligned in Arrow functions: the builtin distance looks every word up
+    in an array anew, which whole turns make slow. Nulls where a text is null; n and m: their words."""
+    s = F.when(F.col("ref").isNotNull() & F.col("hyp").isNotNull(), E.alignment(F.col("ref"), F.col("hyp")))
+    p = _pairs(spark, d, True).withColumn("s", s).select("conv_id", "turn", "s.*")
+    same = F.col("hits") + F.col("substitutions")
+    errors = F.col("substitutions") + F.col("deletions") + F.col("insertions")
+    return p.select("conv_id", "turn", errors.alias("errors"), (same + F.col("deletions")).alias("n"), (same + F.col("insertions")).alias("m"))
+
+
 @query("FN12 FN13", _PAIRS + _WORDS + " SELECT conv_id, turn, errors, m - n AS balance FROM k")
 def alignment_split(spark, d):
     s = _pairs(spark, d).withColumn("s", E.alignment(F.col("ref"), F.col("hyp"))).select("conv_id", "turn", "s.*")
     return s.select("conv_id", "turn", (F.col("substitutions") + F.col("deletions") + F.col("insertions")).alias("errors"), (F.col("insertions") - F.col("deletions")).alias("balance"))
 
 
+@query("FN12 FN13")
+def alignment_split_whole(spark, d):
+    return _aligned(spark, d).select("conv_id", "turn", "errors", (F.col("m") - F.col("n")).alias("balance"))
+
+
 @query("FN15 FN16 AG2 FLT10 INF5", _PAIRS + _WORDS + " SELECT turn % 2 = 0 AS unseen, round(100.0 * sum(errors) / sum(n), 6) AS wer FROM k GROUP BY 1")
 def corpus_wer(spark, d):
     p = _pairs(spark, d).select((F.col("turn") % 2 == 0).alias("unseen"), E.word_errors(F.col("ref"), F.col("hyp")).alias("e"), F.size(T.words(F.col("ref"))).alias("n"))
     return p.groupBy("unseen").agg(_r(E.micro_rate(F.col("e"), F.col("n"))).alias("wer"))
 
 
+@query("FN15 FN16 AG2 FLT10 INF5")
+def corpus_wer_whole(spark, d):
+    p = _aligned(spark, d).select((F.col("turn") % 2 == 0).alias("unseen"), "errors", "n")
+    return p.groupBy("unseen").agg(_r(E.micro_rate(F.col("errors"), F.col("n"))).alias("wer"))
+
+
 # ---- tokens, hashes, numbers -------------------------------------------------------------------------------
 
 def _tokens(spark, d):

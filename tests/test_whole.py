@@ -1,5 +1,7 @@
 """The queries over whole tables that have no SQL, against brute force on small tables."""
 
+import re
+
 import pytest
 
 from tessera import catalog
@@ -37,3 +39,28 @@ def test_diagnostics_of_long_texts(spark, write):
         share = lambda n: 0 if len(w) < n else 1 - len({tuple(w[k : k + n]) for k in range(len(w) - n + 1)}) / (len(w) - n + 1)  # noqa: B023, E731
         assert (r.word_count, r.longest_run, r.empty_text) == (len(w), best, not w)
         assert r.repeated_bigrams == pytest.approx(share(2), abs=1e-6) and r.repeated_trigrams == pytest.approx(share(3), abs=1e-6)
+
+
+def test_errors_of_whole_turns(spark, write):
+    head = "the same first sixty characters of every turn are alike, so that "
+    turns = [(1, 0, head + "cats sleep"), (1, 1, head + "dogs bark all night"), (1, 2, head), (1, 3, head + "Dogs, bark all day"), (2, 0, ""), (2, 1, "x y"), (3, 0, "word " * 400), (3, 1, "word " * 380 + "other " * 30)]
+    d = write(conversations=(turns, "conv_id long, turn long, text string"))
+    clean = {(c, t): re.sub("[^a-z ]", "", x.lower()) for c, t, x in turns}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    pairs = {k: (x, clean[k[0], k[1] + 1]) for k, x in clean.items() if (k[0], k[1] + 1) in clean}
+    key = lambda r: (r.conv_id, r.turn)
+    assert {key(r): r.disagreement for r in rows(spark, "char_disagreement_whole", d)} == {k: round(edits(a, b) / max(1, len(a), len(b)), 6) for k, (a, b) in pairs.items()}
+    errors = {k: edits(a.split(), b.split()) for k, (a, b) in pairs.items()}
+    assert errors[1, 0] == 4 and {key(r): r.errors for r in rows(spark, "pair_word_error_whole", d)} == errors
+    assert {key(r): (r.errors, r.balance) for r in rows(spark, "alignment_split_whole", d)} == {k: (errors[k], len(b.split()) - len(a.split())) for k, (a, b) in pairs.items()}
+    for r in rows(spark, "corpus_wer_whole", d):
+        own = [k for k in pairs if (k[1] % 2 == 0) == r.unseen]
+        assert r.wer == pytest.approx(100 * sum(errors[k] for k in own) / sum(len(pairs[k][0].split()) for k in own), abs=1e-6)
