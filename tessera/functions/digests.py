@@ -8,7 +8,7 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,33 @@ def ordered_digest(position: Column, index: Column) -> Column:
     return F.sha2(F.array_join(F.transform(rows, lambda r: r["i"].cast("string")), ","), 256)
 
 
+def ordered_digests(d: DataFrame, group: str, position: list[str], index: str) -> DataFrame:
+    """FN24 for groups of any size: group, digest. A hash takes its bytes in order, so a group is one task, which
+    reads its sorted rows as a stream and holds a batch of them."""
+    kind = dict(d.dtypes)[group]
+    keyed = d.withColumn("_g", F.col(group).cast("string")).withColumn("_i", F.col(index).cast("string"))
+    rows = keyed.repartition("_g").sortWithinPartitions(F.asc_nulls_first("_g"), *position).select(F.col("_g").alias("g"), F.col("_i").alias("i"))
+
+    def run(batches):
+        h = key = None
+        some = False
+        for b in batches:
+            for g, part in b["i"].groupby(b["g"], sort=False, dropna=False):
+                g = None if pd.isna(g) else g
+                if h is None or g != key:
+                    if h is not None:
+                        yield pd.DataFrame({"g": [key], "digest": [h.hexdigest()]})
+                    h, key, some = hashlib.sha256(), g, False
+                part = part.dropna()
+                if len(part):
+                    h.update((("," if some else "") + ",".join(part)).encode())
+                    some = True
+        if h is not None:
+            yield pd.DataFrame({"g": [key], "digest": [h.hexdigest()]})
+
+    return rows.mapInPandas(run, "g string, digest string").select(F.col("g").cast(kind).alias(group), "digest")
+
+
 def file_sha256(content: Column) -> Column:
     """FN22 on the content column of a binaryFile scan."""
     return F.sha2(content, 256)

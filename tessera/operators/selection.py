@@ -148,13 +148,16 @@ def cohort_override(cells: DataFrame, overrides: DataFrame, keys: list[str], run
 def pick_candidate(speech: DataFrame, noise: DataFrame, key: str, noise_key: str, length: str, seed: int) -> DataFrame:
     """JN8 and FLT7: for each row, a seeded pick among candidates at least as long.
 
-    No pairs are made: candidates are ranked by falling length; the number that fit a row comes from one
-    merged running count, and the pick is an equi-join on rank.
+    No pairs are made: candidates are ranked by falling length, in their length and after the longer ones, which
+    are counted by length; the number that fit a row comes from one merged running count, and the pick is an
+    equi-join on rank.
     """
     n = noise.select(F.col(noise_key).alias("candidate"), F.col(length).alias("_len"))
-    w = Window.orderBy(F.desc("_len"), F.col("candidate").cast("string"))
-    ranked = n.withColumn("_rank", F.row_number().over(w))
-    fits = ranked.groupBy("_len").agg(F.max("_rank").alias("_fit"))
+    down = Window.orderBy(F.desc("_len")).rowsBetween(Window.unboundedPreceding, 0)  # distinct lengths
+    fits = n.groupBy("_len").agg(F.count("*").alias("_n")).withColumn("_fit", F.sum("_n").over(down).cast("int"))
+    longer = fits.select(F.col("_len").alias("_l"), (F.col("_fit") - F.col("_n")).alias("_longer"))
+    inner = F.row_number().over(Window.partitionBy("_len").orderBy(F.col("candidate").cast("string")))
+    ranked = n.withColumn("_i", inner).join(longer, F.col("_len").eqNullSafe(F.col("_l"))).withColumn("_rank", (F.col("_i") + F.col("_longer")).cast("int"))
     lengths = speech.select(F.col(length).alias("_need")).distinct()
     both = fits.select(F.col("_len").alias("_need"), "_fit").withColumn("_own", F.lit(False)).union(lengths.select("_need", F.lit(None).cast("int"), F.lit(True)))
     upto = F.last("_fit", ignorenulls=True).over(Window.orderBy(F.desc("_need"), "_own").rowsBetween(Window.unboundedPreceding, 0))

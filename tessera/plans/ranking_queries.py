@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.digests import draw, ordered_digest
+from tessera.functions.digests import draw, ordered_digest, ordered_digests
 from tessera.operators import ranking as R
 from tessera.operators import selection as S
 from tessera.plans.register import query, table
@@ -175,6 +175,11 @@ def ordered_index_digest(spark, d):
     return e.groupBy("event_type").agg(ordered_digest(F.struct("value", "event_id"), F.col("event_id")).alias("digest"))
 
 
+@query("FN24")
+def ordered_index_digest_whole(spark, d):
+    return ordered_digests(table(spark, d, "events"), "event_type", ["value", "event_id"], "event_id")
+
+
 @query("SEL2", """
 WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS k, count(*) OVER () AS n FROM documents)
 SELECT doc_id FROM r WHERE list_contains(list_transform(range(0, 40), lambda i: CAST(round_even(i * (n - 1) / 39.0, 0) AS BIGINT)), k)""")
@@ -290,6 +295,15 @@ e AS (SELECT s.doc_id, (SELECT count(*) FROM n WHERE n.len >= s.len) AS eligible
 SELECT e.doc_id, CAST(e.eligible AS INTEGER) AS eligible, r.candidate FROM e
 LEFT JOIN r ON e.eligible > 0 AND r.rank = CAST({_d("'9'", "CAST(e.doc_id AS VARCHAR)")} % greatest(e.eligible, 1) AS INTEGER) + 1""")
 def range_candidate_pick(spark, d):
+    return _range_pick(spark, d, table(spark, d, "events").where("event_id < 400"))  # what its SQL reads
+
+
+@query("JN8 FLT7")
+def range_candidate_pick_whole(spark, d):
+    return _range_pick(spark, d, table(spark, d, "events"))
+
+
+def _range_pick(spark, d, events):
     s = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("len"))
-    n = table(spark, d, "events").where("event_id < 400").select(F.col("event_id").alias("candidate_id"), F.round(F.col("value") * 20).cast("bigint").alias("len"))
+    n = events.select(F.col("event_id").alias("candidate_id"), F.round(F.col("value") * 20).cast("bigint").alias("len"))
     return S.pick_candidate(s, n, "doc_id", "candidate_id", "len", 9).select("doc_id", "eligible", "candidate")

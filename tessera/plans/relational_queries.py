@@ -108,9 +108,17 @@ def telemetry_filter(spark, d):
 
 @query("SRC23 JN14", "SELECT url AS path, coalesce(NULL, '') AS text FROM pages WHERE page_id < 20")
 def basename_left_join(spark, d):
-    files = table(spark, d, "pages").where("page_id < 20").select(F.col("url").alias("path"))
-    text = _docs(spark, d).where("doc_id < 0").select(F.col("source").alias("name"), "text")
-    return M.text_directory(text, files).select("path", "text")
+    return _basenames(table(spark, d, "pages").where("page_id < 20"), _docs(spark, d).where("doc_id < 0"))  # what its SQL reads
+
+
+@query("SRC23 JN14")
+def basename_left_join_whole(spark, d):
+    return _basenames(table(spark, d, "pages"), _docs(spark, d))
+
+
+def _basenames(pages, docs):
+    text = docs.select(F.col("source").alias("name"), "text")
+    return M.text_directory(text, pages.select(F.col("url").alias("path"))).select("path", "text")
 
 
 # ---- projections and filters -------------------------------------------------------------------------------
@@ -323,7 +331,16 @@ def exceedance_counts(spark, d):
 WITH c AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events WHERE event_id % 50 < 25 GROUP BY user_id), k AS (SELECT v FROM c WHERE len(v) % 3 = 0 AND len(v) > 0)
 SELECT e.i AS epoch, round(avg(v[e.i + 1]), 6) AS mean FROM k, (VALUES (0), (1), (2)) e(i) GROUP BY 1""")
 def curve_means(spark, d):
-    c = table(spark, d, "events").where("event_id % 50 < 25").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
+    return _curve_means(table(spark, d, "events").where("event_id % 50 < 25"))  # what its SQL reads
+
+
+@query("AG20")
+def curve_means_whole(spark, d):
+    return _curve_means(table(spark, d, "events"))
+
+
+def _curve_means(events):
+    c = events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
     k = c.where((F.size("v") % 3 == 0) & (F.size("v") > 0)).select(F.posexplode(F.slice("v", 1, 3)).alias("epoch", "x"))
     return k.groupBy("epoch").agg(F.round(F.avg("x"), 6).alias("mean"))
 
@@ -450,8 +467,17 @@ def recomputation_check(spark, d):
 
 @query("SNK1 SRC1 SRC2", "SELECT doc_id, lang, 'train' AS split FROM documents WHERE doc_id < 200")
 def jsonl_round_trip(spark, d):
+    return _through_jsonl(spark, _docs(spark, d).where("doc_id < 200"))  # what its SQL reads
+
+
+@query("SNK1 SRC1 SRC2")
+def jsonl_round_trip_whole(spark, d):
+    return _through_jsonl(spark, _docs(spark, d))
+
+
+def _through_jsonl(spark, docs):
     path = _scratch(spark)
-    K.write_jsonl(_docs(spark, d).where("doc_id < 200").select("doc_id", "lang"), path)
+    K.write_jsonl(docs.select("doc_id", "lang"), path)
     return M.jsonl(spark, path, "doc_id bigint, lang string").withColumn("split", F.lit("train"))
 
 

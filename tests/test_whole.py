@@ -1,5 +1,6 @@
 """The queries over whole tables that have no SQL, against brute force on small tables."""
 
+import hashlib
 import re
 
 import pytest
@@ -64,3 +65,30 @@ def test_errors_of_whole_turns(spark, write):
     for r in rows(spark, "corpus_wer_whole", d):
         own = [k for k in pairs if (k[1] % 2 == 0) == r.unseen]
         assert r.wer == pytest.approx(100 * sum(errors[k] for k in own) / sum(len(pairs[k][0].split()) for k in own), abs=1e-6)
+
+
+def test_queries_without_slices_of_ids(spark, write):
+    events = [(i, i % 4, ("a", "b", None)[i % 3], float((i * 7919) % 490)) for i in range(2900, 3130)] + [(5000 + i, 9, "a", 1.0) for i in range(3)]
+    docs = [(i, f"text {i}", "en", ("p1", "other")[i > 0], 30 * i) for i in range(0, 400, 7)] + [(401, None, None, "p2", 0)]
+    pages = [(i, f"http://h/x/p{i}.html") for i in range(30)]
+    d = write(events=(events, "event_id long, user_id long, event_type string, value double"), documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"), pages=(pages, "page_id long, url string"))
+    want = {g: hashlib.sha256(",".join(str(e[0]) for e in sorted(events, key=lambda e: (e[3], e[0])) if e[2] == g).encode()).hexdigest() for g in ("a", "b", None)}
+    assert {r.event_type: r.digest for r in rows(spark, "ordered_index_digest_whole", d)} == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        assert {r.event_type: r.digest for r in rows(spark, "ordered_index_digest_whole", d)} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lengths = {e[0]: round(e[3] * 20) for e in events}
+    picked = rows(spark, "range_candidate_pick_whole", d)
+    assert len(picked) == len(docs)
+    for r in picked:
+        need = next(x[4] for x in docs if x[0] == r.doc_id)
+        fit = sorted((k for k, v in lengths.items() if v >= need), key=lambda k: (-lengths[k], str(k)))
+        assert r.eligible == len(fit) and (r.candidate in fit if fit else r.candidate is None)
+    curves = [[e[3] for e in sorted(events) if e[1] == u] for u in range(10)]
+    curves = [c for c in curves if c and len(c) % 3 == 0]
+    assert curves and {r.epoch: r["mean"] for r in rows(spark, "curve_means_whole", d)} == {k: round(sum(c[k] for c in curves) / len(curves), 6) for k in range(3)}
+    joined = [(f"http://h/x/p{i}.html", t) for i in range(30) for t in ([x[1] or "" for x in docs if x[3] == f"p{i}"] or [""])]
+    assert sorted(map(tuple, rows(spark, "basename_left_join_whole", d))) == sorted(joined) and ("http://h/x/p1.html", "text 0") in joined
+    assert sorted(map(tuple, rows(spark, "jsonl_round_trip_whole", d)), key=str) == sorted(((x[0], x[2], "train") for x in docs), key=str)
