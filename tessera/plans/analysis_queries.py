@@ -26,10 +26,15 @@ def _r(c, n=6):
 
 @query("FN1", r"SELECT doc_id, trim(regexp_replace(lower(nfc_normalize(text)), '[\p{P}\p{N}\p{S}\p{C}\s\x{85}\x{A0}]+', ' ', 'g')) AS clean FROM documents WHERE NOT regexp_matches(text, '[ºª²³¹…™ﬁﬂ]')")
 def text_normalize_v1(spark, d):
-    x = _docs(spark, d).where(~F.col("text").rlike("[ºª²³¹…™ﬁﬂ]"))
+    x = _docs(spark, d).where(~F.col("text").rlike("[ºª²³¹…™ﬁﬂ]"))  # what its SQL reads
     return x.select("doc_id", T.normalize_v1(F.col("text")).alias("clean"))
 
 
+@query("FN1")
+def text_normalize_v1_whole(spark, d):
+    return _docs(spark, d).select("doc_id", T.normalize_v1(F.col("text")).alias("clean"))
+
+
 @query("FN2", r"SELECT doc_id, trim(regexp_replace(replace(lower(nfc_normalize(translate(text, '‘’‚‛ʼ`´', ''''''''''''''''))), 'ß', 'ss'), '[^\p{L}\p{M}\p{N}'']+', ' ', 'g')) AS clean FROM documents")
 def text_normalize_v2(spark, d):
     return _docs(spark, d).select("doc_id", T.normalize_v2(F.col("text")).alias("clean"))
@@ -53,10 +58,15 @@ def word_split(spark, d):
 
 @query("FN7", "SELECT doc_id, translate(upper(text), '. ,!?', '') AS clean FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^ -~\\n]')")
 def legacy_normalize(spark, d):
-    x = _docs(spark, d).where((F.col("lang") == "en") & ~F.col("text").rlike(r"[^ -~\n]"))
+    x = _docs(spark, d).where((F.col("lang") == "en") & ~F.col("text").rlike(r"[^ -~\n]"))  # what its SQL reads
     return x.select("doc_id", T.legacy_upper(F.col("text")).alias("clean"))
 
 
+@query("FN7")
+def legacy_normalize_whole(spark, d):
+    return _docs(spark, d).select("doc_id", T.legacy_upper(F.col("text")).alias("clean"))
+
+
 @query("FN8")
 def compression_ratio(spark, d):
     return _docs(spark, d).select("doc_id", _r(T.compression_ratio(F.col("text"))).alias("ratio"))

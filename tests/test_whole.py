@@ -92,3 +92,12 @@ def test_queries_without_slices_of_ids(spark, write):
     joined = [(f"http://h/x/p{i}.html", t) for i in range(30) for t in ([x[1] or "" for x in docs if x[3] == f"p{i}"] or [""])]
     assert sorted(map(tuple, rows(spark, "basename_left_join_whole", d))) == sorted(joined) and ("http://h/x/p1.html", "text 0") in joined
     assert sorted(map(tuple, rows(spark, "jsonl_round_trip_whole", d)), key=str) == sorted(((x[0], x[2], "train") for x in docs), key=str)
+
+
+def test_normalisers_on_every_row(spark, write):
+    texts = [None, "", "Plain, text. 1!", "wait… 2ª vez, 3º x², Acme™", "ﬁne ﬂow", "Été à la plage", "Straße", "日本語 テスト", "a\tb\nc"]
+    v1 = [None, "", "plain text", "wait a vez o x acmetm", "fine flow", "été à la plage", "straße", "日本語 テスト", "a b c"]
+    upper = [None, "", "PLAINTEXT1", "WAIT…2ªVEZ3ºX²ACME™", "FINEFLOW", "ÉTÉÀLAPLAGE", "STRASSE", "日本語テスト", "A\tB\nC"]
+    d = write(documents=([(i, t, (None, "fr", "en")[i % 3]) for i, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    assert {r.doc_id: r.clean for r in rows(spark, "text_normalize_v1_whole", d)} == dict(enumerate(v1))
+    assert {r.doc_id: r.clean for r in rows(spark, "legacy_normalize_whole", d)} == dict(enumerate(upper))
