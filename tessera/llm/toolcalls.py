@@ -1,15 +1,17 @@
 """Chat formatting: tool calls linked to their results (native: DataFrame functions only).
 
-Calls and results meet in a hash join by identifier, after repeats have been folded by aggregation. Calls may
+Calls and results meet in a hash join by identifier, after rows equal in all columns have been folded. Calls may
 name calls they come after; levels of that order are peeled off round by round, and what is never reached
 lies on a cycle. Arguments are validated against a schema by tool name and written as canonical JSON: keys in
 order at every depth, no white space.
 
 Defined results: equal repeats of a call or result are one; of different calls (or results) with one
-identifier the first by sequence and content is linked and the row says ``ambiguous``; a call without result
-and a result without call are rows too (``unanswered``, ``orphan``); identifiers named but absent do not
-hold a call back; null identifiers are never linked and give unanswered or orphan rows each; a call on a
-cycle has no level and comes last. An empty table gives no rows. Other columns are ignored.
+identifier the first by sequence and content is linked, the others are rows of their own, and all these rows say
+``ambiguous``; a call without result and a result without call are rows too (``unanswered``, ``orphan``);
+identifiers named but absent do not hold a call back; null identifiers are never linked and give unanswered or
+orphan rows each; a turn without a role is a result that is never linked; a call on a cycle has no level and
+comes last. An empty table gives no rows. Columns of plain chats other than conv_id, turn, role and text are
+ignored.
 """
 
 from __future__ import annotations
@@ -59,23 +61,31 @@ def levels(calls: DataFrame) -> DataFrame:
     return found
 
 
+def numbered(d: DataFrame, *content: str) -> tuple[DataFrame, DataFrame]:
+    """Different rows with an identifier, numbered (k) and counted (n) in it, and those without one."""
+    w = Window.partitionBy("call_id")
+    d = d.distinct()
+    some = d.where("call_id is not null").withColumn("k", F.row_number().over(w.orderBy(*content))).withColumn("n", F.count("*").over(w))
+    return some, d.where("call_id is null").withColumn("k", F.lit(1)).withColumn("n", F.lit(1).cast("bigint"))
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
-    """``calls``: call_id, conv_id, seq, name, arguments (JSON text), after (array of ids); ``results``: call_id, conv_id, seq, output."""
-    c = calls.groupBy("call_id", F.when(F.col("call_id").isNull(), F.struct("conv_id", "seq")).alias("_own")).agg(
-        F.min(F.struct("seq", "name", "arguments", "conv_id", "after")).alias("c"), F.min(F.struct("seq", "name", "arguments", "conv_id")).alias("lo"), F.max(F.struct("seq", "name", "arguments", "conv_id")).alias("hi")
-    )
-    r = results.groupBy("call_id", F.when(F.col("call_id").isNull(), F.struct("conv_id", "seq")).alias("_own")).agg(
-        F.min(F.struct("seq", "output", "conv_id")).alias("r"), F.min(F.struct("seq", "output", "conv_id")).alias("rlo"), F.max(F.struct("seq", "output", "conv_id")).alias("rhi")
-    )
-    c, r = c.drop("_own"), r.drop("_own")
-    j = c.join(r.hint("shuffle_hash"), "call_id", "full")
+    """``calls``: call_id, conv_id, seq, name, arguments (JSON text), after (array of ids); ``results``: call_id, conv_id, seq,
+    output. Rows that differ in a further column are different."""
+    packed = lambda d, name, key: d.select("call_id", key.alias("_k"), F.struct(*d.columns).alias(name))
+    first = F.when(F.col("k") == 1, 1).otherwise(-F.col("k"))  # other results meet no call
+    c, lone_c = (packed(d, "c", F.col("k")) for d in numbered(calls, "seq", "name", "arguments", "conv_id", "after"))
+    r, lone_r = (packed(d, "r", first) for d in numbered(results, *["seq", "output", "conv_id"], *(x for x in results.columns if x not in ("call_id", "seq", "output", "conv_id"))))
+    deep = levels(calls.select("call_id", "after")).withColumn("_deep", F.lit(True))
+    j = c.join(r.hint("shuffle_hash"), ["call_id", "_k"], "full").join(deep, "call_id", "left")
+    # rows without an identifier stay out of the joins, where they would all meet in one task
+    lone = lone_c.unionByName(lone_r, allowMissingColumns=True)
+    j = j.unionByName(lone, allowMissingColumns=True)
     linked = j.select(
         "call_id", F.coalesce("c.conv_id", "r.conv_id").alias("conv_id"), F.col("c.name").alias("name"), F.col("c.seq").alias("call_seq"), F.col("r.seq").alias("result_seq"),
-        F.when(F.col("c").isNull(), "orphan").when((F.col("lo") != F.col("hi")) | (F.col("rlo") != F.col("rhi")), "ambiguous").when(F.col("r").isNull(), "unanswered").otherwise("linked").alias("status"),
-        F.col("c").isNotNull().alias("_call"), F.try_parse_json("c.arguments").alias("_args"), F.col("r.output").alias("_output"),
+        F.when((F.col("c.n") > 1) | (F.col("r.n") > 1), "ambiguous").when(F.col("c").isNull(), "orphan").when(F.col("r").isNull(), "unanswered").otherwise("linked").alias("status"),
+        F.col("c").isNotNull().alias("_call"), F.try_parse_json("c.arguments").alias("_args"), F.col("r.output").alias("_output"), "_deep", "level",
     )
-    deep = levels(calls.select("call_id", "after"))
-    linked = linked.join(deep.withColumn("_deep", F.lit(True)), "call_id", "left")
     level = F.when(F.col("_call"), F.when(F.col("_deep").isNull(), 0).otherwise(F.col("level")))
     out = linked.withColumn("level", level).withColumn("errors", F.when(F.col("_call"), violations(F.col("name"), F.col("_args"), schemas)).otherwise(F.array().cast("array<string>")))
     text = lambda x: F.to_json(F.to_variant_object(F.struct(x.alias("v"))))
@@ -90,17 +100,21 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
 def order(linked: DataFrame) -> DataFrame:
     """Adds position, from 0: by level (none last), then sequence, within a conversation.
 
-    Ranges of sequence numbers are counted first, so a conversation of any length is never sorted in one task.
+    Ranges of sequence numbers are counted first, so a conversation of any length is never sorted in one task. Rows
+    without a conversation may be any share of the table, so they are also counted by hash of their content.
     """
     seq = F.coalesce("call_seq", "result_seq")
-    d = linked.withColumn("_s", seq).withColumn("_l", F.coalesce("level", F.lit(2147483647))).withColumn("_b", F.floor(F.col("_s") / TURN_RANGE))
+    none = F.col("conv_id").isNull()
+    d = linked.withColumn("_s", seq).withColumn("_l", F.coalesce("level", F.lit(2147483647)))
+    d = d.withColumn("_b", F.when(none, F.col("_s")).otherwise(F.floor(F.col("_s") / TURN_RANGE)))
+    d = d.withColumn("_h", F.when(none, F.pmod(F.xxhash64("canonical"), F.lit(TURN_RANGE))).otherwise(0))
     d = materialize(d, "linked")
-    counts = d.groupBy("conv_id", "_l", "_b").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy("conv_id").orderBy("_l", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = materialize(counts.select(F.col("conv_id").alias("_c"), F.col("_l").alias("_l2"), F.col("_b").alias("_b2"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before")), "before")
-    inner = F.row_number().over(Window.partitionBy("conv_id", "_l", "_b").orderBy("_s", "call_id", "status"))
+    counts = d.groupBy("conv_id", "_l", "_b", "_h").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("conv_id").orderBy("_l", "_b", "_h").rowsBetween(Window.unboundedPreceding, -1)
+    before = materialize(counts.select(F.col("conv_id").alias("_c"), F.col("_l").alias("_l2"), F.col("_b").alias("_b2"), F.col("_h").alias("_h2"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before")), "before")
+    inner = F.row_number().over(Window.partitionBy("conv_id", "_l", "_b", "_h").orderBy("_s", "call_id", "status", "canonical"))
     d = d.withColumn("_i", inner)
-    same = d["conv_id"].eqNullSafe(before["_c"]) & (d["_l"] == before["_l2"]) & d["_b"].eqNullSafe(before["_b2"])
+    same = d["conv_id"].eqNullSafe(before["_c"]) & (d["_l"] == before["_l2"]) & d["_b"].eqNullSafe(before["_b2"]) & (d["_h"] == before["_h2"])
     return d.join(before, same).select(*linked.columns, (F.col("_before") + F.col("_i") - 1).alias("position"))
 
 
@@ -115,7 +129,8 @@ def chat_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(whole, ident(F.col("turn"))).alias("call_id"), "conv_id", F.col("turn").alias("seq"), F.when(F.col("role") == "user", "reply").otherwise("configure").alias("name"),
         args.alias("arguments"), F.array(F.when(whole, ident(F.col("turn") - 1))).alias("after"),
     )
-    results = c.where("role not in ('user', 'system')").select(F.when(whole, ident(F.col("turn") - 1)).alias("call_id"), "conv_id", F.col("turn").alias("seq"), F.col("text").alias("output"))
+    answer = c.where("role is null or role not in ('user', 'system')")
+    results = answer.select(F.when(whole & F.col("role").isNotNull(), ident(F.col("turn") - 1)).alias("call_id"), "conv_id", F.col("turn").alias("seq"), F.col("text").alias("output"), "role")
     return calls, results
 
 

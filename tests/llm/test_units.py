@@ -258,6 +258,26 @@ def test_cycles_and_schemas(spark):
     assert sorted(x.position for x in got.values()) == list(range(6))
 
 
+def test_no_message_of_a_chat_is_lost(spark):
+    chats = [(None, 0, "user", "one"), (None, 0, "user", "two"), (None, 0, "user", "two"), (None, 1, "assistant", "x"), (None, 1, "assistant", "y"), (None, None, None, "z")]
+    chats += [(1, None, "user", "p"), (1, None, "user", "q"), (1, None, "assistant", "p"), (2, 0, None, "r"), (2, 0, None, "s"), (2, 1, "assistant", "t"), (2, 1, None, "t")]
+    chats += [(3, 0, "user", "a"), (3, 0, "user", "b"), (3, 1, "assistant", "c"), (3, 1, "assistant", "d"), (3, 1, "tool", "d"), (4, 0, "user", "e"), (4, 1, "assistant", "f")]
+    calls, results = toolcalls.chat_calls(spark.createDataFrame(chats, "conv_id long, turn long, role string, text string"))
+    got = toolcalls.order(toolcalls.link(calls, results, toolcalls.CHAT_SCHEMAS)).collect()
+    rows = set(chats)
+    is_call = lambda x: x[2] in ("user", "system")
+    assert len(got) == len(rows) - 2  # two results stand in the rows of their calls
+    assert sum(r.name is not None for r in got) == sum(map(is_call, rows))
+    assert sum('"result":null' not in r.canonical for r in got) == sum(not is_call(x) for x in rows)
+    status = Counter((r.conv_id, r.status) for r in got)
+    assert status == {(None, "unanswered"): 2, (None, "orphan"): 3, (1, "unanswered"): 2, (1, "orphan"): 1, (2, "orphan"): 4, (3, "ambiguous"): 4, (4, "linked"): 1}
+    for k in (None, 1, 2, 3, 4):
+        own = [r.position for r in got if r.conv_id == k]
+        assert sorted(own) == list(range(len(own)))
+    first = [r for r in got if r.conv_id == 3 and r.call_seq is not None and r.result_seq is not None]
+    assert len(first) == 1 and '"text":"a"' in first[0].canonical and '"result":"c"' in first[0].canonical
+
+
 def test_pipeline_stages(spark, nasty, empty):
     import corpus_pipeline
 
