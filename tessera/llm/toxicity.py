@@ -4,7 +4,9 @@ Features of a text: densities of a lexicon (strong and weak entries, found by th
 labelled training rows), nearness of second-person words to lexicon hits, rates of capitals, punctuation
 and obfuscation (letters mixed with digits or signs, and lexicon hits that show only after undoing them).
 Trees are fitted on the driver to a bounded sample of labelled rows (``TRAIN_ROWS``, a documented limit);
-the calibration is fitted to margins of trees that did not see the row (three folds), so all rows serve both.
+equal texts with equal labels are one row, every other labelled text is a row of its own. The calibration is
+fitted to margins of trees that did not see the row (three folds, near copies mostly in one), so all rows serve
+both.
 Scoring reads every text whole.
 
 Learning uses only rows whose crc32(doc_id as text) mod 4 is not 2. Labels, language, source and id are
@@ -194,12 +196,13 @@ class Model:
     def matrix(self, texts) -> np.ndarray:
         return np.array([features(t, self.lexicon, self.strong) for t in texts], float).reshape(-1, len(NAMES))
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Model:
+    def fit(self, x: np.ndarray, y: np.ndarray, group: np.ndarray | None = None) -> Model:
+        """``group``: rows with equal numbers are in one fold; row numbers if left out."""
         self.share = float(y.mean()) if len(y) else 0.0
         if len(np.unique(y)) < 2:
             return self
         self.trees = Trees().fit(x, y)
-        margin, fold = np.full(len(y), np.nan), np.arange(len(y)) % FOLDS
+        margin, fold = np.full(len(y), np.nan), (np.arange(len(y)) if group is None else group) % FOLDS
         for k in range(FOLDS):
             out = fold == k
             if len(np.unique(y[~out])) == 2:
@@ -222,18 +225,18 @@ def bucket(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4
 
 
+def once(t: DataFrame) -> DataFrame:
+    """doc_id, text, toxic: equal texts with equal labels are one row, under the least id. A text that was copied a
+    thousand times is one piece of evidence."""
+    return t.groupBy(F.coalesce("text", F.lit("")).alias("text"), "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text", "toxic")
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     y = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     y = y.where(bucket() != 2).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     t = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")  # at most ``rows`` pairs of numbers
 
-    def related(batches):
-        for d in batches:
-            yield d.assign(kin=[kin(x or "") for x in d["text"]])
-
-    # a text that was copied a thousand times is one piece of evidence
-    t = t.mapInPandas(related, plus(t.schema, "kin", "long")).groupBy("kin").agg(F.min_by(F.struct("doc_id", "text", "toxic"), F.struct("doc_id", "text")).alias("r"))
-    t = materialize(t.select("r.*"), "labelled")
+    t = materialize(once(t), "labelled")
 
     def count(batches):
         seen: Counter = Counter()
@@ -261,11 +264,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     def featurise(batches):
         for d in batches:
             x = model.matrix(d["text"])
-            yield pd.DataFrame({"doc_id": d["doc_id"].astype(str), "toxic": d["toxic"], "x": list(x)})
+            yield pd.DataFrame({"doc_id": d["doc_id"].astype(str), "toxic": d["toxic"], "kin": [kin(v) for v in d["text"]], "x": list(x)})
 
-    data = t.mapInPandas(featurise, "doc_id string, toxic int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    data = t.mapInPandas(featurise, "doc_id string, toxic int, kin long, x array<double>").toPandas().sort_values(["doc_id", "toxic", "kin"], kind="stable")
     x = np.array(data["x"].tolist(), float).reshape(-1, len(NAMES))
-    return model.fit(x, data["toxic"].to_numpy(float))
+    return model.fit(x, data["toxic"].to_numpy(float), data["kin"].to_numpy(np.int64))
 
 
 def score(docs: DataFrame, model: Model, name: str = "tox_score") -> DataFrame:

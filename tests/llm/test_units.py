@@ -206,6 +206,13 @@ def test_obfuscated_words_are_undone():
     assert f["undone"] > 0 and f["mixed"] > 0 and f["you"] > 0
 
 
+def test_labelled_texts_that_share_a_phrase_stay(spark):
+    same = "a shared line of boilerplate that many documents carry "
+    data = [(i, same + f"and text {i}", i % 2) for i in range(9)] + [(20, "copy", 1), (21, "copy", 1), (22, "copy", 0), (23, None, 0), (24, "", 0)]
+    got = toxicity.once(spark.createDataFrame(data, "doc_id long, text string, toxic int")).collect()
+    assert sorted(map(tuple, got)) == [*data[:9], (20, "copy", 1), (22, "copy", 0), (23, "", 0)]
+
+
 def test_tree_marginals_against_enumeration():
     page = extraction.Page("<div class=post><p>one.<p>two</p><ul><li>a</ul></div><footer>f</footer>")
     m, g = extraction.Model(), np.random.default_rng(4)
