@@ -1,35 +1,45 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
+"""Byte-level BPE encoding and decoding: distinct words are folded by Spark's higher-order functions.
 
-A word (one match of the split pattern) is an array of byte pieces in hexadecimal. The fold merges the
-leftmost pair of lowest rank until no pair has a rank. Ranks are a constant: an array of small tables,
-addressed by the CRC-32 of a piece. The words of the corpus are counted, the ``hot`` most frequent ones (a
-documented bound) are folded once and become a second constant; documents look words up there and fold any
-other word where it stands. Constants enter queries as scalar subqueries, which execution turns into
-literals: written into the plan, they would fill the driver's memory with plan descriptions. Nothing but the word counts is shuffled. Decoding looks ids up in a constant array of pieces and concatenates them.
+A word (one match of the split pattern) is an array of its bytes, each known by the rank of its piece. The fold
+merges the leftmost pair of lowest rank until no pair has a rank; the rank of a pair is the piece it becomes. The rank
+map is a constant: a hash table without collisions (groups of keys are shifted until each key has a slot), which enters
+queries as a scalar subquery that execution turns into a literal; written into the plan, it would fill the driver's
+memory with plan descriptions. Words of over ``LONG`` bytes are texts of pieces instead, one character a piece, and a
+round merges all pairs of lowest rank at once, so their cost does not grow with the square of their length.
+
+The words of the corpus are counted, the ``hot`` most frequent ones (a documented bound) are folded once and sent to
+all tasks; tasks split texts, look words up, and leave gaps for other words, which are folded where they stand (a
+word that is not frequent stands in few places). Nothing but the word counts is shuffled. Decoding concatenates the
+binary pieces of the ids.
 
 Defined results: a null or empty text has no ids; its hash is that of the empty string. Repeated rows are
-encoded each. A word of any length is folded exactly; the cost of one word grows with its length squared.
+encoded each. A word of any length is folded exactly. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import json
-import zlib
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from tessera.llm.common import materialize, read
+from tessera.llm.common import in_order, materialize, plus, read, small_batches
 
-HOT = 1 << 20
-#: Of these, words in the first table to be asked.
-FEW = 1 << 13
-#: Words longer than this are never hot, so the literal has a size bound.
-HOT_CHARS = 48
-#: Unicode's White_Space, which \\s means in the split pattern (Java's own \\s is ASCII only).
-SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_NONE = 2147483647
+#: Words folded once and sent to all tasks, and their length in characters, which bounds their size.
+HOT, HOT_CHARS = 1 << 20, 48
+#: Bytes of the longest word that is folded pair by pair.
+LONG = 256
+#: Different words a task holds before it hands its counts on.
+HELD = 1 << 18
+#: Unicode's White_Space, which \\s means in the split pattern.
+SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: Rank of pairs that make no piece, and the bits of a state's parts: place and piece.
+_NONE, _PLACE, _PIECE = (1 << 21) - 1, 22, 20
+#: First characters that stand for pieces, below and above those that cannot.
+_CHAR, _SKIP = 0x100, 0xD800
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,104 +47,157 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(k): int(v) for k, v in (line.split() for line in f if line.strip())}
 
 
-def _value(spark: SparkSession, value, kind: str) -> Column:
-    """A nested constant as a one-row scalar subquery: evaluated once for a query, and short in plans."""
-    row = spark.range(1).select(F.from_json(F.lit(json.dumps(value)), kind).alias("v"))
-    return materialize(row, "bpe-constant").scalar()
-
-
-def _bucket(key: Column, n: int) -> Column:
-    return (F.crc32(key.cast("binary")) % F.lit(n)).cast("int")
+def _value(spark: SparkSession, **columns: tuple[list, pa.DataType]) -> Column:
+    """Lists as a constant, a struct of arrays: a one-row scalar subquery, evaluated once for a query and short in plans."""
+    table = pa.table({k: pa.array([v], pa.list_(t)) for k, (v, t) in columns.items()})
+    return materialize(spark.createDataFrame(table).select(F.struct(*columns).alias("v")), "bpe-constant").scalar()
 
 
 def _let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _find(entry: Column, key: Column) -> Column:
-    """The value of a key in a small table: a struct of parallel arrays k and v."""
-    # the entry is cheap to reach twice, cheaper than to bind
-    return F.get(entry["v"], F.array_position(entry["k"], key).cast("int") - 1)
+def displaced(keys: list[int]) -> tuple[list[int], list[int], int]:
+    """A hash table without collisions: (shifts, slots, unused key). The slot of a key is
+    (key + shifts[key % len(shifts)]) % len(slots); slots hold the place of the key in ``keys``, or -1."""
+    m = max(1, len(keys) // 3) | 1
+    groups: list[list[int]] = [[] for _ in range(m)]
+    for i, k in enumerate(keys):
+        groups[k % m].append(i)
+    size = 2 * len(keys) + 1
+    while any(size % d == 0 for d in range(2, int(size**0.5) + 1)):
+        size += 1
+    slots, shifts, free = [-1] * size, [0] * m, 0
+    for g in sorted(range(m), key=lambda g: (-len(groups[g]), g)):
+        at = [keys[i] % size for i in groups[g]]
+        if len(set(at)) < len(at):
+            raise ValueError("keys meet in every slot")
+        shift = free if len(at) > 1 else (free - at[0] if at else 0)
+        while any(slots[(x + shift) % size] >= 0 for x in at):
+            shift += 1
+        for x, i in zip(at, groups[g], strict=True):
+            slots[(x + shift) % size] = i
+        shifts[g] = shift % size
+        while free < size - 1 and slots[free] >= 0:
+            free += 1
+    return shifts, slots, size
 
 
 class Ranks:
-    """The map from piece (in hexadecimal) to rank: an array of small tables addressed by CRC-32."""
+    """The rank map: ``pairs``, from two ranks to that of what they make together, as a constant; ``single``, from a byte to
+    its rank; ``words``, pieces that are texts, with their id."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
-        self.n = max(1, len(ranks) // 2)
-        rows: list[dict] = [{"k": [], "v": []} for _ in range(self.n)]
-        for k, v in ranks.items():
-            h = k.hex().upper()
-            row = rows[zlib.crc32(h.encode()) % self.n]
-            row["k"].append(h)
-            row["v"].append(v)
-        self.value = _value(spark, rows, "array<struct<k:array<string>,v:array<int>>>")
-
-    def get(self, table: Column, key: Column) -> Column:
-        return _find(F.get(table, _bucket(key, self.n)), key)
-
-
-class Hot:
-    """The map from word to ids: small tables addressed by CRC-32, in groups of ``GROUP``. It is built and stays on
-    the executors; the driver never holds it as an object."""
-
-    SHIFT = 4
-    GROUP = 1 << SHIFT
-
-    def __init__(self, words: DataFrame, n: int):
-        g = self.GROUP
-        self.n = max(1, n // g) * g
-        spark = words.sparkSession
-        rows = words.groupBy(_bucket(F.col("w"), self.n).alias("b")).agg(F.sort_array(F.collect_list(F.struct("w", "ids"))).alias("x"))
-        rows = rows.select("b", F.struct(F.transform("x", lambda x: x["w"]).alias("k"), F.transform("x", lambda x: x["ids"]).alias("v")).alias("e"))
-        rows = rows.groupBy(F.floor(F.col("b") / g).cast("int").alias("q")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("b") % g, "e"))).alias("m"))
-        whole = spark.range(self.n // g).select(F.col("id").cast("int").alias("q")).join(rows, "q", "left")
-        none = F.array().cast("array<string>")
-        entries = F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.struct(none.alias("k"), none.alias("v"))))
-        # a fixed number of groups meets in one row
-        one = whole.select("q", entries.alias("s")).agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "s"))), lambda x: x["s"]).alias("v"))
-        self.value = materialize(one, "bpe-hot").scalar()
-
-    def get(self, table: Column, key: Column) -> Column:
-        b = _bucket(key, self.n)
-        return _find(F.get(F.get(table, F.shiftright(b, self.SHIFT)), b.bitwiseAND(self.GROUP - 1)), key)
+        self.size, self.bits = len(ranks), len(ranks).bit_length()
+        if self.size >= 1 << _PIECE:
+            raise ValueError("too many ranks")
+        made: dict[int, int] = {}
+        for piece, rank in ranks.items():
+            for cut in range(1, len(piece)):
+                if (left := ranks.get(piece[:cut])) is not None and (right := ranks.get(piece[cut:])) is not None:
+                    made[left * self.size + right] = rank
+        keys = list(made)
+        shifts, slots, self.slots = displaced(keys)
+        self.groups = len(shifts)
+        entries = [keys[i] << self.bits | made[keys[i]] if i >= 0 else -1 for i in slots]
+        chars = [chr(_CHAR + i if _CHAR + i < _SKIP else _CHAR + 0x800 + i) for i in range(self.size)]
+        self.pairs = _value(spark, d=(shifts, pa.int32()), e=(entries, pa.int64()), c=(chars, pa.string()))
+        self.single = [ranks[bytes([i])] for i in range(256)]
+        self.words = {}
+        for piece, rank in ranks.items():
+            try:
+                self.words[piece.decode()] = str(rank)
+            except UnicodeDecodeError:
+                pass
+
+    def pair(self, table: Column, left: Column, right: Column) -> Column:
+        """The rank of what two pieces make, or "no rank"."""
+        key = left * F.lit(self.size).cast("bigint") + right
+        entry = F.get(table["e"], ((key + F.get(table["d"], (key % self.groups).cast("int"))) % self.slots).cast("int"))
+        return F.when(F.shiftright(entry, self.bits) == key, entry.bitwiseAND((1 << self.bits) - 1)).otherwise(F.lit(_NONE).cast("bigint"))
+
+
+def _pieces(word: Column, ranks: Ranks) -> Column:
+    single = F.array(*(F.lit(x).cast("bigint") for x in ranks.single))
+    # as Latin-1 every byte is a character
+    return F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(single, F.ascii(c)))
+
+
+def _by_pairs(word: Column, ranks: Ranks, table: Column) -> Column:
+    """The ids of a word, one merge a step. An element of the state holds, from high to low bits, the rank of the pair that
+    starts there, its place in the word and its piece, so the least element is the leftmost pair of lowest rank."""
+    low, mask = _PLACE + _PIECE, (1 << _PIECE) - 1
+    piece = lambda x: x.bitwiseAND(F.lit(mask).cast("bigint"))
+    entry = lambda rank, place, p: F.shiftleft(rank, low).bitwiseOR(place).bitwiseOR(p)
 
+    def start(p: Column) -> Column:
+        q = F.transform(p, lambda x, i: entry(ranks.pair(table, x, F.get(p, i + 1)), F.shiftleft(i.cast("bigint"), _PIECE), x))
+        return _let(q, lambda q: F.struct(q.alias("q"), F.array_min(q).alias("m")))
 
-def fold(word: Column, ranks: Ranks, table: Column) -> Column:
-    """The ids of a word, joined by commas.
+    def step(s: Column) -> Column:
+        q, m = s["q"], s["m"]
 
-    State: pieces p, and r, where r[i] is the rank of the pair p[i-1], p[i]; both ends of r hold "no rank".
-    """
-    none = F.lit(_NONE)
-    lookup = lambda keys: F.transform(keys, lambda k: F.coalesce(ranks.get(table, k), none))
+        def at(i: Column) -> Column:
+            new = F.shiftright(m, low)
+            left = F.get(q, i - 2)
+            place = lambda x: x.bitwiseAND(F.lit(((1 << _PLACE) - 1) << _PIECE))
+            beside = entry(ranks.pair(table, piece(left), new), place(left), piece(left))
+            here = entry(ranks.pair(table, new, piece(F.get(q, i + 1))), place(m), new)
+            some = F.when(i > 1, F.array(beside, here)).otherwise(F.array(here))
+            parts = F.concat(F.slice(q, F.lit(1), F.greatest(i - 2, F.lit(0))), some, F.slice(q, i + 2, F.size(q)))
+            return _let(parts, lambda q: F.struct(q.alias("q"), F.array_min(q).alias("m")))
 
-    def state(p: Column, r: Column) -> Column:
-        return _let(r, lambda x: F.struct(p.alias("p"), x.alias("r"), F.array_min(x).alias("m")))
+        return _let(F.array_position(q, m).cast("int"), at)
 
-    def start(p: Column) -> Column:
-        pairs = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), lambda a, b: F.concat(a, b))
-        return state(p, F.concat(F.array(none), lookup(pairs), F.array(none)))
+    def merged(p: Column) -> Column:
+        steps = F.sequence(F.lit(2), F.greatest(F.size(p), F.lit(2)))
+        s = F.aggregate(steps, start(p), lambda s, _: F.when(s["m"] >= F.lit(_NONE << low), s).otherwise(step(s)))
+        return F.array_join(F.transform(s["q"], lambda x: piece(x).cast("string")), ",")
 
-    def merge(s: Column) -> Column:
-        p, r = s["p"], s["r"]
+    return _let(_pieces(word, ranks), merged)
+
+
+def _by_rounds(word: Column, ranks: Ranks, table: Column) -> Column:
+    """The ids of a long word: pieces are characters, and a round replaces every pair of the lowest rank, from the left. Only
+    the leftmost is merged if other pairs share that rank, which might overlap, or if what a merge makes could have a
+    lower rank with a neighbour and would come first."""
+    char = lambda x: F.get(table["c"], x.cast("int"))
+    rank = lambda c: _let(F.ascii(c), lambda x: F.when(x < _SKIP, x - _CHAR).otherwise(x - _CHAR - 0x800).cast("bigint"))
+
+    def look(t: Column) -> Column:
+        def pairs(p: Column) -> Column:
+            r = F.transform(p, lambda x, i: ranks.pair(table, x, F.get(p, i + 1)))
+            return _let(r, lambda r: F.struct(p.alias("p"), r.alias("r"), F.array_min(r).alias("m")))
+
+        return _let(F.transform(F.split(t, ""), rank), pairs)
+
+    def step(t: Column, s: Column) -> Column:
+        p, r, m = s["p"], s["r"], s["m"]
 
         def at(i: Column) -> Column:
-            def put(new: Column) -> Column:
-                beside = lookup(F.array(F.concat(F.get(p, i - 2), new), F.concat(new, F.get(p, i + 1))))
-                pieces = F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, F.size(p)))
-                return state(pieces, F.concat(F.slice(r, F.lit(1), i - 1), beside, F.slice(r, i + 3, F.size(p))))
+            a, b = F.get(p, i - 1), F.get(p, i)
+            other = lambda x, j: (x != a) | (ranks.pair(table, F.get(p, j - 1), m) < m) | (ranks.pair(table, m, F.get(p, j + 2)) < m)
+            first = F.exists(F.transform(p, lambda x, j: (F.get(r, j) == m) & other(x, j)), lambda x: x) | (ranks.pair(table, m, m) < m)
+            one = F.concat(F.substr(t, F.lit(1), i - 1), char(m), F.substr(t, i + 2))
+            return F.when(first, one).otherwise(F.replace(t, F.concat(char(a), char(b)), char(m)))
+
+        return _let(F.array_position(r, m).cast("int"), at)
+
+    def again(s: Column) -> Column:
+        done = s["m"] >= F.lit(_NONE)
+        return F.when(done, s).otherwise(_let(look(s["t"]), lambda x: F.struct(F.when(x["m"] >= F.lit(_NONE), s["t"]).otherwise(step(s["t"], x)).alias("t"), x["m"].alias("m"))))
 
-            return _let(F.concat(F.get(p, i - 1), F.get(p, i)), put)
+    def merged(p: Column) -> Column:
+        start = F.struct(F.array_join(F.transform(p, char), "").alias("t"), F.lit(-1).cast("bigint").alias("m"))
+        s = F.aggregate(F.sequence(F.lit(1), F.size(p)), start, lambda s, _: again(s))
+        return F.array_join(F.transform(F.split(s["t"], ""), lambda c: rank(c).cast("string")), ",")
 
-        return _let(F.array_position(r, s["m"]).cast("int") - 1, at)
+    return _let(_pieces(word, ranks), merged)
 
-    def whole(h: Column) -> Column:
-        p = F.transform(F.sequence(F.lit(1), F.length(h) - 1, F.lit(2)), lambda i: F.substr(h, i, F.lit(2)))
-        steps = F.sequence(F.lit(2), F.greatest(F.length(h) / 2, F.lit(2)).cast("int"))
-        s = F.aggregate(steps, start(p), lambda s, _: F.when(s["m"] == none, s).otherwise(merge(s)))
-        return F.array_join(F.transform(s["p"], lambda x: ranks.get(table, x)), ",")
 
-    return _let(F.hex(word.cast("binary")), lambda h: F.coalesce(ranks.get(table, h).cast("string"), whole(h)))
+def fold(word: Column, ranks: Ranks, table: Column) -> Column:
+    """The ids of a word, joined by commas."""
+    return F.when(F.octet_length(word) <= LONG, _by_pairs(word, ranks, table)).otherwise(_by_rounds(word, ranks, table))
 
 
 class Codec:
@@ -146,58 +209,98 @@ class Codec:
             raise ValueError("ranks must be 0..n-1")
         self.pattern = pattern.replace(r"[^\s", "[^" + SPACE).replace(r"\s", "[" + SPACE + "]").replace(r"\S", "[^" + SPACE + "]")
         self.ranks = Ranks(spark, ranks)
-        self.pieces = _value(spark, [k.hex().upper() for k in sorted(ranks, key=ranks.get)], "array<string>")
-        self.hot: list[Hot] = []
-
-    def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
+        self.pieces = [str(i) for i in range(len(ranks))], sorted(ranks, key=ranks.get)
+        #: Words with their ids; pieces that are words need no fold.
+        self.known = spark.sparkContext.broadcast(self.ranks.words)
 
     def learn_hot(self, docs: DataFrame, text_col: str = "text", hot: int = HOT) -> Codec:
         """Count the words of the corpus and fold the most frequent ones once."""
-        w = docs.select(F.explode(self.words(F.col(text_col))).alias("w"))
-        w = w.groupBy("w").count().where((F.length("w") <= HOT_CHARS) & (F.col("count") > 1))
+        pattern, known = self.pattern, self.known
+        small_batches(docs.sparkSession)
+
+        def count(batches):
+            import regex
+
+            find, seen = regex.compile(pattern).findall, Counter()
+
+            def rows():
+                some = [(w, n) for w, n in seen.items() if len(w) <= HOT_CHARS and w not in known.value]
+                return pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["w", "n"])
+
+            for b in batches:
+                for t in b.column(0).to_pylist():
+                    if t:
+                        seen.update(find(t))
+                    if len(seen) > HELD:
+                        yield rows()
+                        seen.clear()
+            yield rows()
+
+        w = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "w string, n long")
+        w = w.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
         # frequency classes, 16 to each doubling, so a cut at a number of words needs no sort and no large result
-        w = materialize(w.withColumn("c", F.floor(16 * F.log2("count")).cast("int")), "bpe-words")
-        sizes = sorted(w.groupBy("c").count().collect(), reverse=True)
-
-        def cut(most: int) -> int:
-            for c, n in sizes:
-                most -= n
-                if most < 0:
-                    return c + 1
-            return 0
-
-        chosen = materialize(self.fold_words(w.where(F.col("c") >= cut(hot))), "bpe-folded")
-        # most tokens are found in a table small enough for a core's cache
-        few = min(FEW, hot)
-        self.hot = [Hot(chosen.where(F.col("c") >= cut(few)), max(1, few // 4)), Hot(chosen, max(1, hot // 8))]
+        w = materialize(w.withColumn("c", F.floor(16 * F.log2("n")).cast("int")), "bpe-words")
+        left, cut = hot, 0
+        for c, n in sorted(w.groupBy("c").count().collect(), reverse=True):
+            left -= n
+            if left < 0:
+                cut = c + 1
+                break
+        chosen = materialize(self.fold_words(w.where(F.col("c") >= cut).repartition(w.sparkSession.sparkContext.defaultParallelism).select("w")), "bpe-folded")
+        # at most ``hot`` words of at most HOT_CHARS characters
+        found = chosen.toArrow()
+        words = dict(zip(found.column("w").to_pylist(), found.column("ids").to_pylist(), strict=True))
+        self.known = docs.sparkSession.sparkContext.broadcast(self.ranks.words | words)
         return self
 
-    def _with(self, df: DataFrame, name: str, expr, **constants: Column) -> DataFrame:
-        """``df`` with a column made from constants. Subqueries may not stand in higher-order functions, so they
-        are columns first; each is used once, and the optimizer moves it to its place without copying rows."""
-        for k, v in constants.items():
-            df = df.withColumn(f"__{k}", v)
-        return df.withColumn(name, expr).drop(*(f"__{k}" for k in constants))
+    def _folded(self, df: DataFrame, name: str, expr) -> DataFrame:
+        """``df`` with a column made with the table of pairs. Subqueries may not stand in higher-order functions, so it is
+        a column first, and the optimizer moves it to its place without copying rows."""
+        return df.withColumn("__pairs", self.ranks.pairs).withColumn(name, _let(F.col("__pairs"), expr)).drop("__pairs")
 
     def fold_words(self, df: DataFrame, word_col: str = "w", name: str = "ids") -> DataFrame:
-        return self._with(df, name, _let(F.col("__r"), lambda r: fold(F.col(word_col), self.ranks, r)), r=self.ranks.value)
+        return self._folded(df, name, lambda p: fold(F.col(word_col), self.ranks, p))
 
     def encode(self, docs: DataFrame, text_col: str = "text", name: str = "ids") -> DataFrame:
         """``docs`` with the ids of a text, joined by commas."""
-        words = self.words(F.col(text_col))
-        if not self.hot:
-            whole = _let(F.col("__r"), lambda r: F.array_join(F.transform(words, lambda w: fold(w, self.ranks, r)), ","))
-            return self._with(docs, name, whole, r=self.ranks.value)
-        few, hot = self.hot
-        one = lambda r, f, h: lambda w: F.coalesce(few.get(f, w), hot.get(h, w), fold(w, self.ranks, r))
-        whole = _let(F.col("__r"), lambda r: _let(F.col("__f"), lambda f: _let(F.col("__h"), lambda h: F.array_join(F.transform(words, one(r, f, h)), ","))))
-        return self._with(docs, name, whole, r=self.ranks.value, f=few.value, h=hot.value)
+        pattern, known = self.pattern, self.known
+        schema = plus(plus(docs.schema, "__ids", "string"), "__rare", ArrayType(StringType()))
+        small_batches(docs.sparkSession)
+
+        def run(batches):
+            import regex
+
+            find, have = regex.compile(pattern).findall, known.value.get
+            for b in batches:
+                ids, rare = [], []
+                for t in b.column(text_col).to_pylist():
+                    words = find(t) if t else []
+                    got = [have(w, "?") for w in words]
+                    rare.append([w for w, g in zip(words, got, strict=True) if g == "?"] if "?" in got else None)
+                    ids.append(",".join(got))
+                more = [pa.array(ids, pa.string()), pa.array(rare, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "__ids", "__rare"])
+
+        split = docs.mapInArrow(run, schema)
+
+        def filled(p: Column) -> Column:
+            made = F.concat(F.transform("__rare", lambda w: fold(w, self.ranks, p)), F.array(F.lit("")))
+            whole = F.array_join(F.zip_with(F.split("__ids", "\\?"), made, lambda a, b: F.concat(a, b)), "")
+            return F.when(F.col("__rare").isNull(), F.col("__ids")).otherwise(whole)
+
+        return self._folded(split, name, filled).drop("__ids", "__rare")
 
     def decode(self, df: DataFrame, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
         """``df`` with the bytes of ids joined by commas."""
-        split = F.filter(F.split(ids_col, ","), lambda i: i != "")
-        return self._with(df, name, F.unhex(_let(F.col("__p"), lambda p: F.array_join(F.transform(split, lambda i: F.get(p, i.cast("int"))), ""))), p=self.pieces)
+        pieces = dict(zip(*self.pieces, strict=True)) | {"": b""}
+
+        def run(batches):
+            piece = pieces.__getitem__
+            for b in batches:
+                made = [b"".join(map(piece, t.split(","))) for t in b.column(ids_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], [*b.schema.names, name])
+
+        return df.mapInArrow(run, plus(df.schema, name, "binary"))
 
 
 def default_codec(spark: SparkSession) -> Codec:
@@ -207,21 +310,24 @@ def default_codec(spark: SparkSession) -> Codec:
 
 
 def encode_documents(docs: DataFrame, codec: Codec | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids (joined by commas) and decoded bytes of every document."""
+    """All columns of ``docs`` but an earlier n_tokens, ids or decoded; n_tokens, ids (joined by commas) and decoded bytes."""
     codec = codec or default_codec(docs.sparkSession).learn_hot(docs)
-    ids = codec.encode(docs.select("doc_id", "text")).select("doc_id", "ids")
+    docs = docs.drop("n_tokens", "ids", "decoded")
+    ids = codec.encode(docs)
     n = F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.translate("ids", ",", "")) + 1)
-    return codec.decode(ids).select("doc_id", n.cast("bigint").alias("n_tokens"), "ids", "decoded")
+    return codec.decode(ids.withColumn("n_tokens", n.cast("bigint")))
 
 
-def digest(encoded: DataFrame) -> DataFrame:
-    return encoded.select("doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def _digests():
+    return "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(encode_documents(read(spark, sf_dir, "documents")))
+    return encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *_digests())
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: ids and the round trip of every document, as digests."""
-    return digest(encode_documents(docs))
+    """Pipeline stage, the last: position (from 0, the order of the files and of rows in them, which is the order of
+    training), doc_id, source, text, ids joined by commas, and the round trip of every row as digests."""
+    placed = materialize(in_order(docs).select("doc_id", "source", "text", "position"), "placed")
+    return encode_documents(placed).select("position", "doc_id", "source", "text", "ids", *_digests())

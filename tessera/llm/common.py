@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,9 +34,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is made only where the session names none (tests)."""
+    """The folder all executors share; a local one is made only where the session names none and runs in one process
+    (tests). On a cluster the setting is required: other machines do not see a folder of the driver's."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -47,7 +52,58 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     small_batches(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialized tables that nothing reads any more: what was made from them is materialized itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._folder)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_key(docs: DataFrame) -> Column:
+    """128 bits of a row's whole content, in hexadecimal; rows equal in all columns share them."""
+    rest = F.to_json(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != "text")))
+    return F.md5(F.concat(F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("-")), rest).cast("binary"))
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with position: from 0, by file and row in it, or by partition if it is no table of Parquet files. Files are
+    counted, so no row is sorted."""
+    try:
+        d = docs.select("*", F.col("_metadata.file_name").alias("_f"), F.col("_metadata.row_index").alias("_i"))
+    except AnalysisException:
+        d = docs.select("*", F.monotonically_increasing_id().alias("_i"))
+        d = d.select("*", F.lpad(F.shiftright("_i", 33).cast("string"), 10, "0").alias("_f")).withColumn("_i", F.col("_i").bitwiseAND((1 << 33) - 1))
+        d = materialize(d, "in-order")
+    name = F.struct(F.length("_f"), "_f")
+    counts = d.groupBy("_f").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return d.join(counts.select("_f", before.alias("_before")), "_f").select(*(f"`{c}`" for c in docs.columns), (F.col("_before") + F.col("_i")).alias("position"))
+
+
+def least_hashed(df: DataFrame, h: Column, rows: int) -> DataFrame:
+    """The ``rows`` rows of least hash, ties whole. Only hashes under a rising threshold are ever sorted, so what each task
+    offers does not grow with the number of tasks; the threshold does not change the result."""
+    top = 1 << 62
+    at = F.pmod(h, F.lit(top)).alias("_at")
+    total, part = df.count(), 1.0
+    if total > 8 * rows:
+        part = 4 * rows / total
+    while True:
+        edge = int(top * min(part, 1.0))
+        found = df.select(at).where(F.col("_at") < edge).groupBy("_at").count().orderBy("_at").limit(rows).collect()
+        if part >= 1 or sum(r["count"] for r in found) >= rows:
+            break
+        part *= 8
+    left, last = rows, -1
+    for r in found:
+        if left > 0:
+            left, last = left - r["count"], r["_at"]
+    return df.where(F.pmod(h, F.lit(top)) <= last)
 
 
 def plus(schema: StructType, name: str, kind: str) -> StructType:
