@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, partitions, read
+from tessera.llm.common import least_hashed, materialize, partitions, read, row_key
 from tessera.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -192,7 +192,7 @@ def _meet(rows: DataFrame, distance: int) -> DataFrame:
 def links(nodes: DataFrame, distance: int = DISTANCE, split: int = SPLIT) -> DataFrame:
     """``nodes``: fp, n (documents), one row a fingerprint. Links (a, b) that connect whatever is linked."""
     total = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    sample = least_hashed(nodes.select("fp"), F.xxhash64("fp"), SAMPLE).orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     parts, thresholds = allocate(sample, total, distance)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     filed = None
@@ -247,9 +247,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document of smallest id of each group stays. An id is one document: rows repeated under it
-    stay once. Rows with a null id stay."""
-    found = near_duplicates(docs)
-    stay = materialize(found.where("doc_id = component_id").select("doc_id").distinct(), "stay")
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Pipeline stage: of each group the row of smallest id stays (ids that are null last; of rows with one id the one of
+    least content hash). Different texts under one id are documents of their own; rows equal in all columns are one."""
+    keyed = docs.withColumn("__key", row_key(docs))
+    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"))
+    found = materialize(found.select(F.col("doc_id").alias("__key"), "component_id").distinct(), "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")
+    first = keyed.select("doc_id", "__key").join(found, "__key").groupBy("component_id").agg(F.min(place)["__key"].alias("__key"))
+    stay = materialize(first.select("__key"), "stay")
+    kept = keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key"])
+    return kept.select(*(f"`{c}`" for c in docs.columns))
