@@ -5,8 +5,8 @@ labelled training rows), nearness of second-person words to lexicon hits, rates
 and obfuscation (letters mixed with digits or signs, and lexicon hits that show only after undoing them).
 Trees are fitted on the driver to a bounded sample of labelled rows (``TRAIN_ROWS``, a documented limit);
 equal texts with equal labels are one row, every other labelled text is a row of its own. The calibration is
-fitted to margins of trees that did not see the row (three folds, near copies mostly in one), so all rows serve
-both.
+fitted to margins of trees and lexicons that did not see the row (three folds, near copies mostly in one), so all
+rows serve both.
 Scoring reads every text whole.
 
 Learning uses only rows whose crc32(doc_id as text) mod 4 is not 2. Labels, language, source and id are
@@ -27,15 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, plus, read, small_batches
+from tessera.llm.common import least_hashed, materialize, plus, read, small_batches
 
 TRAIN_ROWS = 20_000
 LEXICON = 400
 THRESHOLD = 0.3
 FOLDS = 3
 WINDOW = 6
-#: Letters of a word that may stand for it in the lexicon, as "abcd*".
-STEM = 4
 
 # fixed values: second-person words of English, German, French, Spanish
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -67,7 +65,7 @@ def features(text: str | None, lexicon: dict[str, float], strong: float) -> list
     raw = _SPLIT.findall(text)
     n = max(1, len(raw))
     low = [w.strip("!'*-_") for w in map(str.lower, raw)]
-    hits = [(i, lexicon[k]) for i, w in enumerate(low) if (k := w) in lexicon or (k := w[:STEM] + "*") in lexicon]
+    hits = [(i, lexicon[w]) for i, w in enumerate(low) if w in lexicon]
     mixed = [w for w in raw if not w.isalpha() and _MIXED.search(w)]
     undone = [x for w in mixed if (x := lexicon.get(re.sub(r"[^\w]", "", w.lower().translate(UNDO)), 0.0)) and w.lower() not in lexicon]
     you = [i for i, w in enumerate(low) if w in SECOND_PERSON]
@@ -196,19 +194,19 @@ class Model:
     def matrix(self, texts) -> np.ndarray:
         return np.array([features(t, self.lexicon, self.strong) for t in texts], float).reshape(-1, len(NAMES))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, group: np.ndarray | None = None) -> Model:
-        """``group``: rows with equal numbers are in one fold; row numbers if left out."""
+    def fit(self, x: np.ndarray, y: np.ndarray, folds: list[tuple[np.ndarray, np.ndarray]] = ()) -> Model:
+        """``folds``: for each, which rows it holds and the features of all rows under a lexicon that those rows had
+        no part in. Margins for the calibration come from trees fitted to the other rows under that lexicon."""
         self.share = float(y.mean()) if len(y) else 0.0
         if len(np.unique(y)) < 2:
             return self
         self.trees = Trees().fit(x, y)
-        margin, fold = np.full(len(y), np.nan), (np.arange(len(y)) if group is None else group) % FOLDS
-        for k in range(FOLDS):
-            out = fold == k
+        margin = np.full(len(y), np.nan)
+        for out, seen in folds:
             if len(np.unique(y[~out])) == 2:
-                margin[out] = Trees().fit(x[~out], y[~out]).margin(x[out])
-        seen = ~np.isnan(margin)
-        margin[~seen] = self.trees.margin(x[~seen])
+                margin[out] = Trees().fit(seen[~out], y[~out]).margin(seen[out])
+        left = np.isnan(margin)
+        margin[left] = self.trees.margin(x[left])
         self.knots = isotonic(margin, y)
         return self
 
@@ -231,44 +229,57 @@ def once(t: DataFrame) -> DataFrame:
     return t.groupBy(F.coalesce("text", F.lit("")).alias("text"), "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text", "toxic")
 
 
+def lexicon(counts: pd.DataFrame, n: int, pos: int) -> dict[str, float]:
+    """The words of highest log-odds score among ``n`` rows, ``pos`` of them toxic. ``counts``: w, n, t."""
+    c = counts[(counts["t"] >= 3) & (counts["n"] > 0)]
+    seen, toxic = c["n"].to_numpy(float), c["t"].to_numpy(float)
+    odds = np.log((toxic + 0.5) / (pos + 1.0 - toxic + 0.5)) - np.log((seen - toxic + 0.5) / (n - pos + 1.0 - seen + toxic + 0.5))
+    z = odds / np.sqrt(1 / (toxic + 0.5) + 1 / (seen - toxic + 0.5))
+    found = sorted((-s, w, o) for s, w, o in zip(z, c["w"], odds, strict=True) if s > 3.5 and o > 0.7)[:LEXICON]
+    return {w: float(o) for _, w, o in found}
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     y = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
-    y = y.where(bucket() != 2).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    # a label without a document takes no place in the sample
+    y = materialize(y.where(bucket() != 2).join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "labels")
+    y = least_hashed(y, F.xxhash64("doc_id"), rows).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     t = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")  # at most ``rows`` pairs of numbers
 
     t = materialize(once(t), "labelled")
 
     def count(batches):
-        seen: Counter = Counter()
-        toxic: Counter = Counter()
-        n = [0, 0]
+        seen = [Counter() for _ in range(FOLDS)]
+        toxic = [Counter() for _ in range(FOLDS)]
         for d in batches:
             for text, flag in zip(d["text"], d["toxic"], strict=True):
-                n[0] += 1
-                n[1] += int(flag)
-                own = set(words(text or ""))
-                seen.update(own)
+                own, k = {"", *words(text or "")}, kin(text or "") % FOLDS
+                seen[k].update(own)
                 if flag:
-                    toxic.update(own)
-        yield pd.DataFrame([("", n[0], n[1]), *((w, c, toxic[w]) for w, c in seen.items() if w)], columns=["w", "n", "t"])
-
-    counts = t.mapInPandas(count, "w string, n long, t long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    whole = counts.where("w = ''").first()
-    n, pos = (whole["n"], whole["t"]) if whole else (0, 0)
-    odds = F.log((F.col("t") + 0.5) / (F.lit(pos + 1.0) - F.col("t") * F.lit(1.0) + 0.5)) - F.log((F.col("n") - F.col("t") + 0.5) / (F.lit(n - pos + 1.0) - F.col("n") + F.col("t") + 0.5))
-    z = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") - F.col("t") + 0.5))
-    chosen = counts.where("w <> '' and t >= 3").select("w", odds.alias("odds"), z.alias("z")).where("z > 3.5 and odds > 0.7")
-    found = chosen.orderBy(F.desc("z"), "w").limit(LEXICON).collect()
-    model = Model({r["w"]: float(r["odds"]) for r in found}, 2.0)
+                    toxic[k].update(own)
+        yield pd.DataFrame([(w, k, c, toxic[k][w]) for k in range(FOLDS) for w, c in seen[k].items()], columns=["w", "k", "n", "t"])
+
+    # words of fewer than three toxic rows are in no lexicon; the empty word counts rows. At most ``rows`` texts are counted
+    each = [F.coalesce(F.sum(F.when(F.col("k") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}") for c in ("n", "t") for k in range(FOLDS)]
+    counts = t.mapInPandas(count, "w string, k int, n long, t long").groupBy("w").agg(*each).where(" + ".join(f"t{k}" for k in range(FOLDS)) + " >= 3 or w = ''")
+    counts = counts.toPandas()
+
+    def chosen(folds) -> Model:
+        c = pd.DataFrame({"w": counts["w"], "n": sum(counts[f"n{k}"] for k in folds), "t": sum(counts[f"t{k}"] for k in folds)})
+        whole = c[c["w"] == ""]
+        return Model(lexicon(c[c["w"] != ""], int(whole["n"].sum()), int(whole["t"].sum())), 2.0)
+
+    model, without = chosen(range(FOLDS)), [chosen([j for j in range(FOLDS) if j != k]) for k in range(FOLDS)]
 
     def featurise(batches):
         for d in batches:
-            x = model.matrix(d["text"])
+            x = np.stack([m.matrix(d["text"]) for m in (model, *without)], 1).reshape(len(d), -1)
             yield pd.DataFrame({"doc_id": d["doc_id"].astype(str), "toxic": d["toxic"], "kin": [kin(v) for v in d["text"]], "x": list(x)})
 
     data = t.mapInPandas(featurise, "doc_id string, toxic int, kin long, x array<double>").toPandas().sort_values(["doc_id", "toxic", "kin"], kind="stable")
-    x = np.array(data["x"].tolist(), float).reshape(-1, len(NAMES))
-    return model.fit(x, data["toxic"].to_numpy(float), data["kin"].to_numpy(np.int64))
+    x = np.array(data["x"].tolist(), float).reshape(len(data), 1 + FOLDS, len(NAMES))
+    fold = data["kin"].to_numpy(np.int64) % FOLDS
+    return model.fit(x[:, 0], data["toxic"].to_numpy(float), [(fold == k, x[:, k + 1]) for k in range(FOLDS)])
 
 
 def score(docs: DataFrame, model: Model, name: str = "tox_score") -> DataFrame:
