@@ -5,7 +5,8 @@ Every block of a page is a binary variable: main text or not. Its own evidence i
 potential by the kind of child. Sum-product messages go upward from the leaves and downward from the root,
 which gives exact marginals; blocks over one half are main text. Weights are trained by the gradient of the
 likelihood (what was seen minus what the marginals expect) on labelled pages: ``SEEDS``, written for this
-purpose, and a bounded sample of the table's own pages (``TRAIN_PAGES``) whose markup names its article.
+purpose, and a bounded sample of the table's own pages (``TRAIN_PAGES`` of under ``TRAIN_CHARS`` characters and
+``TRAIN_BLOCKS`` blocks) whose markup names its article.
 
 Text is decoded, white space within a block becomes one space, blocks are joined in page order by a space.
 
@@ -24,10 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read, small_batches
+from tessera.llm.common import least_hashed, read, small_batches
 from tessera.llm.dom import Node, attributes, own_texts, parse
 
-TRAIN_PAGES = 120
+#: Bounds of the training sample: pages, characters of a page, blocks of a page. They limit training alone.
+TRAIN_PAGES, TRAIN_CHARS, TRAIN_BLOCKS = 120, 200_000, 400
 SIZE = 512
 #: Kinds of edges: by the child's tag.
 KINDS = {"p": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "li": 3, "ul": 3, "ol": 3, "dl": 3, "dd": 3, "dt": 3, "td": 4, "tr": 4, "table": 4, "tbody": 4, "div": 5, "section": 5, "article": 6, "main": 6, "nav": 7, "footer": 7, "header": 7, "aside": 7, "form": 7, "blockquote": 1, "pre": 1, "figure": 1}
@@ -225,13 +227,17 @@ def markup_labels(page: Page) -> list[int] | None:
     return y
 
 
-def train(pages: DataFrame, rows: int = TRAIN_PAGES) -> Model:
-    """From the seeds and at most ``rows`` pages, chosen by hash of the page."""
+def train(pages: DataFrame, rows: int = TRAIN_PAGES, chars: int = TRAIN_CHARS, blocks: int = TRAIN_BLOCKS) -> Model:
+    """From the seeds and at most ``rows`` pages under ``chars`` characters and ``blocks`` blocks, chosen by hash of the page.
+    Pages are extracted whole whatever their size."""
     labelled = []
-    sample = pages.where("html is not null and length(html) < 200000").select("html", F.xxhash64("html").alias("h"))
-    for r in sample.orderBy("h").limit(rows).collect():
+    pages = pages.where("html is not null").where(F.length("html") < chars).select("html")
+    # hashes are chosen first; only the pages chosen travel
+    chosen = least_hashed(pages.select(F.xxhash64("html").alias("h")).distinct(), F.col("h"), rows).limit(rows).collect()
+    sample = pages.where(F.xxhash64("html").isin([r["h"] for r in chosen])).groupBy(F.xxhash64("html").alias("h")).agg(F.min("html").alias("html"))
+    for r in sample.orderBy("h").collect():
         page = Page(r["html"])
-        if (y := markup_labels(page)) is not None and len(y) < 400:
+        if (y := markup_labels(page)) is not None and len(y) < blocks:
             labelled.append((page, y))
     seeds = []
     for s in SEEDS:
