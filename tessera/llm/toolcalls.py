@@ -1,8 +1,8 @@
 """Chat formatting: tool calls linked to their results (native: DataFrame functions only).
 
 Calls and results meet in a hash join by identifier, after rows equal in all columns have been folded. Calls may
-name calls they come after; levels of that order are peeled off round by round, and what is never reached
-lies on a cycle. Arguments are validated against a schema by tool name and written as canonical JSON: keys in
+name calls they come after; the level of a call is the longest way to it. Chains are walked by doubling, calls after
+several others wait for them round by round, and what is never reached lies on or below a cycle. Arguments are validated against a schema by tool name and written as canonical JSON: keys in
 order at every depth, no white space.
 
 Defined results: equal repeats of a call or result are one; of different calls (or results) with one
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, read
+from tessera.llm.common import discard, materialize, read
 
 #: name -> argument -> (type, required); a type is the head of what schema_of_variant says.
 CHAT_SCHEMAS = {
@@ -43,22 +43,66 @@ def violations(name, args, schemas: dict):
     return out.otherwise(F.array(F.lit("unknown tool")))
 
 
+def _chains(single: DataFrame) -> DataFrame:
+    """``single``: call_id, up: the one call it comes after. call_id, root (the first call up the chain that has no such
+    row) and dist (calls between, itself included); no row if the chain never ends, which is a cycle.
+
+    Each round doubles what is walked, so a chain of n calls takes log2(n) rounds."""
+    own = single.select(F.col("call_id").alias("up"), F.lit(True).alias("more"))
+    at = single.join(own, "up", "left").select("call_id", F.col("up").alias("root"), F.lit(1).cast("bigint").alias("dist"), F.coalesce("more", F.lit(False)).alias("more"))
+    at = materialize(at, "chains")
+    for _ in range(at.count().bit_length()):
+        if at.where("more").isEmpty():
+            break
+        on = at.select(F.col("call_id").alias("root"), F.col("root").alias("root2"), F.col("dist").alias("dist2"), F.col("more").alias("more2"))
+        far = at.where("more").join(on, "root").select("call_id", F.col("root2").alias("root"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("more2").alias("more"))
+        at, old = materialize(at.where("not more").union(far), "chains"), at
+        discard(old)
+    return at.where("not more").drop("more")
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """``calls``: call_id, after. call_id and level of the calls that come after another one."""
+    """``calls``: call_id, after. call_id and level of the calls that come after another one; null on or below a cycle.
+
+    Calls after one other call form chains, which are walked by doubling. What is left are calls after several others;
+    they wait for all of these and take a round for each such call on the longest way."""
     named = calls.select("call_id", F.explode("after").alias("parent")).where("call_id is not null and parent is not null").distinct()
     edges = materialize(named.join(calls.select(F.col("call_id").alias("parent")).distinct(), "parent", "left_semi"), "after")
-    found = edges.select("call_id", F.lit(None).cast("int").alias("level")).where("false")
-    free = edges.select(F.col("parent").alias("call_id")).distinct().join(edges.select("call_id").distinct(), "call_id", "left_anti")
-    level = 0
-    while not edges.isEmpty():
-        level += 1
-        # edges from calls that are done are satisfied; a call that has no other edge is done in this round
-        left = materialize(edges.join(free.select(F.col("call_id").alias("parent")), "parent", "left_anti"), "after")
-        free = materialize(edges.select("call_id").distinct().join(left.select("call_id").distinct(), "call_id", "left_anti"), "free")
-        if free.isEmpty():
-            return found.union(edges.select("call_id", F.lit(None).cast("int")).distinct())
-        found, edges = found.union(free.select("call_id", F.lit(level).alias("level"))), left
-    return found
+    ways = edges.groupBy("call_id").agg(F.count("*").alias("n"), F.min("parent").alias("up"))
+    ways = materialize(ways, "ways")
+    chains = _chains(ways.where("n = 1"))
+    after = edges.select("call_id").distinct()
+    several = ways.where("n > 1").select("call_id")
+    # level 0 stands at the end of every chain that does not end at a call after several others
+    start = chains.select(F.col("root").alias("call_id")).distinct().join(several, "call_id", "left_anti").select("call_id", F.lit(0).cast("bigint").alias("level"))
+    known = start
+    if not several.isEmpty():
+        to = chains.select(F.col("call_id").alias("parent"), "root", "dist")
+        wait = edges.join(several, "call_id", "left_semi").join(to, "parent", "left")
+        lost = ways.where("n = 1").select(F.col("call_id").alias("parent")).join(chains.select(F.col("call_id").alias("parent")), "parent", "left_anti").withColumn("lost", F.lit(True))
+        wait = wait.join(lost, "parent", "left").where("lost is null").select("call_id", F.coalesce("root", "parent").alias("root"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist"))
+        blocked = edges.join(several, "call_id", "left_semi").join(lost, "parent").select("call_id").distinct()
+        left = materialize(wait.join(blocked, "call_id", "left_anti"), "waiting")
+        # ends of chains, and parents that come after nothing, are known at first
+        first = left.select(F.col("root").alias("call_id")).distinct().join(several, "call_id", "left_anti").select("call_id", F.lit(0).cast("bigint").alias("level"))
+        known = materialize(start.union(first).distinct(), "known")
+        fresh, best = known, None
+        while True:
+            come = materialize(left.join(fresh.select(F.col("call_id").alias("root"), "level"), "root", "left"), "waiting")
+            got = come.where("level is not null").groupBy("call_id").agg(F.max(F.col("level") + F.col("dist")).alias("best"))
+            best = got if best is None else best.union(got).groupBy("call_id").agg(F.max("best").alias("best"))
+            best = materialize(best, "best")
+            left = materialize(come.where("level is null").select("call_id", "root", "dist"), "waiting")
+            fresh = materialize(best.join(left.select("call_id").distinct(), "call_id", "left_anti").select("call_id", F.col("best").alias("level")), "fresh")
+            if fresh.isEmpty():
+                break
+            known = known.union(fresh)
+            best = best.join(fresh.select("call_id"), "call_id", "left_anti")
+    known = known.groupBy("call_id").agg(F.max("level").alias("at"))
+    chained = chains.join(known.withColumnRenamed("call_id", "root"), "root", "left").select("call_id", (F.col("at") + F.col("dist")).alias("level"))
+    found = chained.union(known.join(several, "call_id", "left_semi").select("call_id", F.col("at").alias("level")))
+    found = after.join(materialize(found, "levels"), "call_id", "left")
+    return found.select("call_id", F.col("level").cast("int").alias("level"))
 
 
 def numbered(d: DataFrame, *content: str) -> tuple[DataFrame, DataFrame]:
