@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, materialize, read
+from tessera.llm.common import WORD, materialize, read, row_key
 
 WEIGHTS = (1, 2, 3)
 TILTS = (-0.5, 0.0, 0.5)
@@ -96,13 +96,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it, in the order of training positions."""
-    key = F.md5(F.to_json(F.struct(*docs.columns)).cast("binary"))
-    keyed = docs.withColumn("__key", key)
+    """Pipeline stage: each document as often as the mix takes it, in the order of training positions: rows are
+    range-sorted, and written files keep that order."""
+    keyed = docs.withColumn("__key", row_key(docs))
     taken = mix(keyed, id_col="__key").select(F.col("doc_id").alias("__key"), F.explode("positions").alias("__position"))
     # rows repeated whole share a key, and all their copies
     out = keyed.dropDuplicates(["__key"]).join(taken, "__key").orderBy("__position", "__key")
-    return out.select(*docs.columns)
+    return out.select(*(f"`{c}`" for c in docs.columns))
 
 
 ORACLE = r"""

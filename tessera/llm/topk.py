@@ -40,7 +40,9 @@ def _rows(t: pa.Table, width: int) -> np.ndarray:
 
 
 def _width(t: pa.Table) -> int:
-    return max((len(x) for x in t.column("v")), default=0) if len(t) else 0
+    import pyarrow.compute as pc
+
+    return pc.max(pc.list_value_length(t.column("v"))).as_py() or 0
 
 
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
