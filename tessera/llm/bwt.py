@@ -15,11 +15,19 @@ import numpy as np
 _P = 0x9E3779B97F4A7C15 | 1
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: int = _P) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """The first ``n`` powers; those of a few megabytes are kept."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n, 1 << 20), base, np.uint64)
+        have[0] = 1
+        have = np.cumprod(have, dtype=np.uint64)
+        if n <= 1 << 22:
+            _POWERS[base] = have
+    return have[:n]
 
 
 def rolling(text: np.ndarray, width: int) -> np.ndarray:
@@ -104,10 +112,11 @@ def merge(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarray
     return Transform(suffix, before, ends), prefix
 
 
-def repeated(texts: list[bytes], length: int, step: int, shards: int = 2) -> list[np.ndarray]:
+def repeated(texts: list[bytes], length: int, step: int, shards: int = 2, weights: np.ndarray | None = None) -> list[np.ndarray]:
     """For each text the starts of the ``length``-byte strings that begin at two places or more among all texts.
 
-    ``length`` is a multiple of ``step``. Texts are dealt into shards; their transforms are merged in pairs.
+    ``length`` is a multiple of ``step``. Texts are dealt into shards; their transforms are merged in pairs. A text of
+    weight n stands for n equal ones, so an interval may hold two places though it holds one suffix.
     """
     depth = length // step
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -123,6 +132,9 @@ def repeated(texts: list[bytes], length: int, step: int, shards: int = 2) -> lis
     order, prefix = parts[0].suffix, merged[0][1]
     alike = prefix >= depth  # with the place before
     inside = alike | np.concatenate((alike[1:], [False]))
+    if weights is not None:
+        own = np.searchsorted(starts, order, "right") - 1
+        inside |= (weights[own] > 1) & (starts[own] + sizes[own] - order >= length) & (np.arange(len(order)) >= parts[0].ends)
     found = np.sort(order[inside])
     cuts = np.searchsorted(found, starts)
     return [f - s for f, s in zip(np.split(found, cuts[1:]), starts, strict=True)]

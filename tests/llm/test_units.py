@@ -12,7 +12,7 @@ from tessera.llm.components import components
 from .conftest import DOCS, NASTY, documents
 
 
-@pytest.mark.parametrize("shards", [1, 2, 3, 5])
+@pytest.mark.parametrize("shards", [1, 2, 3, 5, 8])
 def test_merged_transforms_find_repeats(shards):
     g = np.random.default_rng(shards)
     texts = [bytes(g.integers(0, 2, 150).astype(np.uint8)) for _ in range(5)] + [b"a" * 90, b"", b"short"]
@@ -22,6 +22,22 @@ def test_merged_transforms_find_repeats(shards):
     assert [x.tolist() for x in bwt.repeated(texts, 40, 10, shards)] == want
 
 
+def test_weights_stand_for_equal_texts():
+    g = np.random.default_rng(9)
+    texts = [bytes(g.integers(0, 200, 100).astype(np.uint8)) for _ in range(4)] + [b"", b"x" * 30]
+    n = np.array([1, 3, 1, 2, 5, 7])
+    got = bwt.repeated(texts, 40, 10, 2, n)
+    assert [len(x) for x in got] == [0, 61, 0, 61, 0, 0]
+
+
+def test_runs_of_few_words_stay():
+    raw = b"one two three four five six seven"
+    cut = lambda spans, words: suffixes._remove(raw, spans, 8, words)
+    assert cut([{"lo": 4, "hi": 6}, {"lo": 10, "hi": 11}], 0) == (raw[:4] + raw[19:], 1)
+    assert cut([{"lo": 4, "hi": 6}], 1) == (raw[:4] + raw[14:], 1) and cut([{"lo": 4, "hi": 6}], 2) == (raw, 0)
+    assert cut(None, 0) == (raw, 0)
+
+
 def test_merge_equals_a_sort():
     g = np.random.default_rng(0)
     text = g.integers(0, 3, 400)
@@ -285,20 +301,117 @@ def test_no_message_of_a_chat_is_lost(spark):
     assert len(first) == 1 and '"text":"a"' in first[0].canonical and '"result":"c"' in first[0].canonical
 
 
+def test_near_dedup_keeps_one_row_a_group(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(5, long, "en", "a", 1), (3, long, "en", "b", 1), (None, long, "en", "c", 1), (7, "quite another text here", "en", "a", 1), (7, "and one more under that id", "en", "a", 1), (8, "quite another text here", None, "a", 1), (None, "only this one without id", "en", "a", 1)]
+    rows += [rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {(3, long), (7, rows[3][1]), (7, rows[4][1]), (None, rows[6][1])}
+    for n in (1, 5):
+        got = simhash.first_of_each(spark, docs.repartition(n), "").collect()
+        assert len(got) == 4 and {(r.doc_id, r.text) for r in got} == want
+
+
+def test_passages_of_over_fifty_words_go(spark):
+    word = lambda k, n: " ".join(f"{chr(97 + k)}{(i * 7919 + k * 131) % 9973}" for i in range(n))
+    shared, short = word(0, 52), word(1, 45)
+    rows = [(i, f"{word(2 + i, 60)} {shared} {word(7 + i, 60)} {short if i < 2 else 'end'}", "en", "a", 1) for i in range(4)] + [(9, word(12, 90), "en", "a", 1)]
+    out = {r.doc_id: r.text for r in suffixes.strip_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()}
+    for i in range(4):
+        assert shared[3:-3] not in out[i] and word(2 + i, 59) in out[i] and (short in out[i]) == (i < 2)
+    assert out[9] == rows[-1][1]
+
+
+def test_chains_of_calls(spark):
+    n = 2000
+    chain = spark.range(n).selectExpr("cast(id as string) call_id", "array(cast(id - 1 as string)) after")
+    got = {int(r.call_id): r.level for r in toolcalls.levels(chain).collect()}
+    assert got == {i: i for i in range(1, n)}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_levels_against_the_longest_way(spark, seed):
+    g = np.random.default_rng(seed)
+    n = int(g.integers(2, 22))
+    back = lambda i: [f"c{g.integers(0, n + 2 if seed % 2 else max(1, i))}" for _ in range(g.integers(0, 4))]
+    calls = {f"c{i}": set(back(i) if i else []) for i in range(n)}
+    after = {c: {p for p in ps if p in calls} for c, ps in calls.items()}
+    level: dict = {}
+    for _ in range(n + 1):
+        level |= {c: max((level[p] + 1 for p in ps), default=0) for c, ps in after.items() if all(p in level for p in ps)}
+    got = {r.call_id: r.level for r in toolcalls.levels(spark.createDataFrame([(c, sorted(p)) for c, p in calls.items()], "call_id string, after array<string>")).collect()}
+    assert got == {c: level.get(c) for c, ps in after.items() if ps}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_long_words_against_the_library(spark, seed):
+    import public_tokenizers as P
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    g = np.random.default_rng(seed)
+    some = lambda letters, n: "".join(g.choice(list(letters), n))
+    texts = [some("aab", 4000), some("etaoinshrdlu", 3000), some("éüaß", 700), "ab" * 200, "a" * 100_000, some("abc", 257), some("xyz", 255), "Z" + "a" * 255]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.default_codec(spark).encode(df).collect():
+        assert r.ids == ",".join(map(str, enc.encode_ordinary(texts[r.doc_id]))), r.doc_id
+
+
+def test_training_pages_are_the_least_hashed(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm.common import least_hashed
+
+    df = spark.range(3000)
+    h = F.xxhash64("id")
+    want = {r.id for r in df.orderBy(F.pmod(h, F.lit(1 << 62))).limit(50).collect()}
+    assert {r.id for r in least_hashed(df, h, 50).collect()} == want
+    assert least_hashed(df.where("id < 20"), h, 50).count() == 20 and least_hashed(df.where("false"), h, 50).count() == 0
+
+
 def test_pipeline_stages(spark, nasty, empty):
     import corpus_pipeline
 
     for d, rows in ((nasty, documents(NASTY)), (empty, [])):
         docs = spark.createDataFrame(rows, DOCS)
         for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, docs, d).cache()
+            before, out = docs.collect(), stage(spark, docs, d).cache()
+            got = out.collect()
             if name != "bpe":
                 assert out.columns == docs.columns
-            if name == "simhash" and rows:
-                ids = [r.doc_id for r in out.collect() if r.doc_id is not None]
-                assert len(ids) == len(set(ids))
-            if name == "suffixes" and rows:
-                assert out.count() == docs.count() and not out.where("text like '%word3 of a passage that is shared word4%'").count()
             if not rows:
-                assert out.count() == 0
+                assert not got
+            elif name == "toxicity":
+                model = toxicity.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
+                assert Counter(got) == Counter(r for r in before if model.score([r.text])[0] < toxicity.THRESHOLD)
+            elif name == "simhash":
+                print_of = {t: simhash.fingerprint(t) for t in {r.text for r in before}}
+                group = {t: t for t in print_of}
+                for _ in group:
+                    for a, b in itertools.product(group, group):
+                        if (print_of[a] ^ print_of[b]).bit_count() <= 4:
+                            group[b] = group[a]
+                groups: dict = {}
+                for r in before:
+                    groups.setdefault(group[r.text], []).append(r)
+                assert len(got) == len(groups) and {group[r.text] for r in got} == set(groups)
+                for r in got:
+                    ids = [x.doc_id for x in groups[group[r.text]] if x.doc_id is not None]
+                    assert r in before and r.doc_id == min(ids, default=None)
+            elif name == "suffixes":
+                raw = [(r.text or "").encode() for r in before]
+                n = suffixes.STAGE_LENGTH
+                seen = Counter(t[i : i + n] for t in raw for i in range(len(t) - n + 1))
+                want = Counter()
+                for r, t in zip(before, raw, strict=True):
+                    k, _ = suffixes._remove(t, [{"lo": i, "hi": i} for i in range(len(t) - n + 1) if seen[t[i : i + n]] > 1], n, suffixes.STAGE_WORDS)
+                    want[(r.doc_id, r.text if k == t else k.decode("utf-8", "ignore"))] += 1
+                assert Counter((r.doc_id, r.text) for r in got) == want
+            elif name == "mixing":
+                taken = mixing.mix(docs.selectExpr("uuid() doc_id", "text", "source")).collect()
+                assert set(got) <= set(before) and abs(len(got) - sum(r.copies for r in taken)) <= len(taken)
+            else:
+                assert [r.position for r in sorted(got, key=lambda r: r.position)] == list(range(len(before)))
+                assert [(r.doc_id, r.text) for r in sorted(got, key=lambda r: r.position)] == [(r.doc_id, r.text) for r in before]
             docs = out
