@@ -329,5 +329,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: position (from 0, the order of the files and of rows in them, which is the order of
     training), doc_id, source, text, ids joined by commas, and the round trip of every row as digests."""
-    placed = materialize(in_order(docs).select("doc_id", "source", "text", "position"), "placed")
+    placed = materialize(in_order(docs, "doc_id", "source", "text"), "placed")
     return encode_documents(placed).select("position", "doc_id", "source", "text", "ids", *_digests())

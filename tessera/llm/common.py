@@ -70,19 +70,19 @@ def row_key(docs: DataFrame) -> Column:
     return F.md5(F.concat(F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("-")), rest).cast("binary"))
 
 
-def in_order(docs: DataFrame) -> DataFrame:
-    """``docs`` with position: from 0, by file and row in it, or by partition if it is no table of Parquet files. Files are
-    counted, so no row is sorted."""
+def in_order(docs: DataFrame, *columns: str) -> DataFrame:
+    """These columns of ``docs`` and position: from 0, by file and row in it, or by partition if it is no table of Parquet
+    files. Files are counted, so no row is sorted."""
     try:
-        d = docs.select("*", F.col("_metadata.file_name").alias("_f"), F.col("_metadata.row_index").alias("_i"))
+        d = docs.select(*columns, F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     except AnalysisException:
-        d = docs.select("*", F.monotonically_increasing_id().alias("_i"))
-        d = d.select("*", F.lpad(F.shiftright("_i", 33).cast("string"), 10, "0").alias("_f")).withColumn("_i", F.col("_i").bitwiseAND((1 << 33) - 1))
+        d = docs.select(*columns, F.monotonically_increasing_id().alias("__row"))
+        d = d.withColumn("__file", F.lpad(F.shiftright("__row", 33).cast("string"), 10, "0")).withColumn("__row", F.col("__row").bitwiseAND((1 << 33) - 1))
         d = materialize(d, "in-order")
-    name = F.struct(F.length("_f"), "_f")
-    counts = d.groupBy("_f").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return d.join(counts.select("_f", before.alias("_before")), "_f").select(*(f"`{c}`" for c in docs.columns), (F.col("_before") + F.col("_i")).alias("position"))
+    counts = d.groupBy("__file").agg(F.count("*").alias("__n"))
+    before = Window.orderBy(F.length("__file"), "__file").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return d.join(counts, "__file").select(*columns, (F.col("__before") + F.col("__row")).alias("position"))
 
 
 def least_hashed(df: DataFrame, h: Column, rows: int) -> DataFrame:
