@@ -33,6 +33,11 @@ def canonical_json_sha256(value) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
 
+def canonical_row_sha256(*names: str) -> Column:
+    """FN23 on columns of text and whole numbers: the hash of a row's canonical JSON."""
+    return F.sha2(F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"}), 256)
+
+
 def ordered_digest(position: Column, index: Column) -> Column:
     """FN24, an aggregate: the hash of indices joined by commas, in order of position."""
     rows = F.array_sort(F.collect_list(F.struct(position.alias("p"), index.alias("i"))))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.digests import draw, unsigned64
+from tessera.operators.ranking import global_position, running_sum
 
 
 def capped_selection(df: DataFrame, key: str, group: str, size: str, score: str, target: float, group_cap: float, group_rows: int) -> DataFrame:
@@ -29,7 +30,7 @@ def capped_selection(df: DataFrame, key: str, group: str, size: str, score: str,
                     rows[g] = rows.get(g, 0) + 1
             yield b.loc[keep, ["k"]]
 
-    ordered = narrow.coalesce(1).sortWithinPartitions("s", "k")
+    ordered = narrow.repartition(1).sortWithinPartitions("s", "k")  # the scan before stays parallel; the sort spills
     chosen = ordered.mapInPandas(fold, "k string")
     return df.join(chosen, df[key].cast("string") == chosen["k"], "left_semi")
 
@@ -43,9 +44,12 @@ def spread(n: Column, k: int) -> Column:
 
 def stratified_sample(df: DataFrame, order: list, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     """SEL2 and SEL3: k rows, evenly spread over the order, in each stratum."""
-    w = Window.partitionBy(*by)
-    d = df.withColumn("_r", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
-    return d.where(F.array_contains(spread(F.col("_n"), k), F.col("_r"))).drop("_r", "_n")
+    d = global_position(df, *order, by=by, out="_r")
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n")).select(*(F.col(c).alias(f"_{c}") for c in by), F.explode(spread(F.col("_n"), k)).alias("_p")).distinct()
+    on = d["_r"] == sizes["_p"]
+    for c in by:
+        on = on & d[c].eqNullSafe(sizes[f"_{c}"])
+    return d.join(sizes, on, "left_semi").drop("_r")
 
 
 def error_stratum(rate: Column) -> Column:
@@ -136,13 +140,13 @@ def grouped_folds(counts: DataFrame, group: str, folds: int) -> DataFrame:
         yield d[[group]].assign(fold=out)
 
     kind = dict(counts.dtypes)[group]
-    return counts.select(group, "n").coalesce(1).mapInPandas(deal, f"{group} {kind}, fold long")
+    return counts.select(group, "n").repartition(1).mapInPandas(deal, f"{group} {kind}, fold long")
 
 
 def cohort_override(cells: DataFrame, overrides: DataFrame, keys: list[str], run: str) -> DataFrame:
     """SEL15: the run that stands for a cell: the override by provenance if there is one, else the default."""
     o = overrides.select(*keys, F.col(run).alias("_o"))
-    return cells.join(F.broadcast(o), keys, "left").withColumn(run, F.coalesce("_o", run)).drop("_o")
+    return cells.join(o, keys, "left").withColumn(run, F.coalesce("_o", run)).drop("_o")
 
 
 def pick_candidate(speech: DataFrame, noise: DataFrame, key: str, noise_key: str, length: str, seed: int) -> DataFrame:
@@ -153,16 +157,12 @@ def pick_candidate(speech: DataFrame, noise: DataFrame, key: str, noise_key: str
     equi-join on rank.
     """
     n = noise.select(F.col(noise_key).alias("candidate"), F.col(length).alias("_len"))
-    down = Window.orderBy(F.desc("_len")).rowsBetween(Window.unboundedPreceding, 0)  # distinct lengths
-    fits = n.groupBy("_len").agg(F.count("*").alias("_n")).withColumn("_fit", F.sum("_n").over(down).cast("int"))
-    longer = fits.select(F.col("_len").alias("_l"), (F.col("_fit") - F.col("_n")).alias("_longer"))
-    inner = F.row_number().over(Window.partitionBy("_len").orderBy(F.col("candidate").cast("string")))
-    ranked = n.withColumn("_i", inner).join(longer, F.col("_len").eqNullSafe(F.col("_l"))).withColumn("_rank", (F.col("_i") + F.col("_longer")).cast("int"))
-    lengths = speech.select(F.col(length).alias("_need")).distinct()
-    both = fits.select(F.col("_len").alias("_need"), "_fit").withColumn("_own", F.lit(False)).union(lengths.select("_need", F.lit(None).cast("int"), F.lit(True)))
-    upto = F.last("_fit", ignorenulls=True).over(Window.orderBy(F.desc("_need"), "_own").rowsBetween(Window.unboundedPreceding, 0))
-    table = both.withColumn("eligible", F.coalesce(upto, F.lit(0))).where("_own").select("_need", "eligible")
-    d = speech.join(table, speech[length].eqNullSafe(table["_need"])).drop("_need")
+    ranked = global_position(n.where("_len is not null"), -F.col("_len"), F.col("candidate").cast("string"), out="_rank").withColumn("_rank", F.col("_rank") + 1)
+    # lengths of candidates and lengths asked for in one falling order; asked ones count nothing and come last of equals
+    lengths = speech.select(F.col(length).alias("_need")).where("_need is not null").distinct().select("_need", F.lit(0).cast("bigint").alias("_n"), F.lit(True).alias("_own"))
+    fits = n.where("_len is not null").groupBy(F.col("_len").alias("_need")).agg(F.count("*").alias("_n")).withColumn("_own", F.lit(False))
+    table = running_sum(fits.unionByName(lengths), F.col("_n"), -F.col("_need"), "_own", out="eligible").where("_own").select("_need", F.col("eligible").cast("int").alias("eligible"))
+    d = speech.join(table, speech[length] == table["_need"], "left").drop("_need").withColumn("eligible", F.coalesce("eligible", F.lit(0)))
     pick = (draw(str(seed), F.col(key)) % F.greatest("eligible", F.lit(1)).cast("decimal(20,0)")).cast("int") + 1
     d = d.withColumn("_rank", F.when(F.col("eligible") > 0, pick))
     return d.join(ranked.select("_rank", "candidate"), "_rank", "left").drop("_rank")

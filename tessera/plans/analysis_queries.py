@@ -24,14 +24,8 @@ def _r(c, n=6):
 
 # ---- text --------------------------------------------------------------------------------------------------
 
-@query("FN1", r"SELECT doc_id, trim(regexp_replace(lower(nfc_normalize(text)), '[\p{P}\p{N}\p{S}\p{C}\s\x{85}\x{A0}]+', ' ', 'g')) AS clean FROM documents WHERE NOT regexp_matches(text, '[ºª²³¹…™ﬁﬂ]')")
+@query("FN1", r"SELECT doc_id, trim(regexp_replace(lower(nfc_normalize(text)), '[\p{P}\p{N}\p{S}\p{C}\s\x{85}\x{A0}]+', ' ', 'g')) AS clean FROM documents")
 def text_normalize_v1(spark, d):
-    x = _docs(spark, d).where(~F.col("text").rlike("[ºª²³¹…™ﬁﬂ]"))  # what its SQL reads
-    return x.select("doc_id", T.normalize_v1(F.col("text")).alias("clean"))
-
-
-@query("FN1")
-def text_normalize_v1_whole(spark, d):
     return _docs(spark, d).select("doc_id", T.normalize_v1(F.col("text")).alias("clean"))
 
 
@@ -56,14 +50,8 @@ def word_split(spark, d):
     return _docs(spark, d).select("doc_id", F.size(T.words(F.col("text"))).cast("bigint").alias("words"))
 
 
-@query("FN7", "SELECT doc_id, translate(upper(text), '. ,!?', '') AS clean FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^ -~\\n]')")
+@query("FN7", "SELECT doc_id, translate(upper(replace(text, 'ß', 'SS')), '. ,!?', '') AS clean FROM documents")
 def legacy_normalize(spark, d):
-    x = _docs(spark, d).where((F.col("lang") == "en") & ~F.col("text").rlike(r"[^ -~\n]"))  # what its SQL reads
-    return x.select("doc_id", T.legacy_upper(F.col("text")).alias("clean"))
-
-
-@query("FN7")
-def legacy_normalize_whole(spark, d):
     return _docs(spark, d).select("doc_id", T.legacy_upper(F.col("text")).alias("clean"))
 
 
@@ -73,7 +61,7 @@ def compression_ratio(spark, d):
 
 
 @query("FN9 FN10 WN6", r"""
-WITH w AS (SELECT doc_id, text, n_chars, list_filter(regexp_split_to_array(text, '[\s\x{85}\x{A0}]+'), lambda w: w <> '') AS w FROM documents WHERE n_chars < 4000),
+WITH w AS (SELECT doc_id, text, n_chars, list_filter(regexp_split_to_array(text, '[\s\x{85}\x{A0}]+'), lambda w: w <> '') AS w FROM documents),
 g AS (SELECT *, CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END AS g2,
   CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE [] END AS g3 FROM w),
 u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w),
@@ -85,15 +73,7 @@ SELECT g.doc_id, len(w) = 0 AS empty_text, len(w) AS word_count, round(len(w) /
   round(CASE WHEN len(g3) > 0 THEN (len(g3) - len(list_distinct(g3))) / len(g3) ELSE 0 END, 6) AS repeated_trigrams
 FROM g LEFT JOIN m USING (doc_id)""")
 def text_diagnostics(spark, d):
-    return _diagnostics(_docs(spark, d).where("n_chars < 4000"))  # what its SQL reads
-
-
-@query("FN9 FN10 WN6")
-def text_diagnostics_whole(spark, d):
-    return _diagnostics(_docs(spark, d))
-
-
-def _diagnostics(docs):
+    docs = _docs(spark, d)
     x = T.with_diagnostics(docs, "text", F.col("n_chars") / 15.0)
     q = {c: F.col(c) for c in x.columns}
     return x.select(
@@ -102,77 +82,52 @@ def _diagnostics(docs):
     )
 
 
-def _pairs(spark, d, whole=False):
-    """Turns beside the turns after them; their first 60 characters, as their SQL reads them, or whole."""
-    text = F.col("text") if whole else F.substring("text", 1, 60)
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.lower(text), "[^a-z ]", "").alias("ref"))
+def _pairs(spark, d):
+    """Turns beside the turns after them."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.lower("text"), "[^a-z ]", "").alias("ref"))
     n = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ref").alias("hyp"))
     return c.join(n, ["conv_id", "turn"])
 
 
-_PAIRS = "WITH c AS (SELECT conv_id, turn, regexp_replace(lower(text[1:60]), '[^a-z ]', '', 'g') AS ref FROM conversations), p AS (SELECT c.conv_id, c.turn, c.ref, n.ref AS hyp FROM c JOIN c n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1)"
-
-
-@query("FN11", _PAIRS + " SELECT conv_id, turn, round(levenshtein(ref, hyp) / greatest(1, length(ref), length(hyp)), 6) AS disagreement FROM p")
-def char_disagreement(spark, d):
-    return _disagreement(_pairs(spark, d))
+def _aligned(spark, d):
+    """Turns beside the turns after them, aligned in Arrow functions: the builtin distance looks every word up in an
+    array anew, which long turns make slow. Nulls where a text is null; n and m: their words."""
+    s = F.when(F.col("ref").isNotNull() & F.col("hyp").isNotNull(), E.alignment(F.col("ref"), F.col("hyp")))
+    p = _pairs(spark, d).withColumn("s", s).select("conv_id", "turn", "s.*")
+    same = F.col("hits") + F.col("substitutions")
+    errors = F.col("substitutions") + F.col("deletions") + F.col("insertions")
+    return p.select("conv_id", "turn", errors.alias("errors"), (same + F.col("deletions")).alias("n"), (same + F.col("insertions")).alias("m"))
 
 
-@query("FN11")
-def char_disagreement_whole(spark, d):
-    return _disagreement(_pairs(spark, d, True))
+_PAIRS = "WITH c AS (SELECT conv_id, turn, regexp_replace(lower(text), '[^a-z ]', '', 'g') AS ref FROM conversations), p AS (SELECT c.conv_id, c.turn, c.ref, n.ref AS hyp FROM c JOIN c n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1)"
 
 
-def _disagreement(p):
-    return p.select("conv_id", "turn", _r(T.disagreement(F.col("ref"), F.col("hyp"))).alias("disagreement"))
+@query("FN11", _PAIRS + " SELECT conv_id, turn, round(levenshtein(ref, hyp) / greatest(1, length(ref), length(hyp)), 6) AS disagreement FROM p")
+def char_disagreement(spark, d):
+    return _pairs(spark, d).select("conv_id", "turn", _r(T.disagreement(F.col("ref"), F.col("hyp"))).alias("disagreement"))
 
 
 _WORDS = """, w AS (SELECT conv_id, turn, list_filter(string_split(ref, ' '), lambda x: x <> '') AS a, list_filter(string_split(hyp, ' '), lambda x: x <> '') AS b FROM p),
-v AS (SELECT *, list_distinct(list_concat(a, b)) AS v FROM w),
-k AS (SELECT conv_id, turn, len(a) AS n, len(b) AS m, levenshtein(array_to_string(list_transform(a, lambda x: chr((list_position(v, x) + 32)::INT)), ''), array_to_string(list_transform(b, lambda x: chr((list_position(v, x) + 32)::INT)), '')) AS errors FROM v)"""
+t AS (  -- the edit table, a row a word of a: least of match and deletion, then insertions as a running least
+  SELECT conv_id, turn, len(a) AS n, len(b) AS m, list_reduce(list_concat([range(0, len(b) + 1)], list_transform(range(1, len(a) + 1), lambda i: [i])),
+    lambda p, x: list_transform([list_transform(list_concat([x[1]], list_transform(range(1, len(b) + 1), lambda j: least(p[j] + CASE WHEN a[x[1]] = b[j] THEN 0 ELSE 1 END, p[j + 1] + 1))), lambda v, k: v - k)],
+      lambda q: list_transform(range(1, len(b) + 2), lambda j: list_min(q[1:j]) + j))[1]) AS last FROM w),
+k AS (SELECT conv_id, turn, n, m, last[m + 1] AS errors FROM t)"""
 
 
 @query("FN12 FN13 FN14", _PAIRS + _WORDS + " SELECT conv_id, turn, errors, round(CASE WHEN n = 0 THEN m ELSE errors / n END, 6) AS wer FROM k")
 def pair_word_error(spark, d):
-    p = _pairs(spark, d)
-    return p.select("conv_id", "turn", E.word_errors(F.col("ref"), F.col("hyp")).cast("bigint").alias("errors"), _r(E.word_error_rate(F.col("ref"), F.col("hyp"))).alias("wer"))
-
-
-@query("FN12 FN13 FN14")
-def pair_word_error_whole(spark, d):
     rate = F.when(F.col("n") == 0, F.col("m").cast("double")).otherwise(F.col("errors") / F.col("n"))
     return _aligned(spark, d).select("conv_id", "turn", "errors", _r(rate).alias("wer"))
 
 
-def _aligned(spark, d):
-    """Whole turns beside the turns after them, aligned in Arrow functions: the builtin distance looks every word up
-    in an array anew, which whole turns make slow. Nulls where a text is null; n and m: their words."""
-    s = F.when(F.col("ref").isNotNull() & F.col("hyp").isNotNull(), E.alignment(F.col("ref"), F.col("hyp")))
-    p = _pairs(spark, d, True).withColumn("s", s).select("conv_id", "turn", "s.*")
-    same = F.col("hits") + F.col("substitutions")
-    errors = F.col("substitutions") + F.col("deletions") + F.col("insertions")
-    return p.select("conv_id", "turn", errors.alias("errors"), (same + F.col("deletions")).alias("n"), (same + F.col("insertions")).alias("m"))
-
-
 @query("FN12 FN13", _PAIRS + _WORDS + " SELECT conv_id, turn, errors, m - n AS balance FROM k")
 def alignment_split(spark, d):
-    s = _pairs(spark, d).withColumn("s", E.alignment(F.col("ref"), F.col("hyp"))).select("conv_id", "turn", "s.*")
-    return s.select("conv_id", "turn", (F.col("substitutions") + F.col("deletions") + F.col("insertions")).alias("errors"), (F.col("insertions") - F.col("deletions")).alias("balance"))
-
-
-@query("FN12 FN13")
-def alignment_split_whole(spark, d):
     return _aligned(spark, d).select("conv_id", "turn", "errors", (F.col("m") - F.col("n")).alias("balance"))
 
 
 @query("FN15 FN16 AG2 FLT10 INF5", _PAIRS + _WORDS + " SELECT turn % 2 = 0 AS unseen, round(100.0 * sum(errors) / sum(n), 6) AS wer FROM k GROUP BY 1")
 def corpus_wer(spark, d):
-    p = _pairs(spark, d).select((F.col("turn") % 2 == 0).alias("unseen"), E.word_errors(F.col("ref"), F.col("hyp")).alias("e"), F.size(T.words(F.col("ref"))).alias("n"))
-    return p.groupBy("unseen").agg(_r(E.micro_rate(F.col("e"), F.col("n"))).alias("wer"))
-
-
-@query("FN15 FN16 AG2 FLT10 INF5")
-def corpus_wer_whole(spark, d):
     p = _aligned(spark, d).select((F.col("turn") % 2 == 0).alias("unseen"), "errors", "n")
     return p.groupBy("unseen").agg(_r(E.micro_rate(F.col("errors"), F.col("n"))).alias("wer"))
 
@@ -218,7 +173,17 @@ def content_digest(spark, d):
     return table(spark, d, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
 
 
-@query("FN25 FN26")
+_LITTLE = "list_transform(range(0, {n}), lambda i: printf('%02x', ({bits} // (256 ** i)::BIGINT) % 256))"
+_BYTES = "array_to_string(" + _LITTLE + ", '')"
+
+
+@query("FN25 FN26", f"""
+WITH p AS (SELECT vec_id, list_transform(embedding, lambda v: (CAST(round_even(greatest(-1.0, least(1.0, v::DOUBLE)) * 32767.0, 0) AS BIGINT) + 65536) % 65536) AS q,
+  list_transform(embedding, lambda v: struct_pack(s := CASE WHEN v < 0 THEN 2147483648 ELSE 0 END, a := abs(v::DOUBLE), e := CASE WHEN v = 0 THEN 0 ELSE CAST(floor(log2(abs(v::DOUBLE))) AS INTEGER) END)) AS f FROM embeddings),
+k AS (SELECT *, list_transform(f, lambda x: struct_pack(s := x.s, a := x.a, e := CASE WHEN x.a = 0 THEN 0 WHEN x.a >= pow(2.0, x.e + 1) THEN x.e + 1 WHEN x.a < pow(2.0, x.e) THEN x.e - 1 ELSE x.e END)) AS g FROM p),
+b AS (SELECT *, list_transform(g, lambda x: CASE WHEN x.a = 0 THEN x.s ELSE x.s + (x.e + 127) * 8388608 + CAST(x.a / pow(2.0, x.e) * 8388608 AS BIGINT) - 8388608 END) AS w FROM k)
+SELECT vec_id, sha256(CAST('16000:1:' AS BLOB) || unhex(array_to_string(list_transform(q, lambda z: {_BYTES.format(n=2, bits="z")}), ''))) AS pcm_sha256,
+  sha256(unhex({_BYTES.format(n=4, bits="16000")} || {_BYTES.format(n=8, bits="len(w)")} || {_BYTES.format(n=8, bits="1")} || array_to_string(list_transform(w, lambda z: {_BYTES.format(n=4, bits="z")}), ''))) AS content_sha256 FROM b""")
 def signal_hashes(spark, d):
     e = table(spark, d, "embeddings")
     one = F.lit(1)

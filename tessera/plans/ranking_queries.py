@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.digests import draw, ordered_digest, ordered_digests
+from tessera.functions.digests import draw, ordered_digests
 from tessera.operators import ranking as R
 from tessera.operators import selection as S
 from tessera.plans.register import query, table
@@ -41,7 +41,7 @@ def static_order(spark, d):
 @query("WN2 PRJ5", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS position FROM lineitem")
 def global_position(spark, d):
     x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
-    return R.global_position(x, "l_shipdate", "l_orderkey", "l_linenumber", buckets=8).select("l_orderkey", "l_linenumber", F.col("position").cast("bigint").alias("position"))
+    return R.global_position(x, "l_shipdate", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", F.col("position").cast("bigint").alias("position"))
 
 
 @query("WN3", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS occurrence FROM events")
@@ -58,7 +58,7 @@ def running_maximum(spark, d):
 WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS rank, count(*) OVER () AS n FROM documents)
 SELECT doc_id, CAST(CASE WHEN rank < ceil(n / 3.0) THEN 1 WHEN rank < ceil(n * 2.0 / 3.0) THEN 2 ELSE 3 END AS INTEGER) AS stage FROM r""")
 def first_eligible_stage(spark, d):
-    x = R.ordered_position(table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", out="rank")
+    x = R.global_position(table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", out="rank")
     n = table(spark, d, "documents").agg(F.count("*").alias("n"))
     return x.crossJoin(F.broadcast(n)).select("doc_id", R.first_stage(F.col("rank"), F.col("n"), [1 / 3, 2 / 3, 1.0]).alias("stage"))
 
@@ -169,14 +169,8 @@ def sampler_preconditions(spark, d):
     return R.state_violations(s, table(spark, d, "events").select(F.col("event_id").alias("id")))
 
 
-@query("FN24", "SELECT event_type, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY value, event_id)) AS digest FROM events WHERE event_id < 3000 GROUP BY event_type")
+@query("FN24", "SELECT event_type, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY value, event_id)) AS digest FROM events GROUP BY event_type")
 def ordered_index_digest(spark, d):
-    e = table(spark, d, "events").where("event_id < 3000")
-    return e.groupBy("event_type").agg(ordered_digest(F.struct("value", "event_id"), F.col("event_id")).alias("digest"))
-
-
-@query("FN24")
-def ordered_index_digest_whole(spark, d):
     return ordered_digests(table(spark, d, "events"), "event_type", ["value", "event_id"], "event_id")
 
 
@@ -202,19 +196,31 @@ def longest_rows(spark, d):
     return S.top_k(table(spark, d, "documents").select("doc_id", "n_chars"), 25, F.desc("n_chars"), "doc_id")
 
 
-@query("SEL1")
+_CAPPED = """WITH RECURSIVE x AS (SELECT doc_id, source, n_chars / 100.0::DOUBLE AS size, (doc_id * 7919 % 1000) / 1000.0::DOUBLE AS score FROM documents),
+o AS (SELECT *, row_number() OVER (ORDER BY score, CAST(doc_id AS VARCHAR)) AS k, dense_rank() OVER (ORDER BY source) AS g FROM x WHERE size <= 300),
+f AS (
+  SELECT 0::BIGINT AS k, 0.0::DOUBLE AS total, list_transform(range(0, (SELECT max(g) FROM o)), lambda i: 0.0::DOUBLE) AS used, list_transform(range(0, (SELECT max(g) FROM o)), lambda i: 0::BIGINT) AS taken, false AS ok
+  UNION ALL
+  SELECT k, CASE WHEN ok THEN total + size ELSE total END, CASE WHEN ok THEN list_transform(used, lambda v, i: CASE WHEN i = g THEN v + size ELSE v END) ELSE used END, CASE WHEN ok THEN list_transform(taken, lambda v, i: CASE WHEN i = g THEN v + 1 ELSE v END) ELSE taken END, ok
+  FROM (SELECT o.k, o.g, o.size, f.total, f.used, f.taken, f.total + o.size <= 4000 AND f.used[o.g] + o.size <= 300 AND f.taken[o.g] < 12 AS ok FROM f JOIN o ON o.k = f.k + 1) z),
+c AS (SELECT o.doc_id, o.source, o.size FROM o JOIN f USING (k) WHERE f.ok)
+"""
+
+
+def _scored(spark, d):
+    return table(spark, d, "documents").select("doc_id", "source", (F.col("n_chars") / 100.0).alias("size"), (F.col("doc_id") * 7919 % 1000 / 1000.0).alias("score"))
+
+
+@query("SEL1", _CAPPED + "SELECT doc_id, source FROM c")
 def capped_selection(spark, d):
-    x = table(spark, d, "documents").select("doc_id", "source", (F.col("n_chars") / 100.0).alias("size"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 1000 / 1000.0).alias("score"))
-    total = 4000.0
-    return S.capped_selection(x, "doc_id", "source", "size", "score", total, 300.0, 12).select("doc_id", "source")
+    return S.capped_selection(_scored(spark, d), "doc_id", "source", "size", "score", 4000.0, 300.0, 12).select("doc_id", "source")
 
 
-@query("SEL1 AG5")
+@query("SEL1 AG5", _CAPPED + """, p AS (SELECT source, count(*) AS rows, sum(size) AS size FROM c GROUP BY source)
+SELECT source, rows, round(size, 6) AS size FROM p""")
 def capped_selection_profile(spark, d):
-    from tessera.operators.audit import group_profile
-
-    x = table(spark, d, "documents").select("doc_id", "source", (F.col("n_chars") / 100.0).alias("size"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 1000 / 1000.0).alias("score"))
-    return group_profile(S.capped_selection(x, "doc_id", "source", "size", "score", 4000.0, 300.0, 12), "source", "size")
+    x = S.capped_selection(_scored(spark, d), "doc_id", "source", "size", "score", 4000.0, 300.0, 12)
+    return x.groupBy("source").agg(F.count("*").alias("rows"), F.round(F.sum("size"), 6).alias("size"))
 
 
 _SPLIT = """
@@ -264,7 +270,12 @@ def cap_violations(spark, d):
     return S.cap_violations(x, "source", "hours", 30.0, 40, 5).select("source", "rows", F.round("hours", 6).alias("hours"))
 
 
-@query("SEL13")
+@query("SEL13", """
+WITH RECURSIVE g AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id),
+o AS (SELECT *, row_number() OVER (ORDER BY n DESC, user_id) AS k FROM g),
+f AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0]::BIGINT[] AS load, -1::BIGINT AS fold
+  UNION ALL SELECT o.k, list_transform(f.load, lambda v, i: CASE WHEN i = list_position(f.load, list_min(f.load)) THEN v + o.n ELSE v END), list_position(f.load, list_min(f.load)) - 1 FROM f JOIN o ON o.k = f.k + 1)
+SELECT o.user_id, CAST(f.fold AS BIGINT) AS fold FROM o JOIN f USING (k)""")
 def grouped_folds(spark, d):
     g = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
     return S.grouped_folds(g, "user_id", 5)
@@ -272,7 +283,7 @@ def grouped_folds(spark, d):
 
 @query("SEL14", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 2 AS lane FROM documents")
 def lanes(spark, d):
-    x = R.ordered_position(table(spark, d, "documents").select("doc_id"), "doc_id")
+    x = R.global_position(table(spark, d, "documents").select("doc_id"), "doc_id")
     return x.select("doc_id", S.lane(F.col("position"), 2).cast("bigint").alias("lane"))
 
 
@@ -289,21 +300,20 @@ def cohort_override(spark, d):
 
 @query("JN8 FLT7", f"""
 WITH s AS (SELECT doc_id, n_chars AS len FROM documents),
-n AS (SELECT event_id AS candidate, CAST(value * 20 AS BIGINT) AS len FROM events WHERE event_id < 400),
+n AS (SELECT event_id AS candidate, CAST(value * 20 AS BIGINT) AS len FROM events),
 r AS (SELECT *, row_number() OVER (ORDER BY len DESC, CAST(candidate AS VARCHAR)) AS rank FROM n),
 e AS (SELECT s.doc_id, (SELECT count(*) FROM n WHERE n.len >= s.len) AS eligible FROM s)
 SELECT e.doc_id, CAST(e.eligible AS INTEGER) AS eligible, r.candidate FROM e
 LEFT JOIN r ON e.eligible > 0 AND r.rank = CAST({_d("'9'", "CAST(e.doc_id AS VARCHAR)")} % greatest(e.eligible, 1) AS INTEGER) + 1""")
 def range_candidate_pick(spark, d):
-    return _range_pick(spark, d, table(spark, d, "events").where("event_id < 400"))  # what its SQL reads
-
-
-@query("JN8 FLT7")
-def range_candidate_pick_whole(spark, d):
-    return _range_pick(spark, d, table(spark, d, "events"))
-
-
-def _range_pick(spark, d, events):
     s = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("len"))
-    n = events.select(F.col("event_id").alias("candidate_id"), F.round(F.col("value") * 20).cast("bigint").alias("len"))
+    n = table(spark, d, "events").select(F.col("event_id").alias("candidate_id"), F.round(F.col("value") * 20).cast("bigint").alias("len"))
     return S.pick_candidate(s, n, "doc_id", "candidate_id", "len", 9).select("doc_id", "eligible", "candidate")
+
+
+@query("UDF5 CUR7", _STATE + """, a AS (SELECT *, nll / duration AS score FROM s), b AS (SELECT *, (nll / 2 + duration) / duration AS score2 FROM s)
+SELECT 1 AS epoch, id, row_number() OVER (ORDER BY score, duration, CAST(id AS VARCHAR), dataset_index) - 1 AS position FROM a
+UNION ALL SELECT 2, id, row_number() OVER (ORDER BY score2, duration, CAST(id AS VARCHAR), dataset_index) - 1 FROM b""")
+def trainer_hooks(spark, d):
+    orders = R.epochs(_state(spark, d), lambda s, i: R.loss_order(s), lambda s, i: s.withColumn("nll", F.col("nll") / 2 + F.col("duration")), 2)
+    return orders[0].unionByName(orders[1]).select("epoch", "id", F.col("position").cast("bigint").alias("position"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera import contracts as C
+from tessera.functions.digests import canonical_row_sha256
 from tessera.operators import audit as A
+from tessera.operators import provenance as P
 from tessera.operators import resample as B
 from tessera.operators.model import gates
-from tessera.plans.register import query, table
+from tessera.plans.register import QUERIES, query, table
 from tessera.sources import manifests as M
 from tessera.sources import sinks as K
 
@@ -106,19 +109,12 @@ def telemetry_filter(spark, d):
     return M.telemetry(e.withColumn("device", F.col("device").cast("string")), "7", "click")
 
 
-@query("SRC23 JN14", "SELECT url AS path, coalesce(NULL, '') AS text FROM pages WHERE page_id < 20")
+@query("SRC23 JN14", r"""
+WITH p AS (SELECT regexp_extract(url, '^[^?#]*') AS path FROM pages), n AS (SELECT path, regexp_extract(path, '([^/]+?)(\.[^./]*)?$', 1) AS name FROM p)
+SELECT n.path, coalesce(d.text, '') AS text FROM n LEFT JOIN documents d ON CAST(d.doc_id * 2 AS VARCHAR) = n.name""")
 def basename_left_join(spark, d):
-    return _basenames(table(spark, d, "pages").where("page_id < 20"), _docs(spark, d).where("doc_id < 0"))  # what its SQL reads
-
-
-@query("SRC23 JN14")
-def basename_left_join_whole(spark, d):
-    return _basenames(table(spark, d, "pages"), _docs(spark, d))
-
-
-def _basenames(pages, docs):
-    text = docs.select(F.col("source").alias("name"), "text")
-    return M.text_directory(text, pages.select(F.col("url").alias("path"))).select("path", "text")
+    text = _docs(spark, d).select((F.col("doc_id") * 2).cast("string").alias("name"), "text")
+    return M.text_directory(text, table(spark, d, "pages").select(F.regexp_extract("url", "^[^?#]*", 0).alias("path"))).select("path", "text")
 
 
 # ---- projections and filters -------------------------------------------------------------------------------
@@ -328,20 +324,16 @@ def exceedance_counts(spark, d):
 
 
 @query("AG20", """
-WITH c AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events WHERE event_id % 50 < 25 GROUP BY user_id), k AS (SELECT v FROM c WHERE len(v) % 3 = 0 AND len(v) > 0)
+WITH c AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events GROUP BY user_id), k AS (SELECT v FROM c WHERE len(v) % 3 = 0 AND len(v) > 0)
 SELECT e.i AS epoch, round(avg(v[e.i + 1]), 6) AS mean FROM k, (VALUES (0), (1), (2)) e(i) GROUP BY 1""")
 def curve_means(spark, d):
-    return _curve_means(table(spark, d, "events").where("event_id % 50 < 25"))  # what its SQL reads
-
-
-@query("AG20")
-def curve_means_whole(spark, d):
-    return _curve_means(table(spark, d, "events"))
-
-
-def _curve_means(events):
-    c = events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
-    k = c.where((F.size("v") % 3 == 0) & (F.size("v") > 0)).select(F.posexplode(F.slice("v", 1, 3)).alias("epoch", "x"))
+    events = table(spark, d, "events")
+    # only the first three values of a curve count, so no curve is collected whole
+    first = F.slice(F.array_sort(F.collect_list(F.struct("event_id", "value"))), 1, 3)
+    sizes = events.groupBy("user_id").agg(F.count("*").alias("n")).where("n % 3 = 0")
+    ranked = events.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("k <= 3")
+    c = ranked.groupBy("user_id").agg(first.alias("v")).join(sizes, "user_id")
+    k = c.select(F.posexplode(F.transform("v", lambda x: x["value"])).alias("epoch", "x"))
     return k.groupBy("epoch").agg(F.round(F.avg("x"), 6).alias("mean"))
 
 
@@ -355,8 +347,6 @@ def time_split(spark, d):
 WITH l AS (SELECT user_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events)
 SELECT user_id, round(median(gap / 1000000.0), 3) AS median_gap FROM l WHERE gap IS NOT NULL GROUP BY user_id""")
 def median_interval(spark, d):
-    from pyspark.sql import Window
-
     t = F.unix_micros(F.col("ts").cast("timestamp"))
     e = table(spark, d, "events").withColumn("t", t)
     gap = F.col("t") - F.lag("t").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
@@ -465,19 +455,10 @@ def recomputation_check(spark, d):
     return table(spark, d, "lineitem").where(F.abs(p * (1 - q) - (p - p * q)) > 1e-6).agg(F.count("*").alias("violations"))
 
 
-@query("SNK1 SRC1 SRC2", "SELECT doc_id, lang, 'train' AS split FROM documents WHERE doc_id < 200")
+@query("SNK1 SRC1 SRC2", "SELECT doc_id, lang, 'train' AS split FROM documents")
 def jsonl_round_trip(spark, d):
-    return _through_jsonl(spark, _docs(spark, d).where("doc_id < 200"))  # what its SQL reads
-
-
-@query("SNK1 SRC1 SRC2")
-def jsonl_round_trip_whole(spark, d):
-    return _through_jsonl(spark, _docs(spark, d))
-
-
-def _through_jsonl(spark, docs):
     path = _scratch(spark)
-    K.write_jsonl(docs.select("doc_id", "lang"), path)
+    K.write_jsonl(_docs(spark, d).select("doc_id", "lang"), path)
     return M.jsonl(spark, path, "doc_id bigint, lang string").withColumn("split", F.lit("train"))
 
 
@@ -501,14 +482,125 @@ def resumable_chunks(spark, d):
     return marks.select("chunk", "first", "last", "rows")
 
 
+# ---- files, reports and gates ------------------------------------------------------------------------------
+
+_NAMED = ("docs=documents", "chats-1=conversations", "web.pages=pages")
+
+
+@query("SRC15", "SELECT 'docs' AS name, count(*) AS rows FROM documents UNION ALL SELECT 'chats-1', count(*) FROM conversations UNION ALL SELECT 'web.pages', count(*) FROM pages")
+def named_manifests(spark, d):
+    out = None
+    for name, t in M.named(list(_NAMED)).items():
+        part = table(spark, d, t).agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _runs(spark, d) -> str:
+    """A folder of results, a file a language."""
+    path = _scratch(spark)
+    runs = _docs(spark, d).groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    runs.repartition(1).write.partitionBy("lang").json(path)  # a row a language
+    return path
+
+
+@query("SRC16", "SELECT DISTINCT 'lang=' || lang AS folder FROM documents")
+def file_inventory(spark, d):
+    return M.listing(spark, _runs(spark, d), "*.json").select(F.regexp_extract("path", "/([^/]+)/[^/]*$", 1).alias("folder"))
+
+
+@query("SRC24", "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang")
+def run_grid(spark, d):
+    return M.run_grid(spark, _runs(spark, d) + "/lang=*", "lang=([^/]+)/", ["lang"], "n bigint, chars bigint")
+
+
+@query("SRC18", "SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 8000 WHEN 1 THEN 16000 ELSE 44100 END AS sample_rate, 1 AS channels, 16 AS bits, round(len(embedding) / (CASE vec_id % 3 WHEN 0 THEN 8000 WHEN 1 THEN 16000 ELSE 44100 END), 9) AS duration FROM embeddings")
+def wav_headers(spark, d):
+    rate = F.when(F.col("vec_id") % 3 == 0, 8000).when(F.col("vec_id") % 3 == 1, 16000).otherwise(44100)
+    wav = table(spark, d, "embeddings").select("vec_id", M.wav_header(K.pcm_wav("embedding", rate)).alias("h"))
+    return wav.select("vec_id", "h.sample_rate", "h.channels", "h.bits", F.round("h.duration", 9).alias("duration"))
+
+
+@query("SRC20", "SELECT * FROM (VALUES ('a/b.json', '/data/root/a/b.json'), ('/abs/c.json', '/abs/c.json'), ('../up.json', '/data/up.json'), ('./x', '/data/root/x')) t(value, path)")
+def config_paths(spark, d):
+    return spark.createDataFrame([(v, M.config_path(v, "/data/root")) for v in ("a/b.json", "/abs/c.json", "../up.json", "./x")], "value string, path string")
+
+
+_CELLS = "SELECT l_returnflag AS flag, avg(l_quantity) AS m, stddev_samp(l_quantity) AS s, count(*) AS n FROM lineitem GROUP BY 1"
+
+
+@query("SNK10 AG14", f"""
+WITH c AS ({_CELLS})
+SELECT '| flag | quantity | rows |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || flag || ' | ' || printf('%.2f', m) || ' ± ' || printf('%.2f', s) || ' | ' || CAST(n AS VARCHAR) || ' |' || chr(10), '' ORDER BY flag) AS report FROM c""")
+def markdown_report(spark, d):
+    q = F.col("l_quantity").cast("double")
+    cells = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.avg(q).alias("m"), F.stddev_samp(q).alias("s"), F.count("*").alias("n")).orderBy("l_returnflag").collect()  # a row a flag
+    rows = [{"flag": r["l_returnflag"], "quantity": K.mean_sd(r["m"], r["s"]), "rows": r["n"]} for r in cells]
+    return spark.createDataFrame([(K.markdown_table(rows),)], "report string")
+
+
+@query("SNK11", "SELECT 'head' || chr(10) || '<!-- begin -->' || chr(10) || CAST(count(*) AS VARCHAR) || ' rows' || chr(10) || '<!-- end -->' || chr(10) || 'tail' AS document FROM documents")
+def replaced_block(spark, d):
+    body = f"{_docs(spark, d).count()} rows\n"
+    return spark.createDataFrame([(K.replace_block("head\n<!-- begin -->\nold\n<!-- end -->\ntail", "<!-- begin -->", "<!-- end -->", body),)], "document string")
+
+
+@query("SNK12", "SELECT true AS first, false AS again, true AS refused, CAST(count(*) AS VARCHAR) AS text FROM documents")
+def exact_write(spark, d):
+    path, text = _scratch(spark), str(_docs(spark, d).count())
+    first, again, refused = K.write_text(spark, path, text), K.write_text(spark, path, text), False
+    try:
+        K.write_text(spark, path, text + "x")
+    except FileExistsError:
+        refused = True
+    return spark.read.text(path, wholetext=True).select(F.lit(first).alias("first"), F.lit(again).alias("again"), F.lit(refused).alias("refused"), F.col("value").alias("text"))
+
+
+@query("FN23", """SELECT doc_id, sha256('{"doc_id":' || CAST(doc_id AS VARCHAR) || ',"lang":' || CAST(to_json(lang) AS VARCHAR) || ',"n_chars":' || CAST(n_chars AS VARCHAR) || ',"source":' || CAST(to_json(source) AS VARCHAR) || '}') AS digest FROM documents""")
+def canonical_digest(spark, d):
+    return _docs(spark, d).select("doc_id", canonical_row_sha256("source", "lang", "doc_id", "n_chars").alias("digest"))
+
+
+@query("PRV2", "SELECT * FROM (VALUES ('optim.rate', true), ('seed', true), ('data.path', false)) t(field, changed)")
+def config_changes(spark, d):
+    base = {"seed": 1, "optim": {"rate": 0.1, "steps": 9}, "data": {"path": "p"}}
+    changed = P.changed_fields(base, P.derive(base, {"optim.rate": 0.2, "seed": 2}, {"optim.rate", "seed"}))
+    return spark.createDataFrame([(f, f in changed) for f in ("optim.rate", "seed", "data.path")], "field string, changed boolean")
+
+
+@query("PRV3 PRV4", "SELECT * FROM (VALUES ('destination', 'reports', true), ('destination', 'elsewhere', false), ('part', 'train', true), ('part', 'test', false), ('part, permitted', 'test', true)) t(kind, name, passes)")
+def destination_gates(spark, d):
+    def passes(f, *args) -> bool:
+        try:
+            f(*args)
+        except (ValueError, PermissionError):
+            return False
+        return True
+
+    rows = [("destination", n, passes(P.check_destination, n, {"reports"})) for n in ("reports", "elsewhere")]
+    rows += [("part", n, passes(P.unlocked, n, {"test"}, False)) for n in ("train", "test")]
+    rows.append(("part, permitted", "test", passes(P.unlocked, "test", {"test"}, True)))
+    return spark.createDataFrame(rows, "kind string, name string, passes boolean")
+
+
+@query("UDF6", "SELECT * FROM (VALUES ('destination_gates', true), ('no_such_query', false)) t(command, known)")
+def command_registry(spark, d):
+    return spark.createDataFrame([(n, n in QUERIES) for n in ("destination_gates", "no_such_query")], "command string, known boolean")
+
+
 def _scratch(spark) -> str:
+    """A new path in the folder that the driver and the executors share; a local one only in a single process (tests)."""
     import atexit
+    import re
     import shutil
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, base, True)
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/sink-{uuid.uuid4().hex}"

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
+import wave
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 
 def _fs(spark: SparkSession, path: str):
@@ -157,8 +162,26 @@ def replace_block(document: str, begin: str, end: str, body: str) -> str:
     return head + begin + "\n" + body.strip("\n") + "\n" + end + rest.partition(end)[2]
 
 
+@F.pandas_udf(BinaryType())
+def pcm_wav(samples: pd.Series, rate: pd.Series) -> pd.Series:
+    """SNK13: one channel of samples in -1..1 as the bytes of a 16-bit PCM WAV file; null samples give null."""
+
+    def one(x, r):
+        if x is None:
+            return None
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(2)
+            w.setframerate(int(r))
+            w.writeframes(np.rint(np.clip(np.asarray(x, np.float64), -1.0, 1.0) * 32767.0).astype("<i2").tobytes())
+        return out.getvalue()
+
+    return pd.Series([one(x, r) for x, r in zip(samples, rate, strict=True)])
+
+
 def write_signal(df: DataFrame, path: str) -> None:
-    """SNK13: signals stay arrays in Parquet; codecs are out of scope."""
+    """SNK13: signals, as arrays or as WAV bytes, in Parquet; other codecs are out of scope."""
     df.write.mode("overwrite").parquet(path)
 
 

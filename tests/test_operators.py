@@ -188,3 +188,45 @@ def test_provenance(spark):
         provenance.check_destination("x", {"y"})
     m = provenance.run_manifest(spark.range(3), base, {"z": "1", "a": "2"})
     assert list(m["inputs"]) == ["a", "z"] and m["spark"] == spark.version
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 7, 64])
+def test_positions_do_not_depend_on_ranges(spark, ranges):
+    rows = [(i, (i * 7919) % 101 if i % 9 else None, "ab"[i % 2] if i % 11 else None, (i * 31) % 17 / 4) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, v long, g string, x double")
+    key = lambda r: (r[1] is not None, r[1] or 0, r[0])
+    got = {r.id: r.position for r in ranking.global_position(df, "v", "id", ranges=ranges).collect()}
+    assert got == {r[0]: k for k, r in enumerate(sorted(rows, key=key))}
+    for g in ("a", "b", None):
+        own = {r.id: r.position for r in ranking.global_position(df, "v", "id", by=("g",), ranges=ranges).collect() if r.g == g}
+        assert own == {r[0]: k for k, r in enumerate(sorted((r for r in rows if r[2] == g), key=key))}
+    before = {r.id: r.before for r in ranking.running_sum(df, F.col("id"), "x", "id", ranges=ranges).collect()}
+    total = 0
+    for r in sorted(rows, key=lambda r: (r[3], r[0])):
+        assert before[r[0]] == total
+        total += r[0]
+    pct = {r.id: r.p for r in ranking.tie_percentile(df, "x", "p", ranges=ranges).collect()}
+    for r in rows:
+        below, same = sum(q[3] < r[3] for q in rows), sum(q[3] == r[3] for q in rows)
+        assert pct[r[0]] == pytest.approx((below + (same - 1) / 2) / (len(rows) - 1))
+    assert ranking.global_position(df.where("false"), "v", "id", ranges=ranges).count() == 0
+
+
+def test_first_seen_of_null_keys(spark):
+    df = spark.createDataFrame([(3, None), (1, None), (2, "x"), (0, "x"), (5, "y")], "i long, k string")
+    assert {r.i: r.is_duplicate for r in ranking.first_seen(df, "k", ["i"]).collect()} == {3: True, 1: False, 2: True, 0: False, 5: False}
+
+
+def test_hooks_of_a_trainer(spark):
+    state = spark.createDataFrame([(i, float(i % 3), 1.0, i) for i in range(6)], "id long, nll double, duration double, dataset_index int")
+    orders = ranking.epochs(state, lambda s, i: ranking.loss_order(s), lambda s, i: s.withColumn("nll", -F.col("nll") + 5.0), 2)
+    assert [[r.id for r in o.orderBy("position").collect()] for o in orders] == [[0, 3, 1, 4, 2, 5], [2, 5, 1, 4, 0, 3]]
+    assert [o.first().epoch for o in orders] == [1, 2]
+
+
+def test_wav_bytes(spark):
+    from tessera.sources import manifests, sinks
+
+    df = spark.createDataFrame([([0.5, -2.0, 0.0],), (None,)], "x array<double>").select(sinks.pcm_wav("x", F.lit(8000)).alias("w"))
+    got = [r.h for r in df.select(manifests.wav_header("w").alias("h")).collect()]
+    assert (got[0].sample_rate, got[0].channels, got[0].bits, got[0].duration) == (8000, 1, 16, 3 / 8000) and got[1].sample_rate is None
