@@ -48,7 +48,12 @@ def rolling(text: np.ndarray, width: int) -> np.ndarray:
 
 def _stable(symbols: np.ndarray) -> np.ndarray:
     """The permutation that sorts non-negative 31-bit symbols stably."""
-    return np.sort((symbols.astype(np.int64) << 32) | np.arange(len(symbols), dtype=np.int64)) & 0xFFFFFFFF
+    key = symbols.astype(np.int64)
+    key <<= 32
+    key |= np.arange(len(symbols), dtype=np.int64)
+    key.sort()
+    key &= 0xFFFFFFFF
+    return key.astype(np.int32)
 
 
 class Transform:
@@ -66,22 +71,21 @@ def build(starts: np.ndarray, sizes: np.ndarray, symbols: np.ndarray, step: int,
     position where its symbol would begin.
     """
     spans = sizes + 1
-    base = np.repeat(starts - np.concatenate(([0], np.cumsum(spans)[:-1])), spans)
-    position = base + np.arange(spans.sum())
-    room = np.repeat(starts + sizes, spans) - position
-    lead = position - np.repeat(starts, spans)
-    empty = room < step
-    ends = np.flatnonzero(empty)
-    before_of = np.where(lead >= step, np.arange(len(position)) - step, -1)
-    sym = np.full(len(position), -1, np.int64)
+    # a shard holds less than 2 GB, so 32 bits tell its places apart
+    place = np.arange(spans.sum(), dtype=np.int32)
+    position = np.repeat((starts - np.concatenate(([0], np.cumsum(spans)[:-1]))).astype(np.int32), spans) + place
+    empty = np.repeat((starts + sizes).astype(np.int32), spans) - position < step
+    ends = np.flatnonzero(empty).astype(np.int32)
+    before_of = np.where(position - np.repeat(starts.astype(np.int32), spans) >= step, place - np.int32(step), np.int32(-1))
+    sym = np.full(len(position), -1, np.int32)
     sym[~empty] = symbols[position[~empty]]
-    order = np.arange(len(position))
+    order = place
     for _ in range(depth):
         q = before_of[order]
         q = q[q >= 0]
         order = np.concatenate((ends, q[_stable(sym[q])]))
     q = before_of[order]
-    return Transform(position[order], np.where(q >= 0, sym[q], -1), len(ends))
+    return Transform(position[order], np.where(q >= 0, sym[q], np.int32(-1)), len(ends))
 
 
 def merge(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarray]:
@@ -89,11 +93,11 @@ def merge(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarray
     n, ends = len(a.suffix) + len(b.suffix), a.ends + b.ends
     first = np.repeat(np.array([False, True]), [a.ends, b.ends])
     origin = np.repeat(np.array([False, True]), [len(a.suffix), len(b.suffix)])
-    prefix = np.full(n, depth, np.int64)
+    prefix = np.full(n, depth, np.int32)
     prefix[0] = 0
-    block = np.zeros(n, np.int64)
+    block = np.zeros(n, np.int32)
     for k in range(depth):
-        s = np.empty(n, np.int64)
+        s = np.empty(n, np.int32)
         s[~origin], s[origin] = a.before, b.before
         keep = np.flatnonzero(s >= 0)
         s = s[keep]
@@ -104,9 +108,9 @@ def merge(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarray
         parted = np.ones(n, bool)
         behind = block[come]
         parted[ends + 1 :] = (s[1:] != s[:-1]) | (behind[1:] != behind[:-1])
-        prefix = np.where(parted & (prefix == depth), k, prefix)
-        block = np.cumsum(parted)
-    suffix, before = np.empty(n, np.int64), np.empty(n, np.int64)
+        prefix[parted & (prefix == depth)] = k
+        block = np.cumsum(parted, dtype=np.int32)
+    suffix, before = np.empty(n, np.int32), np.empty(n, np.int32)
     suffix[~origin], suffix[origin] = a.suffix, b.suffix
     before[~origin], before[origin] = a.before, b.before
     return Transform(suffix, before, ends), prefix
@@ -125,7 +129,7 @@ def repeated(texts: list[bytes], length: int, step: int, shards: int = 2, weight
     _, symbols = np.unique(rolling(text, step), return_inverse=True)
     parts = [build(starts[i::shards], sizes[i::shards], symbols, step, depth) for i in range(shards) if len(starts[i::shards])]
     if len(parts) == 1:
-        parts.append(Transform(np.zeros(0, np.int64), np.zeros(0, np.int64), 0))
+        parts.append(Transform(np.zeros(0, np.int32), np.zeros(0, np.int32), 0))
     while len(parts) > 1:
         merged = [merge(parts[i], parts[i + 1], depth) for i in range(0, len(parts) - 1, 2)]
         parts = [t for t, _ in merged] + parts[2 * len(merged) :]

@@ -36,9 +36,9 @@ SYMBOLS = 4
 #: The pipeline's stage: passages of over 50 words, whose repeats are sought by strings of 200 bytes, four to a word.
 STAGE_LENGTH, STAGE_WORDS = 200, 50
 #: Different pieces of one anchor that a bucket takes, and bytes of pieces in a bucket.
-CROWD, BUCKET_BYTES = 512, 1 << 21
-#: Windows counted together first under crowded anchors.
-BLOCK = 16
+CROWD, BUCKET_BYTES = 512, 1 << 20
+#: Windows counted together first under crowded anchors, and pieces taken apart at a time.
+BLOCK, FEW = 16, 100
 BATCH_BYTES = 1 << 20
 _POSITION = np.uint64((1 << 26) - 1)
 
@@ -143,7 +143,7 @@ def _slices(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 for x in rows:
                     a = x["at"]
                     out.append((*(x[c] for c in names), raw[a : a + x["more"] + length]))
-                if len(out) > 20_000:
+                if len(out) > 4_000:
                     yield pd.DataFrame(out, columns=[*names, "piece"])
                     out = []
             yield pd.DataFrame(out, columns=[*names, "piece"])
@@ -160,7 +160,7 @@ def _crowded(texts: DataFrame, length: int) -> DataFrame:
         import xxhash
 
         digest = xxhash.xxh3_128_digest
-        for d in batches:
+        for d in (b.iloc[i : i + FEW] for b in batches for i in range(0, len(b), FEW)):
             rows, cores, unions = [], [], []
             for anchor, e1, e2, piece, lead in zip(d["anchor"], d["e1"], d["e2"], d["piece"], d["lead"], strict=True):
                 low = lead - (len(piece) - length)  # windows have low..lead bytes before the anchor
@@ -188,7 +188,7 @@ def _crowded(texts: DataFrame, length: int) -> DataFrame:
         import xxhash
 
         digest = xxhash.xxh3_128_digest
-        for d in batches:
+        for d in (b.iloc[i : i + FEW] for b in batches for i in range(0, len(b), FEW)):
             rows, hashes = [], []
             for anchor, e1, e2, piece, lead, rs in zip(d["anchor"], d["e1"], d["e2"], d["piece"], d["lead"], d["rs"], strict=True):
                 low = lead - (len(piece) - length)
