@@ -61,10 +61,11 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+        # any number of documents may share an id or have none, so content takes part in the order
+        F.sha2(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(text_col, F.lit("")))), 256).alias("h"),
     )
     base = materialize(base, "mix")
-    h = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256)
-    keyed = base.select("*", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("skey"), h.alias("h"))
+    keyed = base.select("*", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("skey"))
     keyed = keyed.withColumn("b", F.substr("h", F.lit(1), F.lit(BUCKET_HEX)))
     sums = materialize(keyed.groupBy("skey", "source", "b").agg(F.sum("size").alias("in_bucket")), "mix-sums")
     level = targets(sums.groupBy("skey", "source").agg(F.sum("in_bucket").alias("source_size")), weights, tilts, cap)
@@ -108,7 +109,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         sha256(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         sha256(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
