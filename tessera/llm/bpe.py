@@ -19,7 +19,6 @@ encoded each. A word of any length is folded exactly. Other columns of the input
 from __future__ import annotations
 
 import base64
-import re
 from collections import Counter
 
 import pyarrow as pa
@@ -201,23 +200,6 @@ def fold(word: Column, ranks: Ranks, table: Column) -> Column:
     return F.when(F.octet_length(word) <= LONG, _by_pairs(word, ranks, table)).otherwise(_by_rounds(word, ranks, table))
 
 
-class Splitter:
-    """Words of texts. Where every blank stands alone between other characters, no word spans one but at its start, so a text
-    is cut at blanks first and each different piece between them is matched once; other texts are matched whole."""
-
-    def __init__(self, pattern: str):
-        import regex
-
-        self.find = regex.compile(pattern).findall
-        self.other = re.compile(r"[^\S ]+").finditer
-
-    def pieces(self, text: str) -> list[str] | None:
-        """What stands between blanks; None if the text must be matched whole."""
-        if "  " in text or text[0] == " " or text[-1] == " " or any(text[m.start() - 1 : m.start()] == " " or text[m.end() : m.end() + 1] == " " for m in self.other(text)):
-            return None
-        return text.split(" ")
-
-
 class Codec:
     """Encoding and decoding by one rank file. ``pattern`` is a regular expression whose \\s is Unicode's."""
 
@@ -237,29 +219,21 @@ class Codec:
         small_batches(docs.sparkSession)
 
         def count(batches):
-            split, seen, first, after = Splitter(pattern), Counter(), Counter(), Counter()
+            import regex
+
+            find, seen = regex.compile(pattern).findall, Counter()
 
             def rows():
-                for lead, pieces in (("", first), (" ", after)):
-                    for piece, n in pieces.items():
-                        for w in split.find(lead + piece):
-                            seen[w] += n
-                    pieces.clear()
                 some = [(w, n) for w, n in seen.items() if len(w) <= HOT_CHARS and w not in known.value]
-                seen.clear()
                 return pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["w", "n"])
 
             for b in batches:
                 for t in b.column(0).to_pylist():
-                    if not t:
-                        continue
-                    if (pieces := split.pieces(t)) is None:
-                        seen.update(split.find(t))
-                    else:
-                        first[pieces[0]] += 1
-                        after.update(pieces[1:])
-                    if len(seen) + len(after) + len(first) > HELD:
+                    if t:
+                        seen.update(find(t))
+                    if len(seen) > HELD:
                         yield rows()
+                        seen.clear()
             yield rows()
 
         w = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "w string, n long")
@@ -288,45 +262,23 @@ class Codec:
         return self._folded(df, name, lambda p: fold(F.col(word_col), self.ranks, p))
 
     def encode(self, docs: DataFrame, text_col: str = "text", name: str = "ids", keep_text: bool = True) -> DataFrame:
-        """``docs`` with the ids of a text, joined by commas."""
+        """``docs`` with the ids of a text, joined by commas, and without the text if it is not to be kept."""
         pattern, known = self.pattern, self.known
         kept = [c for c in docs.columns if keep_text or c != text_col]
         schema = plus(plus(docs.select(*(f"`{c}`" for c in kept)).schema, "__ids", "string"), "__rare", ArrayType(StringType()))
         small_batches(docs.sparkSession)
 
         def run(batches):
-            split, have = Splitter(pattern), known.value.get
-            ids_of: dict[str, str] = {}
-            rare_of: dict[str, list[str]] = {}
-
-            def learn(piece: str, key: str) -> str:
-                """The ids of a piece with gaps for words that are not known, which are noted."""
-                words = split.find(piece)
-                got = [have(w, "?") for w in words]
-                ids_of[key] = made = ",".join(got)
-                if "?" in got:
-                    rare_of[key] = [w for w, g in zip(words, got, strict=True) if g == "?"]
-                return made
+            import regex
 
+            find, have = regex.compile(pattern).findall, known.value.get
             for b in batches:
                 ids, rare = [], []
                 for t in b.column(text_col).to_pylist():
-                    if len(ids_of) > HELD:
-                        ids_of.clear()
-                        rare_of.clear()
-                    pieces = split.pieces(t) if t else None
-                    if pieces is None:
-                        got = [learn(t, " ")] if t else [""]  # under a key that no piece has, for now
-                        ids_of.pop(" ", None)
-                        gaps = rare_of.pop(" ", None)
-                    else:
-                        pieces[0] = " " + pieces[0]  # the key of a piece without a blank before it
-                        got = list(map(ids_of.get, pieces))
-                        if None in got:
-                            got = [g if g is not None else learn(k[1:] if k[:1] == " " else " " + k, k) for g, k in zip(got, pieces, strict=True)]
-                        gaps = [w for g, k in zip(got, pieces, strict=True) if "?" in g for w in rare_of[k]] or None
+                    words = find(t) if t else []
+                    got = [have(w, "?") for w in words]
+                    rare.append([w for w, g in zip(words, got, strict=True) if g == "?"] if "?" in got else None)
                     ids.append(",".join(got))
-                    rare.append(gaps)
                 more = [pa.array(ids, pa.string()), pa.array(rare, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *more], [*kept, "__ids", "__rare"])
 
