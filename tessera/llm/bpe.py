@@ -29,7 +29,7 @@ from pyspark.sql.types import ArrayType, StringType
 from tessera.llm.common import in_order, materialize, plus, read, small_batches
 
 #: Words folded once and sent to all tasks, and their length in characters, which bounds their size.
-HOT, HOT_CHARS = 1 << 19, 48
+HOT, HOT_CHARS = 1 << 18, 48
 #: Bytes of the longest word that is folded pair by pair.
 LONG = 256
 #: Different words a task holds before it hands its counts on.
