@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import running_sum
+
 GRID = (0.1, 1.0, 10.0)
 
 
@@ -86,12 +88,12 @@ def out_of_fold(data: DataFrame, features: list[str], target: str, fold: str, ke
 def rank_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """ML5: ROC-AUC by tie-averaged ranks, average precision by steps over distinct scores, prevalence.
 
-    Both come from one pass over counts by score, so ties and large inputs need no sort of rows.
+    Both come from counts by score, summed by ranges, so ties and large inputs need no sort of rows in one task.
     """
     c = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("p"))
-    up = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.select("*", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("before"), F.sum("n").over(down).alias("tn"), F.sum("p").over(down).alias("tp"))
+    c = running_sum(running_sum(c, F.col("n"), "s", out="before"), F.col("p"), "s", out="below")
+    c = c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("_N"), F.sum("p").alias("_P"))))  # one row
+    c = c.withColumn("tn", F.col("_N") - F.col("before")).withColumn("tp", F.col("_P") - F.col("below"))
     a = c.agg(F.sum("n").alias("rows"), F.sum("p").alias("positives"), F.sum(F.col("p") * (F.col("before") + (F.col("n") + 1) / 2.0)).alias("ranks"), F.sum(F.col("p") * F.col("tp") / F.col("tn")).alias("steps"))
     both = (F.col("positives") > 0) & (F.col("positives") < F.col("rows"))
     auc = (F.col("ranks") - F.col("positives") * (F.col("positives") + 1) / 2.0) / (F.col("positives") * (F.col("rows") - F.col("positives")))

@@ -143,7 +143,8 @@ def hash_order(df: DataFrame, seed: int, key: str, out: str = "position") -> Dat
     return global_position(df, draw(str(seed), F.col(key)), F.col(key).cast("string"), out=out)
 
 
-def _with_total(df: DataFrame, out: str) -> DataFrame:
+def with_total(df: DataFrame, out: str) -> DataFrame:
+    """``df`` with its number of rows."""
     return df.crossJoin(F.broadcast(df.agg(F.count("*").alias(out))))  # one row
 
 
@@ -166,7 +167,7 @@ def static_order(df: DataFrame, score: str, key: str, index: str) -> DataFrame:
 def random_priority(df: DataFrame, seed: int, key: str) -> DataFrame:
     """CUR4: the place in a seeded permutation over n - 1."""
     n = F.col("_n")
-    return _with_total(hash_order(df, seed, key, "_r"), "_n").withColumn("priority", F.when(n > 1, F.col("_r") / (n - 1)).otherwise(0.0)).drop("_r", "_n")
+    return with_total(hash_order(df, seed, key, "_r"), "_n").withColumn("priority", F.when(n > 1, F.col("_r") / (n - 1)).otherwise(0.0)).drop("_r", "_n")
 
 
 def pacing(df: DataFrame, priority: str, key: str, seed: int, fractions: list[float]) -> DataFrame:
@@ -175,7 +176,7 @@ def pacing(df: DataFrame, priority: str, key: str, seed: int, fractions: list[fl
     Every row of the pool comes div(n, k) times, and those first in the epoch's shuffle once more.
     """
     text = F.col(key).cast("string")
-    ranked = _with_total(global_position(df, priority, text, out="rank"), "n")
+    ranked = with_total(global_position(df, priority, text, out="rank"), "n")
     stages = F.explode(F.array(*(F.struct(F.lit(i).alias("epoch"), F.lit(float(f)).alias("f")) for i, f in enumerate(fractions, 1)))).alias("s")
     pool = ranked.select("*", stages).withColumn("k", F.least("n", F.ceil(F.col("n") * F.col("s.f")))).where("rank < k").withColumn("epoch", F.col("s.epoch"))
     pool = global_position(pool, draw(str(seed), F.col("epoch"), F.col(key)), text, by=("epoch",), out="shuffle")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.digests import draw
+from tessera.operators.ranking import global_position, with_total
 
 
 def draws(clusters: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
@@ -13,10 +14,10 @@ def draws(clusters: DataFrame, key: str, replicates: int, seed: int) -> DataFram
 
     ``clusters`` is one row a cluster, already aggregated, so this is replicate-sized work.
     """
-    c = clusters.withColumn("_i", F.row_number().over(Window.orderBy(F.col(key).cast("string"))) - 1).withColumn("_k", F.count("*").over(Window.partitionBy()))
+    c = with_total(global_position(clusters, F.col(key).cast("string"), out="_i"), "_k")
     slots = c.select(F.col("_i").alias("_slot"), F.col("_k").alias("_kk"))
     grid = slots.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    pick = (draw(str(seed), F.col("replicate"), F.col("_slot")) % F.col("_kk").cast("decimal(20,0)")).cast("int")
+    pick = (draw(str(seed), F.col("replicate"), F.col("_slot")) % F.col("_kk").cast("decimal(20,0)")).cast("bigint")
     return grid.withColumn("_i", pick).drop("_kk", "_slot").join(c.drop("_k"), "_i").drop("_i")
 
 
