@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessera.llm import registry
+from tessera.llm import extraction, fingerprints, registry, toxicity
 from .conftest import NASTY
 
 N = len(NASTY)
@@ -78,6 +78,34 @@ def test_op2_contract(results, spark, nasty):
         assert r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 4 == 2)
 
 
+def test_op2_scores_every_text_by_the_trained_model(results, spark, nasty):
+    model = toxicity.train(spark.read.parquet(f"{nasty}/documents.parquet"), spark.read.parquet(f"{nasty}/labels.parquet"))
+    want = Counter((i, round(float(model.score([t])[0]), 9)) for i, t, _ in NASTY)
+    assert Counter((r.doc_id, round(r.score, 9)) for r in run(results, spark, nasty, "op2_toxicity")) == want
+
+
+def test_op2_learns_a_lexicon_without_the_fold(spark):
+    """Held-out quality: toxic words are told from the labelled rows, and rows of the held-out bucket are scored right."""
+    import random
+
+    g = random.Random(4)
+    plain, bad = [f"w{i}" for i in range(300)], [f"bad{i}" for i in range(12)]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = int(g.random() < 0.25)
+        w = g.choices(plain, k=60)
+        for _ in range(5 * toxic):
+            w[g.randrange(60)] = g.choice(bad)
+        rows.append((i, " ".join(w)))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 4 == 2]
+    score = model.score([rows[i][1] for i in held])
+    hit = [(s >= toxicity.THRESHOLD) == labels[i][1] for s, i in zip(score, held, strict=True)]
+    assert np.mean(hit) > 0.95 and set(bad) <= set(model.lexicon)
+
+
 def test_op3_contract(results, spark, nasty):
     rows = run(results, spark, nasty, "op3_fingerprints")
     order = sorted([(i is not None, i or 0, t or "") for i, t, _ in NASTY])
@@ -93,6 +121,15 @@ def test_op3_contract(results, spark, nasty):
         same.setdefault(r.doc_id, set()).add(r.fingerprint)
     twice = [r.fingerprint for r in rows if r.doc_id == 5]
     assert len(twice) == 3 and len(set(twice)) == 2
+    # likenesses against fingerprints made one by one
+    print_of = lambda t: fingerprints.digests([t.encode()])[0]
+    near = Counter()
+    for k, (some, i, t) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][2]
+        own = print_of(t)
+        edited = print_of(fingerprints.edit(t, nxt))
+        near[(i if some else None, fingerprints.encode(own), fingerprints.encode(edited), round(fingerprints.likeness(own, edited), 9), round(fingerprints.likeness(own, print_of(nxt)), 9))] += 1
+    assert Counter((r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in rows) == near
 
 
 def test_op5_base_scores(results, spark, nasty):
@@ -121,6 +158,10 @@ def test_op6_texts(results, spark, nasty):
     assert by[1] == [""] and by[2] == [""]
     assert sorted(by[3]) == ["A & B C d", "cut off &am"]
     assert len(by[6][0]) == 11 * 20000 - 1
+    pages = spark.read.parquet(f"{nasty}/pages.parquet")
+    model = extraction.train(pages)
+    want = Counter((p.page_id, p.url, model.extract(p.html)) for p in pages.collect())
+    assert Counter((r.page_id, r.url, r.text) for r in run(results, spark, nasty, "op6_extraction")) == want
 
 
 def test_op8_against_all_pairs(results, spark, nasty):
