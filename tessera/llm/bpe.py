@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from tessera.llm.common import in_order, materialize, plus, read, small_batches
+from tessera.llm.common import in_order, materialize, plus, read, small_batches, trim
 
 #: Words folded once and sent to all tasks, and their length in characters, which bounds their size.
 HOT, HOT_CHARS = 1 << 18, 48
@@ -235,6 +235,8 @@ class Codec:
                         yield rows()
                         seen.clear()
             yield rows()
+            seen.clear()
+            trim()
 
         w = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "w string, n long")
         w = w.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
@@ -281,6 +283,7 @@ class Codec:
                     ids.append(",".join(got))
                 more = [pa.array(ids, pa.string()), pa.array(rare, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *more], [*kept, "__ids", "__rare"])
+            trim()
 
         split = docs.mapInArrow(run, schema)
 
@@ -300,6 +303,7 @@ class Codec:
             for b in batches:
                 made = [b"".join(map(piece, t.split(","))) for t in b.column(ids_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], [*b.schema.names, name])
+            trim()
 
         return df.mapInArrow(run, plus(df.schema, name, "binary"))
 

@@ -106,6 +106,21 @@ def least_hashed(df: DataFrame, h: Column, rows: int) -> DataFrame:
     return df.where(F.pmod(h, F.lit(top)) <= last)
 
 
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the system; idle workers share an executor's memory."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def plus(schema: StructType, name: str, kind: str) -> StructType:
     """A copy of a schema with one more column."""
     return StructType(list(schema.fields)).add(name, kind)

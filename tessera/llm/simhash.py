@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import least_hashed, materialize, partitions, read, row_key
+from tessera.llm.common import least_hashed, materialize, partitions, read, row_key, trim
 from tessera.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> Dat
     def batch(parts):
         for d in parts:
             yield pd.DataFrame({"doc_id": d["doc_id"], "fp": np.array([fingerprint(t, width, seed) for t in d["text"]], np.uint64).view(np.int64)})
+        trim()
 
     kind = dict(docs.dtypes)["doc_id"]
     # ids travel as text: pandas would turn numbers beside nulls into doubles

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bwt import repeated, rolling
-from tessera.llm.common import discard, materialize, plus, read
+from tessera.llm.common import discard, materialize, plus, read, trim
 
 LENGTH, ANCHOR = 400, 32
 #: Symbols of a string of the length asked for; a shard's suffixes are ordered by as many.
@@ -106,6 +106,7 @@ def find_pieces(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 offset = np.array([o for _, o, _ in group], np.int64)[which] if len(which) else a
                 index = [group[w][0] for w in which.tolist()]
                 yield pd.DataFrame({"key": [keys[i] for i in index], "at": a + offset, "more": (b - a).astype(np.int32), "lead": lead.astype(np.int32), "anchor": h.view(np.int64), "e1": e[:, 0], "e2": e[:, 1]})
+        trim()
 
     return docs.mapInPandas(run, "key binary, at long, more int, lead int, anchor long, e1 long, e2 long")
 
@@ -147,6 +148,7 @@ def _slices(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     yield pd.DataFrame(out, columns=[*names, "piece"])
                     out = []
             yield pd.DataFrame(out, columns=[*names, "piece"])
+        trim()
 
     return once.select("key", "text", "asked").mapInPandas(run, schema)
 
@@ -231,6 +233,8 @@ def repeats(docs: DataFrame, crowd: int = CROWD, length: int = LENGTH) -> DataFr
         starts = repeated(list(d["piece"]), length, length // SYMBOLS, weights=d["n"].to_numpy(np.int64))
         out = d[ident].copy()
         out["ranges"] = [_runs(s) for s in starts]
+        del starts
+        trim()
         return out[(out["ranges"].str.len() > 0).to_numpy()]
 
     schema = f"anchor long, e1 long, e2 long, ranges {_RANGES}"
@@ -277,6 +281,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
             out = [_remove((t or "").encode(), s, length, words) for t, s in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), strict=True)]
             more = [pa.array([k for k, _ in out], pa.binary()), pa.array([n for _, n in out], pa.int64())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *more], [*names, "__kept", "__runs"])
+        trim()
 
     return joined.select(*names, "__spans").mapInArrow(run, schema)
 

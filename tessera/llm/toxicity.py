@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import least_hashed, materialize, plus, read, small_batches
+from tessera.llm.common import least_hashed, materialize, plus, read, small_batches, trim
 
 TRAIN_ROWS = 20_000
 LEXICON = 400
@@ -258,6 +258,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                 if flag:
                     toxic[k].update(own)
         yield pd.DataFrame([(w, k, c, toxic[k][w]) for k in range(FOLDS) for w, c in seen[k].items()], columns=["w", "k", "n", "t"])
+        del seen, toxic
+        trim()
 
     # words of fewer than three toxic rows are in no lexicon; the empty word counts rows. At most ``rows`` texts are counted
     each = [F.coalesce(F.sum(F.when(F.col("k") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}") for c in ("n", "t") for k in range(FOLDS)]
@@ -275,6 +277,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         for d in batches:
             x = np.stack([m.matrix(d["text"]) for m in (model, *without)], 1).reshape(len(d), -1)
             yield pd.DataFrame({"doc_id": d["doc_id"].astype(str), "toxic": d["toxic"], "kin": [kin(v) for v in d["text"]], "x": list(x)})
+        trim()
 
     data = t.mapInPandas(featurise, "doc_id string, toxic int, kin long, x array<double>").toPandas().sort_values(["doc_id", "toxic", "kin"], kind="stable")
     x = np.array(data["x"].tolist(), float).reshape(len(data), 1 + FOLDS, len(NAMES))
@@ -290,6 +293,7 @@ def score(docs: DataFrame, model: Model, name: str = "tox_score") -> DataFrame:
         for b in batches:
             p = pa.array(model.score(b.column("text").to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, p], [*b.schema.names, name])
+        trim()
 
     return docs.mapInArrow(run, plus(docs.schema, name, "double"))
 
