@@ -106,18 +106,28 @@ def segment_sums(rows: np.ndarray, grad: np.ndarray):
     """Distinct rows, their counts and the sums of their gradients. Rows of the least table fit 16 bits, which
     sort fast; short segments are added up side by side, long ones one by one."""
     order = np.argsort(rows.astype(np.uint16) if rows.max() < 1 << 16 else rows, kind="stable")
-    g = grad[order]
-    first = np.flatnonzero(np.diff(rows[order], prepend=-1))
-    n = np.diff(np.append(first, len(rows)))
-    out = g[first]
+    ranked = rows[order]
+    first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    n = np.diff(first, append=len(rows))
+    out = grad.take(order[first], axis=0, mode="clip")
     for j in np.flatnonzero(n > 8).tolist():
-        out[j] = g[first[j] : first[j] + n[j]].sum(axis=0)
+        grad.take(order[first[j] : first[j] + n[j]], axis=0, mode="clip").sum(axis=0, out=out[j])
     few, k = np.flatnonzero((n > 1) & (n <= 8)), 1
     while len(few):
-        out[few] += g[first[few] + k]
+        out[few] += grad.take(order[first[few] + k], axis=0, mode="clip")
         k += 1
         few = few[n[few] > k]
-    return rows[order[first]], n, out
+    return ranked[first], n, out
+
+
+def sum_rows(table: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    """The sums of the rows picked by each feature. No row is out of range; "clip" only lets ``take`` write in place."""
+    out = table.take(picked[0], axis=0, mode="clip")
+    part = np.empty_like(out)
+    for r in picked[1:]:
+        table.take(r, axis=0, out=part, mode="clip")
+        out += part
+    return out
 
 
 def softmax(scores: np.ndarray):
@@ -140,19 +150,18 @@ class Model:
 
     def forward(self, f: np.ndarray, cls: np.ndarray):
         """Rows and scores of the class factor, and of the member factor where the class is frequent."""
-        rows = (f >> self.shift).astype(np.int64)
-        z = self.by_class[rows[0]]
-        for r in rows[1:]:
-            z += self.by_class[r]
+        rows = (f >> self.shift).view(np.int64)
+        z = sum_rows(self.by_class, rows)
         z += self.v.class_bias
         own = np.flatnonzero(cls < FREQUENT)
         c = cls[own]
-        g = (f[:, own] + c.astype(np.uint64) * _K[2]) * _K[1]
-        member_rows = (g >> self.shift).astype(np.int64)
-        y = self.by_word[member_rows[0]]
-        for r in member_rows[1:]:
-            y += self.by_word[r]
-        y += self.v.word_bias[c]
+        g = f.take(own, axis=1)
+        g += c.astype(np.uint64) * _K[2]
+        g *= _K[1]
+        g >>= self.shift
+        member_rows = g.view(np.int64)
+        y = sum_rows(self.by_word, member_rows)
+        y += self.v.word_bias.take(c, axis=0)
         return rows, z, own, member_rows, y
 
     def log10(self, ids: np.ndarray, f: np.ndarray, cls: np.ndarray) -> np.ndarray:
@@ -182,52 +191,74 @@ class Model:
                     continue
                 which, n, total = segment_sums(r, grad)
                 hit[which] += n
-                seen[which] += np.einsum("ij,ij->i", total, total) / total.shape[1]
-                table[which] += (RATE / np.sqrt(seen[which] + 1.0))[:, None] * total
+                sizes = seen[which] + np.einsum("ij,ij->i", total, total) / total.shape[1]
+                seen[which] = sizes
+                total *= (RATE / np.sqrt(sizes + 1.0))[:, None]
+                total += table.take(which, axis=0, mode="clip")
+                table[which] = total
 
 
-def _batches(texts, v: Vocabulary, size: int):
-    """Groups of texts of about ``size`` tokens: ids with pads, where the tokens are, their classes, and texts' tokens."""
+def _groups(texts, size: int):
+    """Groups of texts of about ``size`` tokens: all tokens, and how many each text has."""
     group, n = [], 0
     for t in texts:
         group.append(tokens(t))
         n += len(group[-1])
         if n >= size:
-            yield _lay_out(group, v)
+            yield list(chain.from_iterable(group)), np.array([len(t) for t in group])
             group, n = [], 0
     if group:
-        yield _lay_out(group, v)
-
-
-def _lay_out(group, v):
-    lengths = np.array([len(t) for t in group])
-    flat = list(chain.from_iterable(group))
-    found = v.look_up(flat)
-    cls = np.empty(len(flat), np.int64)
-    hot = found < _UNSEEN
-    cls[hot] = v.classes[found[hot]]
-    for i in np.flatnonzero(~hot):
-        cls[i] = rare_class(flat[i])
-    where = np.arange(len(flat)) + PAD * np.repeat(np.arange(1, len(group) + 1), lengths)
-    ids = np.full(len(flat) + PAD * len(group), _UNSEEN - 1, np.int64)
+        yield list(chain.from_iterable(group)), np.array([len(t) for t in group])
+
+
+def _spread(found: np.ndarray, lengths: np.ndarray):
+    """Ids with pads before each text, and where the tokens are."""
+    where = np.arange(len(found)) + PAD * np.repeat(np.arange(1, len(lengths) + 1), lengths)
+    ids = np.full(len(found) + PAD * len(lengths), _UNSEEN - 1, np.int64)
     ids[where] = found
-    return ids, where, cls, lengths, flat
+    return ids, where
 
 
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """w, c of every token of ``docs``, counted in the partitions first."""
+def _batches(texts, v: Vocabulary, size: int):
+    """Groups of texts of about ``size`` tokens: ids with pads, where the tokens are, their classes, and texts' tokens."""
+    for flat, lengths in _groups(texts, size):
+        found = v.look_up(flat)
+        cls = np.empty(len(flat), np.int64)
+        hot = found < _UNSEEN
+        cls[hot] = v.classes[found[hot]]
+        for i in np.flatnonzero(~hot).tolist():
+            cls[i] = rare_class(flat[i])
+        yield *_spread(found, lengths), cls, lengths, flat
+
+
+def survey(docs: DataFrame) -> DataFrame:
+    """One pass over ``docs``: w, c of every token, counted in the partitions first (h null), and each partition's least
+    hashes h of contexts (w null), in which words stand by their CRC-32."""
 
     def run(parts):
         seen: Counter = Counter()
+        least = np.zeros(0, np.int64)
         for d in parts:
-            for t in d["text"]:
-                seen.update(tokens(t))
+            for flat, lengths in _groups(d["text"], 4 * BATCH):
+                seen.update(flat)
+                ids, where = _spread(np.fromiter(map(zlib.crc32, flat), np.int64, len(flat)), lengths)
+                least = _least(least, contexts(ids)[:, where])
                 if len(seen) > 400_000:
-                    yield pd.DataFrame({"w": list(seen), "c": list(seen.values())})
+                    yield pd.DataFrame({"w": list(seen), "h": None, "c": list(seen.values())})
                     seen.clear()
-        yield pd.DataFrame({"w": list(seen), "c": list(seen.values())})
+        yield pd.DataFrame({"w": list(seen), "h": None, "c": list(seen.values())})
+        yield pd.DataFrame({"w": None, "h": least, "c": 1})
+
+    return docs.select("text").mapInPandas(run, "w binary, h long, c long").groupBy("w", "h").agg(F.sum("c").alias("c"))
 
-    return docs.select("text").mapInPandas(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
+
+def words_of(found: DataFrame) -> DataFrame:
+    return found.where("w is not null").select("w", "c")
+
+
+def count_tokens(docs: DataFrame) -> DataFrame:
+    """w, c of every token of ``docs``."""
+    return words_of(survey(docs))
 
 
 def hot_words(counts: DataFrame, limit: int = HOT) -> Vocabulary:
@@ -252,33 +283,45 @@ def hot_words(counts: DataFrame, limit: int = HOT) -> Vocabulary:
     return Vocabulary(words, c, np.maximum(mass, 0), int(total), int(distinct))
 
 
+def _least(least: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """The least hashes among ``least`` and those of contexts ``f``."""
+    h = f.ravel() * _K[1]
+    h = ((h ^ (h >> np.uint64(32))) * _K[3] >> np.uint64(1)).astype(np.int64)
+    if len(least) == KEPT:
+        h = h[h < least[-1]]
+    return np.unique(np.concatenate((least, h)))[:KEPT] if len(h) else least
+
+
+def contexts_of(found: DataFrame) -> int:
+    """About how many contexts are distinct, by all partitions' least hashes h; exact for few."""
+    rows = found.where("h is not null").select("h").distinct().orderBy("h").limit(KEPT).collect()
+    return len(rows) if len(rows) < KEPT else int((KEPT - 1) / ((rows[-1]["h"] + 1) / 2.0**63))
+
+
 def count_contexts(docs: DataFrame, v: Vocabulary) -> int:
-    """About how many contexts of ``docs`` are distinct, by their least hashes; exact for few."""
+    """About how many contexts of ``docs`` are distinct, in a pass of its own."""
     shared = docs.sparkSession.sparkContext.broadcast(v)
 
     def run(parts):
         least = np.zeros(0, np.int64)
         for d in parts:
             for ids, where, _, _, _ in _batches(d["text"], shared.value, 4 * BATCH):
-                h = contexts(ids)[:, where].ravel() * _K[1]
-                h = ((h ^ (h >> np.uint64(32))) * _K[3] >> np.uint64(1)).astype(np.int64)
-                if len(least) == KEPT:
-                    h = h[h < least[-1]]
-                least = np.unique(np.concatenate((least, h)))[:KEPT]
+                least = _least(least, contexts(ids)[:, where])
         yield pd.DataFrame({"h": least})
 
-    found = docs.select("text").mapInPandas(run, "h long").distinct().orderBy("h").limit(KEPT).collect()
+    n = contexts_of(docs.select("text").mapInPandas(run, "h long"))
     shared.unpersist()
-    return len(found) if len(found) < KEPT else int((KEPT - 1) / ((found[-1]["h"] + 1) / 2.0**63))
+    return n
 
 
 def table_rows(n_contexts: int) -> int:
     return max(ROWS, 1 << max(0, -(-n_contexts // PER_ROW) - 1).bit_length())
 
 
-def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model:
+def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, n_contexts: int | None = None) -> Model:
+    """``n_contexts``: how many contexts of ``docs`` are distinct, if a survey has told it."""
     spark = docs.sparkSession
-    model = Model(v, table_rows(count_contexts(docs, v)))
+    model = Model(v, table_rows(count_contexts(docs, v) if n_contexts is None else n_contexts))
     rows = len(model.by_class)
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(model)
@@ -373,7 +416,8 @@ def held_out(id_col: str = "doc_id"):
 def op5_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     training = docs.where(~held_out())
-    counts = materialize(count_tokens(training), "lm-counts")
+    found = materialize(survey(training), "lm-counts")
+    counts = words_of(found)
     v = hot_words(counts)
-    out = score(docs, train(training, v), counts)
+    out = score(docs, train(training, v, n_contexts=contexts_of(found)), counts)
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(v.total).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -190,6 +190,28 @@ def test_maxent_sees_the_third_word_and_grows(spark):
     assert maxent.count_contexts(docs.limit(2), v) < 40
 
 
+def test_maxent_counts_words_and_contexts_in_one_pass(spark, tmp_path, monkeypatch):
+    texts = [f"A{i} b{i % 7} c{i % 5} d" for i in range(4000)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    found = maxent.survey(docs)
+    counts = maxent.words_of(found)
+    want = Counter(w for t in texts for w in maxent.tokens(t))
+    assert {bytes(r.w): r.c for r in counts.collect()} == want
+    assert abs(maxent.contexts_of(found) / maxent.count_contexts(docs, maxent.hot_words(counts)) - 1) < 0.08
+    assert maxent.contexts_of(maxent.survey(docs.where("doc_id is null"))) == 0
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(maxent, "count_contexts", None)  # a second pass over the texts
+    assert maxent.op5_maxent(spark, str(tmp_path)).count() == len(texts)
+
+
+def test_maxent_rows_are_picked_and_summed_as_by_indexing():
+    g = np.random.default_rng(0)
+    table, picked = g.normal(size=(50, 8)).astype(np.float32), g.integers(0, 50, (4, 300))
+    assert np.array_equal(maxent.sum_rows(table, picked), ((table[picked[0]] + table[picked[1]]) + table[picked[2]]) + table[picked[3]])
+    which, n, total = maxent.segment_sums(picked[0] // 3, table[picked[1]])
+    assert np.allclose(total, [table[picked[1]][picked[0] // 3 == w].sum(axis=0) for w in which], atol=1e-4) and n.max() > 8
+
+
 def test_maxent_learns_context(spark):
     rows = [(i, " ".join(["alpha beta"] * 30 if i % 2 else ["gamma delta"] * 30)) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
