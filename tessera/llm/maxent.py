@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -51,6 +50,11 @@ END = b"\n"  # no word holds white space
 _BLOCK = 256
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _UNSEEN = 1 << 40  # ids of words outside the hot list begin here
+#: Bytes of texts laid out together, of words compared as two numbers, and bits of a place in their table.
+CHUNK, SHORT, PLACES = 1 << 19, 15, 19
+_INK = np.ones(256, bool)
+_INK[[9, 10, 11, 12, 13, 32]] = False
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -63,6 +67,62 @@ def rare_class(word: bytes) -> int:
     return FREQUENT + zlib.crc32(word[-2:]) % RARE
 
 
+class Table:
+    """Places of the words of up to SHORT bytes in a list, by all their bytes and their size as two numbers."""
+
+    def __init__(self, words: list[bytes]):
+        which = np.array([i for i, w in enumerate(words) if len(w) <= SHORT], np.int64)
+        self.keys = np.zeros((2, len(words) + 1), np.uint64)  # the last is no word's
+        if len(which):
+            raw = b"".join([words[i].ljust(SHORT, b"\0") + bytes([len(words[i])]) for i in which.tolist()])
+            self.keys[:, which] = np.frombuffer(raw, "<u8").reshape(-1, 2).T
+        self.slots = np.full(1 << max(PLACES, 2 + len(words).bit_length()), -1, np.int32)
+        at = self._slot(*self.keys[:, which])
+        while len(which):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = which[free]
+            lost = self.slots[at] != which
+            which, at = which[lost], (at[lost] + 1) & (len(self.slots) - 1)
+
+    def _slot(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+        return (mixed(k1, k2) >> np.uint64(65 - len(self.slots).bit_length())).view(np.int64)
+
+    def find(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+        """Places of words by their two numbers, -1 for those that are not in the list."""
+        at = self._slot(k1, k2)
+        out = self.slots.take(at)
+        left = np.flatnonzero((self.keys[0].take(out) != k1) | (self.keys[1].take(out) != k2))
+        while len(left := left[out[left] >= 0]):
+            at[left] = (at[left] + 1) & (len(self.slots) - 1)
+            out[left] = got = self.slots[at[left]]
+            left = left[(self.keys[0][got] != k1[left]) | (self.keys[1][got] != k2[left])]
+        return out.astype(np.int64)
+
+
+def mixed(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    h = k1 * _K[0] ^ k2 * _K[1]
+    h ^= h >> np.uint64(32)
+    h *= _K[2]
+    return h
+
+
+def split(texts: list[bytes]):
+    """The words of ``texts``: all bytes in lower case, where words begin and end in them, their two numbers (those of longer
+    words stand for a part of them), and how many words each text has."""
+    raw = b"\n".join(texts).lower() + b" " * 17
+    ink = _INK.take(np.frombuffer(raw, np.uint8))
+    edges = np.flatnonzero(ink[1:] != ink[:-1]) + 1
+    if ink[0]:
+        edges = np.concatenate(([0], edges))
+    first, last = edges[::2], edges[1::2]
+    n = last - first
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))  # eight bytes from each place on
+    k1 = eight[first] & _MASK.take(np.minimum(n, 8))
+    k2 = eight[first + 8] & _MASK.take(np.clip(n - 8, 0, 7)) | n.astype(np.uint64) << np.uint64(56)
+    words = np.searchsorted(first, np.cumsum([len(t) + 1 for t in texts]))
+    return raw, first, last, k1, k2, np.diff(words, prepend=0)
+
+
 class Vocabulary:
     """The hot words by falling count; the first FREQUENT * MEMBERS are modelled one by one."""
 
@@ -79,17 +139,33 @@ class Vocabulary:
         own[: min(n, len(words))] = self.counts[:n] + 0.5
         own = own.reshape(FREQUENT, MEMBERS)
         mass = np.concatenate((own.sum(axis=1), self.rare_mass))
+        self.table = Table(words)
         with np.errstate(divide="ignore"):
             self.class_bias = np.maximum(np.log(mass / mass.sum()), -60).astype(np.float32)
             self.word_bias = np.maximum(np.log(own / np.maximum(own.sum(axis=1, keepdims=True), 1e-9)), -60).astype(np.float32)
 
-    def look_up(self, words: list[bytes]) -> np.ndarray:
-        """Ids, with hashed ids for words outside the list."""
-        get, crc = self.ids.get, zlib.crc32
-        out = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-        for i in np.flatnonzero(out < 0).tolist():
-            out[i] = _UNSEEN + crc(words[i])
-        return out
+    def lay_out(self, texts: list[bytes]):
+        """Ids and classes of all tokens of ``texts``, the texts' tokens, and the places and words of those that are not hot,
+        whose ids are hashes."""
+        raw, first, last, k1, k2, words = split(texts)
+        found = self.table.find(k1, k2)
+        for i in np.flatnonzero(last - first > SHORT).tolist():
+            found[i] = self.ids.get(raw[first[i] : last[i]], -1)
+        lengths = words + 1
+        ends = np.cumsum(lengths) - 1
+        at = np.arange(len(found)) + np.repeat(np.arange(len(texts)), lengths - 1)
+        out = np.full(len(found) + len(texts), self.ids.get(END, -1), np.int64)
+        out[at] = found
+        unseen = np.flatnonzero(found < 0)
+        rare, where = [raw[a:b] for a, b in zip(first[unseen].tolist(), last[unseen].tolist(), strict=True)], at[unseen]
+        if END not in self.ids:
+            where = np.concatenate((where, ends))
+            order = np.argsort(where)
+            rare, where = [(rare[i] if i < len(rare) else END) for i in order.tolist()], where[order]
+        cls = self.classes.take(out, mode="clip") if len(self.classes) else np.zeros(len(out), np.int64)
+        out[where] = np.fromiter(map(zlib.crc32, rare), np.int64, len(rare)) + _UNSEEN
+        cls[where] = np.fromiter(map(rare_class, rare), np.int64, len(rare))
+        return out, cls, lengths, where, rare
 
 
 def contexts(ids: np.ndarray) -> np.ndarray:
@@ -130,13 +206,13 @@ def sum_rows(table: np.ndarray, picked: np.ndarray) -> np.ndarray:
     return out
 
 
-def softmax(scores: np.ndarray):
+def softmax(scores: np.ndarray, out: np.ndarray | None = None):
     """Exponentials and their sums by row; scores that would overflow are shifted in place first."""
-    e = np.exp(scores)
+    e = np.exp(scores, out=out)
     s = np.einsum("ij->i", e)
     if len(s) and not (np.isfinite(s).all() and s.min() > 1e-30):
         scores -= scores.max(axis=1, keepdims=True)
-        e = np.exp(scores)
+        e = np.exp(scores, out=out)
         s = np.einsum("ij->i", e)
     return e, s
 
@@ -179,12 +255,19 @@ class Model:
 
     def step(self, ids, f, cls, squares, touched) -> None:
         """One gradient step on a batch, with a rate for each row by the gradients it has seen."""
-        rows, z, own, member_rows, y = self.forward(f, cls)
-        (g, zs), (h, ys) = softmax(z), softmax(y)
-        g *= (-1 / zs)[:, None]
-        g[np.arange(len(ids)), cls] += 1
-        h *= (-1 / ys)[:, None]
-        h[np.arange(len(own)), ids[own] % MEMBERS] += 1
+        g = np.empty((len(ids), CLASSES), np.float32)
+        h = np.empty((np.count_nonzero(cls < FREQUENT), MEMBERS), np.float32)
+        rows, member_rows, b = [], [], 0
+        for a in range(0, len(ids), PART):
+            r, z, own, q, y = self.forward(f[:, a : a + PART], cls[a : a + PART])
+            u, w = g[a : a + PART], h[b : b + len(own)]
+            (_, zs), (_, ys) = softmax(z, u), softmax(y, w)
+            u *= (-1 / zs)[:, None]
+            u[np.arange(len(u)), cls[a : a + PART]] += 1
+            w *= (-1 / ys)[:, None]
+            w[np.arange(len(w)), ids[a + own] % MEMBERS] += 1
+            rows, member_rows, b = [*rows, r], [*member_rows, q], b + len(own)
+        rows, member_rows = np.concatenate(rows, axis=1), np.concatenate(member_rows, axis=1)
         for table, part, grad, seen, hit in ((self.by_class, rows, g, squares[0], touched[0]), (self.by_word, member_rows, h, squares[1], touched[1])):
             for r in part:
                 if not len(r):
@@ -198,19 +281,6 @@ class Model:
                 table[which] = total
 
 
-def _groups(texts, size: int):
-    """Groups of texts of about ``size`` tokens: all tokens, and how many each text has."""
-    group, n = [], 0
-    for t in texts:
-        group.append(tokens(t))
-        n += len(group[-1])
-        if n >= size:
-            yield list(chain.from_iterable(group)), np.array([len(t) for t in group])
-            group, n = [], 0
-    if group:
-        yield list(chain.from_iterable(group)), np.array([len(t) for t in group])
-
-
 def _spread(found: np.ndarray, lengths: np.ndarray):
     """Ids with pads before each text, and where the tokens are."""
     where = np.arange(len(found)) + PAD * np.repeat(np.arange(1, len(lengths) + 1), lengths)
@@ -220,32 +290,83 @@ def _spread(found: np.ndarray, lengths: np.ndarray):
 
 
 def _batches(texts, v: Vocabulary, size: int):
-    """Groups of texts of about ``size`` tokens: ids with pads, where the tokens are, their classes, and texts' tokens."""
-    for flat, lengths in _groups(texts, size):
-        found = v.look_up(flat)
-        cls = np.empty(len(flat), np.int64)
-        hot = found < _UNSEEN
-        cls[hot] = v.classes[found[hot]]
-        for i in np.flatnonzero(~hot).tolist():
-            cls[i] = rare_class(flat[i])
-        yield *_spread(found, lengths), cls, lengths, flat
+    """Groups of texts of about ``size`` tokens: ids with pads, where the tokens are, their classes, the texts' tokens, and
+    the words that are not hot."""
+    group, n = [], 0
+    for t in texts:
+        group.append((t or "").encode())
+        n += len(group[-1])
+        if n >= CHUNK:
+            group, n = (yield from _cut(group, v, size, False)), 0
+    if group:
+        yield from _cut(group, v, size, True)
+
+
+def _cut(texts: list[bytes], v: Vocabulary, size: int, whole: bool):
+    """The groups of ``texts``; those that do not fill one are returned, to be laid out with the texts that follow."""
+    found, cls, lengths, where, rare = v.lay_out(texts)
+    ends = np.cumsum(lengths)
+    i = a = 0
+    while i < len(texts):
+        j = int(np.searchsorted(ends, a + size)) + 1
+        if j > len(texts) and not whole and sum(map(len, texts[i:])) < CHUNK:
+            break
+        j = min(j, len(texts))
+        b = int(ends[j - 1])
+        x, y = np.searchsorted(where, (a, b))
+        yield *_spread(found[a:b], lengths[i:j]), cls[a:b], lengths[i:j], rare[x:y]
+        i, a = j, b
+    return texts[i:]
+
+
+def _chunks(texts):
+    """Lists of texts of about CHUNK bytes."""
+    group, n = [], 0
+    for t in texts:
+        group.append((t or "").encode())
+        n += len(group[-1])
+        if n >= CHUNK:
+            yield group
+            group, n = [], 0
+    if group:
+        yield group
 
 
 def survey(docs: DataFrame) -> DataFrame:
     """One pass over ``docs``: w, c of every token, counted in the partitions first (h null), and each partition's least
-    hashes h of contexts (w null), in which words stand by their CRC-32."""
+    hashes h of contexts (w null), in which words are known by hashes of their own."""
 
     def run(parts):
         seen: Counter = Counter()
         least = np.zeros(0, np.int64)
-        for d in parts:
-            for flat, lengths in _groups(d["text"], 4 * BATCH):
-                seen.update(flat)
-                ids, where = _spread(np.fromiter(map(zlib.crc32, flat), np.int64, len(flat)), lengths)
-                least = _least(least, contexts(ids)[:, where])
-                if len(seen) > 400_000:
-                    yield pd.DataFrame({"w": list(seen), "h": None, "c": list(seen.values())})
-                    seen.clear()
+        # words met before are counted in an array, by a table that is made anew after 1, 4, 16, ... chunks
+        words: list[bytes] = []
+        table, tally, chunks, renew = Table(words), np.zeros(0, np.int64), 0, 1
+        for texts in (x for d in parts for x in _chunks(d["text"])):
+            raw, first, last, k1, k2, n = split(texts)
+            found = table.find(k1, k2)
+            long = np.flatnonzero(last - first > SHORT)
+            found[long] = -1
+            tally += np.bincount(found[found >= 0], minlength=len(words))
+            new = np.flatnonzero(found < 0)
+            seen.update([raw[a:b] for a, b in zip(first[new].tolist(), last[new].tolist(), strict=True)])
+            seen[END] += len(texts)
+            h = mixed(k1, k2)
+            h[long] = [zlib.crc32(raw[first[i] : last[i]]) for i in long.tolist()]
+            ends = np.cumsum(n + 1) - 1
+            ids = np.full(len(h) + len(texts), zlib.crc32(END), np.int64)
+            ids[np.delete(np.arange(len(ids)), ends)] = h.view(np.int64)
+            ids, where = _spread(ids, n + 1)
+            least = _least(least, contexts(ids)[:, where])
+            chunks += 1
+            if chunks == renew:
+                seen.update(dict(zip(words, tally.tolist(), strict=True)))
+                words = [w for w, c in seen.items() if c > 1 and len(w) <= SHORT][:HOT]
+                table, tally, renew = Table(words), np.array([seen.pop(w) for w in words], np.int64), 4 * renew
+            if len(seen) > 400_000:
+                yield pd.DataFrame({"w": list(seen), "h": None, "c": list(seen.values())})
+                seen.clear()
+        seen.update(dict(zip(words, tally.tolist(), strict=True)))
         yield pd.DataFrame({"w": list(seen), "h": None, "c": list(seen.values())})
         yield pd.DataFrame({"w": None, "h": least, "c": 1})
 
@@ -285,8 +406,7 @@ def hot_words(counts: DataFrame, limit: int = HOT) -> Vocabulary:
 
 def _least(least: np.ndarray, f: np.ndarray) -> np.ndarray:
     """The least hashes among ``least`` and those of contexts ``f``."""
-    h = f.ravel() * _K[1]
-    h = ((h ^ (h >> np.uint64(32))) * _K[3] >> np.uint64(1)).astype(np.int64)
+    h = (f.ravel() >> np.uint64(1)).view(np.int64)  # contexts are hashes already
     if len(least) == KEPT:
         h = h[h < least[-1]]
     return np.unique(np.concatenate((least, h)))[:KEPT] if len(h) else least
@@ -379,20 +499,21 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         for d in parts:
             keys = iter(d["doc_id"])
             out = []
-            for ids, where, cls, lengths, flat in _batches(d["text"], v, 4 * BATCH):
+            for ids, where, cls, lengths, words in _batches(d["text"], v, 4 * BATCH):
                 found = ids[where]
                 f = contexts(ids)[:, where]
                 p = np.concatenate([m.log10(found[a : a + PART], f[:, a : a + PART], cls[a : a + PART]) for a in range(0, len(found), PART)])
                 hot = found < _UNSEEN
                 b = np.zeros(len(found))
                 b[hot] = v.base[found[hot]]
-                a = 0
+                a = x = 0
                 for n in lengths:
                     base += 1
                     s = slice(a, a + n)
-                    rare = Counter(flat[a + int(i)] for i in np.flatnonzero(~hot[s]))
-                    out.append((next(keys), base, int(n), int(hot[s].sum()), float(b[s].sum()), float(p[s].sum()), list(rare), list(rare.values())))
-                    a += n
+                    known = int(hot[s].sum())
+                    rare = Counter(words[x : x + int(n) - known])
+                    out.append((next(keys), base, int(n), known, float(b[s].sum()), float(p[s].sum()), list(rare), list(rare.values())))
+                    a, x = a + n, x + int(n) - known
             yield pd.DataFrame(out, columns=["doc_id", "key", "n_tokens", "n_hot", "hot_base", "part", "w", "tf"])
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, key long, n_tokens long, n_hot long, hot_base double, part double, w array<binary>, tf array<long>")

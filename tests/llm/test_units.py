@@ -1,6 +1,7 @@
 """The parts of the operators, one by one, and the stages of the pipeline."""
 
 import itertools
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -204,6 +205,26 @@ def test_maxent_counts_words_and_contexts_in_one_pass(spark, tmp_path, monkeypat
     assert maxent.op5_maxent(spark, str(tmp_path)).count() == len(texts)
 
 
+def test_maxent_lays_out_odd_words_as_a_dictionary_would(spark):
+    g = np.random.default_rng(1)
+    signs = ["a", "b", "\0", "é", "日", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "A", "Z", " "]
+    texts = ["".join(g.choice(signs, k)) for k in g.choice([0, 1, 5, 40, 300], 300)] + ["x" * k for k in range(1, 40)] + ["x" * 600_000, "y\0" * 9, "", None, " "]
+    docs = spark.createDataFrame([(t,) for t in [*texts, *texts[:99]]], "text string").coalesce(1)
+    want = Counter(w for t in [*texts, *texts[:99]] for w in maxent.tokens(t))
+    assert {bytes(r.w): r.c for r in maxent.count_tokens(docs).collect()} == want
+    for words in (sorted(want, key=lambda w: -want[w]), [maxent.END, b"xxx"], [b"a"], []):
+        v = maxent.Vocabulary(words, np.array([want[w] for w in words], np.int64), np.zeros(maxent.RARE), 1, 1)
+        for size in (1, 50, 4096):
+            every, place = iter(texts), 0
+            for ids, where, cls, lengths, rare in maxent._batches(texts, v, size):
+                flat = [w for _ in lengths for w in maxent.tokens(next(every))]
+                assert ids[where].tolist() == [v.ids.get(w, maxent._UNSEEN + zlib.crc32(w)) for w in flat]
+                assert cls.tolist() == [v.classes[v.ids[w]] if w in v.ids else maxent.rare_class(w) for w in flat]
+                assert rare == [w for w in flat if w not in v.ids] and lengths.sum() == len(flat)
+                place += len(lengths)
+            assert place == len(texts)
+
+
 def test_maxent_rows_are_picked_and_summed_as_by_indexing():
     g = np.random.default_rng(0)
     table, picked = g.normal(size=(50, 8)).astype(np.float32), g.integers(0, 50, (4, 300))
