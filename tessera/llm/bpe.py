@@ -8,9 +8,10 @@ memory with plan descriptions. Words of over ``LONG`` bytes are texts of pieces
 round merges all pairs of lowest rank at once, so their cost does not grow with the square of their length.
 
 The words of the corpus are counted, the ``hot`` most frequent ones (a documented bound) are folded once and sent to
-all tasks; tasks split texts, look words up, and leave gaps for other words, which are folded where they stand (a
-word that is not frequent stands in few places). Nothing but the word counts is shuffled. Decoding concatenates the
-binary pieces of the ids.
+all tasks; tasks split texts, look words up, and leave gaps for other words, which are folded once for each text they
+stand in (a word that is not frequent stands in few). Nothing but the word counts is shuffled. Decoding concatenates the
+binary pieces of the ids. Python's part goes by arrays: characters are classed by a table, classes tell where words
+begin, and words are counted and looked up as Arrow arrays, by all their bytes.
 
 Defined results: a null or empty text has no ids; its hash is that of the empty string. Repeated rows are
 encoded each. A word of any length is folded exactly. Other columns of the input are ignored.
@@ -19,21 +20,27 @@ encoded each. A word of any length is folded exactly. Other columns of the input
 from __future__ import annotations
 
 import base64
-from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from tessera.llm.common import in_order, materialize, plus, read, small_batches, trim
 
-#: Words folded once and sent to all tasks, and their length in characters, which bounds their size.
-HOT, HOT_CHARS = 1 << 18, 48
+#: Words folded once and sent to all tasks, their bytes in all, and the length of each in characters.
+HOT, HOT_BYTES, HOT_CHARS = 1 << 20, 1 << 25, 48
 #: Bytes of the longest word that is folded pair by pair.
 LONG = 256
 #: Different words a task holds before it hands its counts on.
-HELD = 1 << 18
+HELD = 1 << 19
+#: Bytes of texts, or of ids, that a task works on at a time.
+BATCH_BYTES = 1 << 22
+#: The split pattern that arrays stand for, and the classes of characters it tells apart.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LETTER, NUMBER, BLANK = 1, 2, 3
 #: Unicode's White_Space, which \\s means in the split pattern.
 SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Rank of pairs that make no piece, and the bits of a state's parts: place and piece.
@@ -200,59 +207,142 @@ def fold(word: Column, ranks: Ranks, table: Column) -> Column:
     return F.when(F.octet_length(word) <= LONG, _by_pairs(word, ranks, table)).otherwise(_by_rounds(word, ranks, table))
 
 
+def char_classes() -> np.ndarray:
+    """LETTER, NUMBER, BLANK (Unicode's White_Space) or 0 for every code point."""
+    import regex
+
+    chars = np.arange(0x110000, dtype="<u4")
+    chars = chars[(chars < 0xD800) | (chars >= 0xE000)].tobytes().decode("utf-32-le")
+    out = np.zeros(0x110000, np.uint8)
+    for kind, those in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, f"[{SPACE}]+")):
+        for m in regex.finditer(those, chars):
+            out[ord(chars[m.start()]) : ord(chars[m.end() - 1]) + 1] = kind
+    return out
+
+
+def _edges(raw: np.ndarray, ends: np.ndarray, classes: np.ndarray):
+    """Where the matches of ``SPLIT`` begin in ``raw``, the UTF-8 of texts that lie between ``ends``, and its size; and how
+    many begin before each of ``ends``. A match is a run of one class, with the blank before it; white space before more
+    text leaves its last character to what follows; an apostrophe that would be a match takes certain letters with it."""
+    c = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4")
+    n, place = len(c), None
+    if n < len(raw):
+        place = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        ends = np.searchsorted(place, ends)
+    kind = classes.take(c)
+    edge = np.zeros(n + 1, bool)  # of texts
+    edge[ends] = True
+    first = edge.copy()
+    first[1:n] |= kind[1:] != kind[:-1]
+    gap = np.flatnonzero((kind == BLANK) & first[1:])
+    gap = gap[~edge[gap + 1]]
+    first[gap] = True
+    first[gap[c[gap] == 0x20] + 1] = False
+    mark = np.flatnonzero((c == 0x27) & first[:n])
+    mark = mark[~edge[mark + 1]]
+    mark = mark[kind[mark + 1] == LETTER]
+    x, y = c[mark + 1], np.where(edge[mark + 2], 0, c.take(mark + 2, mode="clip"))
+    one = (x == ord("s")) | (x == ord("t")) | (x == ord("m")) | (x == ord("d"))
+    two = ((x == ord("r")) | (x == ord("v"))) & (y == ord("e")) | (x == ord("l")) & (y == ord("l"))
+    first[mark[one | two] + 1] = False
+    first[mark[one] + 2] = True
+    first[mark[two] + 3] = True
+    at = np.flatnonzero(first)
+    return at if place is None else place[at], np.searchsorted(at, ends)
+
+
+def _words(texts: pa.Array, pattern: str, classes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts (null: none) as one array, and how many come before each text and in all."""
+    if pattern != SPLIT:
+        import regex
+
+        find = regex.compile(pattern).findall
+        found = [find(t) if t else [] for t in texts.to_pylist()]
+        return pa.array([w for f in found for w in f], pa.string()), np.cumsum([0, *map(len, found)])
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    if ends[0] == ends[-1]:
+        return pa.array([], pa.string()), np.zeros(len(ends), np.int64)
+    data = texts.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0]))
+    at, n = _edges(np.frombuffer(data, np.uint8), ends - ends[0], classes)
+    return pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), data]), n
+
+
+def _some(batches, column: str):
+    """Batches cut into rows with about ``BATCH_BYTES`` of a column, or with one text longer than that; and that column."""
+    for b in batches:
+        if not len(b):
+            continue
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // BATCH_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(b)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            part = b.slice(i, j - i)
+            yield part, part.column(column)
+
+
+def _lists(ends: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+
+
 class Codec:
-    """Encoding and decoding by one rank file. ``pattern`` is a regular expression whose \\s is Unicode's."""
+    """Encoding and decoding by one rank file. ``pattern`` is a regular expression whose \\s is Unicode's; texts are split by
+    arrays if it is ``SPLIT``, match by match if it is another."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         ranks = load_ranks(path)
         if sorted(ranks.values()) != list(range(len(ranks))):
             raise ValueError("ranks must be 0..n-1")
-        self.pattern = pattern.replace(r"[^\s", "[^" + SPACE).replace(r"\s", "[" + SPACE + "]").replace(r"\S", "[^" + SPACE + "]")
+        self.pattern = pattern
+        if pattern != SPLIT:
+            self.pattern = pattern.replace(r"[^\s", "[^" + SPACE).replace(r"\s", "[" + SPACE + "]").replace(r"\S", "[^" + SPACE + "]")
         self.ranks = Ranks(spark, ranks)
-        self.pieces = [str(i) for i in range(len(ranks))], sorted(ranks, key=ranks.get)
+        self.pieces = spark.sparkContext.broadcast(pa.array(sorted(ranks, key=ranks.get), pa.binary()))
+        self.classes = spark.sparkContext.broadcast(char_classes())
         #: Words with their ids; pieces that are words need no fold.
-        self.known = spark.sparkContext.broadcast(self.ranks.words)
+        self.known = spark.sparkContext.broadcast((pa.array(list(self.ranks.words), pa.string()), pa.array(list(self.ranks.words.values()), pa.string())))
 
     def learn_hot(self, docs: DataFrame, text_col: str = "text", hot: int = HOT) -> Codec:
         """Count the words of the corpus and fold the most frequent ones once."""
-        pattern, known = self.pattern, self.known
+        pattern, known, classes = self.pattern, self.known, self.classes
         small_batches(docs.sparkSession)
 
         def count(batches):
-            import regex
-
-            find, seen = regex.compile(pattern).findall, Counter()
-
-            def rows():
-                some = [(w, n) for w, n in seen.items() if len(w) <= HOT_CHARS and w not in known.value]
-                return pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["w", "n"])
-
-            for b in batches:
-                for t in b.column(0).to_pylist():
-                    if t:
-                        seen.update(find(t))
-                    if len(seen) > HELD:
-                        yield rows()
-                        seen.clear()
-            yield rows()
-            seen.clear()
+            held, rows = [], 0
+
+            def summed():
+                return pa.concat_tables(held).group_by("w", use_threads=False).aggregate([("n", "sum")]).rename_columns(["w", "n"])
+
+            for _, texts in _some(batches, "text"):
+                n = pc.value_counts(_words(texts, pattern, classes.value)[0])
+                n = pa.table({"w": n.field("values"), "n": n.field("counts")})
+                n = n.filter(pc.and_(pc.less_equal(pc.utf8_length(n["w"]), HOT_CHARS), pc.invert(pc.is_in(n["w"], known.value[0]))))
+                held.append(n)
+                rows += len(n)
+                if rows > 2 * HELD:
+                    held = [summed()]
+                    if (rows := len(held[0])) > HELD:
+                        yield from held[0].to_batches(1 << 16)
+                        held, rows = [], 0
+            if held:
+                yield from summed().to_batches(1 << 16)
+            held = []
             trim()
 
         w = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "w string, n long")
         w = w.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
         # frequency classes, 16 to each doubling, so a cut at a number of words needs no sort and no large result
         w = materialize(w.withColumn("c", F.floor(16 * F.log2("n")).cast("int")), "bpe-words")
-        left, cut = hot, 0
-        for c, n in sorted(w.groupBy("c").count().collect(), reverse=True):
-            left -= n
-            if left < 0:
+        left, room, cut = hot, HOT_BYTES, 0
+        for c, n, size in sorted(w.groupBy("c").agg(F.count("*"), F.sum(F.octet_length("w"))).collect(), reverse=True):
+            left, room = left - n, room - size
+            if min(left, room) < 0:
                 cut = c + 1
                 break
         chosen = materialize(self.fold_words(w.where(F.col("c") >= cut).repartition(w.sparkSession.sparkContext.defaultParallelism).select("w")), "bpe-folded")
         # at most ``hot`` words of at most HOT_CHARS characters
-        found = chosen.toArrow()
-        words = dict(zip(found.column("w").to_pylist(), found.column("ids").to_pylist(), strict=True))
-        self.known = docs.sparkSession.sparkContext.broadcast(self.ranks.words | words)
+        found = chosen.toArrow().combine_chunks()
+        words, ids = (pa.chunked_array([own, *found.column(c).chunks]).combine_chunks() for c, own in zip(("w", "ids"), known.value, strict=True))
+        self.known = docs.sparkSession.sparkContext.broadcast((words, ids))
         return self
 
     def _folded(self, df: DataFrame, name: str, expr) -> DataFrame:
@@ -265,47 +355,60 @@ class Codec:
 
     def encode(self, docs: DataFrame, text_col: str = "text", name: str = "ids", keep_text: bool = True) -> DataFrame:
         """``docs`` with the ids of a text, joined by commas, and without the text if it is not to be kept."""
-        pattern, known = self.pattern, self.known
+        pattern, known, classes = self.pattern, self.known, self.classes
         kept = [c for c in docs.columns if keep_text or c != text_col]
-        schema = plus(plus(docs.select(*(f"`{c}`" for c in kept)).schema, "__ids", "string"), "__rare", ArrayType(StringType()))
+        schema = docs.select(*(f"`{c}`" for c in kept)).schema
+        for own, kind in (("__ids", "string"), ("__rare", ArrayType(StringType())), ("__at", ArrayType(IntegerType()))):
+            schema = plus(schema, own, kind)
         small_batches(docs.sparkSession)
 
         def run(batches):
-            import regex
-
-            find, have = regex.compile(pattern).findall, known.value.get
-            for b in batches:
-                ids, rare = [], []
-                for t in b.column(text_col).to_pylist():
-                    words = find(t) if t else []
-                    got = [have(w, "?") for w in words]
-                    rare.append([w for w, g in zip(words, got, strict=True) if g == "?"] if "?" in got else None)
-                    ids.append(",".join(got))
-                more = [pa.array(ids, pa.string()), pa.array(rare, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *more], [*kept, "__ids", "__rare"])
+            for b, texts in _some(batches, text_col):
+                words, ends = _words(texts, pattern, classes.value)
+                words = words.dictionary_encode()
+                codes = words.indices.to_numpy()
+                found = pc.index_in(words.dictionary, known.value[0])
+                ids = pc.fill_null(known.value[1].take(found), "?")
+                joined = pc.binary_join(_lists(ends, ids.take(words.indices)), ",")
+                # the different unknown words of each text, and which of them fills each gap
+                gaps = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False).take(codes)) if found.null_count else np.zeros(0, np.int64)
+                text = np.searchsorted(ends, gaps, "right") - 1
+                rare, which = np.unique(text << 32 | codes[gaps], return_inverse=True)
+                rows = np.arange(len(b) + 1)
+                starts = np.searchsorted(rare >> 32, rows)
+                at = _lists(np.searchsorted(text, rows), pa.array((which - starts[text]).astype(np.int32)))
+                more = [joined, _lists(starts, words.dictionary.take(pa.array(rare & 0xFFFFFFFF))), at]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *more], [*kept, "__ids", "__rare", "__at"])
             trim()
 
         split = docs.mapInArrow(run, schema)
 
         def filled(p: Column) -> Column:
-            made = F.concat(F.transform("__rare", lambda w: fold(w, self.ranks, p)), F.array(F.lit("")))
-            whole = F.array_join(F.zip_with(F.split("__ids", "\\?"), made, lambda a, b: F.concat(a, b)), "")
-            return F.when(F.col("__rare").isNull(), F.col("__ids")).otherwise(whole)
+            made = F.transform("__rare", lambda w: fold(w, self.ranks, p))
+            fills = _let(made, lambda m: F.concat(F.transform("__at", lambda i: F.get(m, i)), F.array(F.lit(""))))
+            whole = F.array_join(F.zip_with(F.split("__ids", "\\?"), fills, lambda a, b: F.concat(a, b)), "")
+            return F.when(F.size("__at") == 0, F.col("__ids")).otherwise(whole)
 
-        return self._folded(split, name, filled).drop("__ids", "__rare")
+        return self._folded(split, name, filled).drop("__ids", "__rare", "__at")
 
-    def decode(self, df: DataFrame, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
-        """``df`` with the bytes of ids joined by commas."""
-        pieces = dict(zip(*self.pieces, strict=True)) | {"": b""}
+    def decode(self, df: DataFrame, ids_col: str = "ids", name: str = "decoded", count: str = "n_tokens") -> DataFrame:
+        """``df`` with the number of ids, which are joined by commas, and their bytes."""
+        pieces = self.pieces
 
         def run(batches):
-            piece = pieces.__getitem__
-            for b in batches:
-                made = [b"".join(map(piece, t.split(","))) for t in b.column(ids_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], [*b.schema.names, name])
+            for b, ids in _some(batches, ids_col):
+                parts, void = pc.split_pattern(ids, ","), pc.equal(ids, "")
+                n = pc.subtract(pc.list_value_length(parts).cast(pa.int64()), void.cast(pa.int64()))
+                parts = pc.list_flatten(parts)
+                if pc.any(void).as_py():
+                    parts = parts.filter(pc.not_equal(parts, ""))
+                made = pieces.value.take(parts.cast(pa.int32()))
+                ends = np.frombuffer(made.buffers()[1], np.int32)[np.concatenate(([0], np.cumsum(n.to_numpy())))] if len(made) else np.zeros(len(b) + 1, np.int32)
+                whole = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(ends), made.buffers()[2] or pa.py_buffer(b"")])
+                yield pa.RecordBatch.from_arrays([*b.columns, n, whole], [*b.schema.names, count, name])
             trim()
 
-        return df.mapInArrow(run, plus(df.schema, name, "binary"))
+        return df.mapInArrow(run, plus(plus(df.schema, count, "long"), name, "binary"))
 
 
 def default_codec(spark: SparkSession) -> Codec:
@@ -317,10 +420,7 @@ def default_codec(spark: SparkSession) -> Codec:
 def encode_documents(docs: DataFrame, codec: Codec | None = None, keep_text: bool = True) -> DataFrame:
     """All columns of ``docs`` but an earlier n_tokens, ids or decoded; n_tokens, ids (joined by commas) and decoded bytes."""
     codec = codec or default_codec(docs.sparkSession).learn_hot(docs)
-    docs = docs.drop("n_tokens", "ids", "decoded")
-    ids = codec.encode(docs, keep_text=keep_text)
-    n = F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.translate("ids", ",", "")) + 1)
-    return codec.decode(ids.withColumn("n_tokens", n.cast("bigint")))
+    return codec.decode(codec.encode(docs.drop("n_tokens", "ids", "decoded"), keep_text=keep_text))
 
 
 def _digests():

@@ -458,3 +458,50 @@ def test_pipeline_stages(spark, nasty, empty):
                 assert [r.position for r in sorted(got, key=lambda r: r.position)] == list(range(len(before)))
                 assert [(r.doc_id, r.text) for r in sorted(got, key=lambda r: r.position)] == [(r.doc_id, r.text) for r in before]
             docs = out
+
+
+def test_splits_by_arrays_are_the_patterns(spark):
+    """Apostrophes, white space and scripts in every order, and texts that end within them."""
+    import pyarrow as pa
+    import tiktoken
+    import public_tokenizers as P
+
+    assert bpe.SPLIT == P.PATTERN
+    g, parts = np.random.default_rng(5), ["'", "'s", "'re", "'ll", "'l", "'S", "s", "t", "ve", "e", "l", " ", "  ", "\n", "\t", "　", "\x85", "\x1c", "1", "½", "é", "語", "😀", "́", ".", "''", "​", "r"]
+    texts = [None, "", *("".join(g.choice(parts, n)) for n in g.integers(1, 12, 6000)), None, ""]
+    by_match = bpe.SPLIT.replace(r"[^\s", "[^" + bpe.SPACE).replace(r"\s", "[" + bpe.SPACE + "]").replace(r"\S", "[^" + bpe.SPACE + "]")
+    for some in (texts, [t for t in texts if t and t.isascii()], [None, ""], []):
+        (a, n), (b, m) = (bpe._words(pa.array(some, pa.string()), p, bpe.char_classes()) for p in (bpe.SPLIT, by_match))
+        assert a.to_pylist() == b.to_pylist() and n.tolist() == m.tolist()
+        a, n = bpe._words(pa.array(some, pa.string()).slice(1, 700), bpe.SPLIT, bpe.char_classes())
+        assert ["".join(a[i:j].to_pylist()) for i, j in itertools.pairwise(n.tolist())] == [t or "" for t in some[1:701]]
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in bpe.encode_documents(rows).collect():
+        ids = enc.encode_ordinary(texts[r.doc_id] or "")
+        assert r.ids == ",".join(map(str, ids)) and r.n_tokens == len(ids) and bytes(r.decoded).decode() == (texts[r.doc_id] or "")
+
+
+def test_a_word_is_folded_once_a_text(spark):
+    """Unknown words that stand in a text again are handed on once, with the gaps they fill."""
+    codec = bpe.default_codec(spark)
+    df = spark.createDataFrame([(0, "qzxqv wqzk qzxqv qzxqv the wqzk"), (1, "the"), (2, None)], "doc_id long, text string")
+    folded, make = [], codec._folded
+    codec._folded = lambda d, *a: folded.append(d) or make(d, *a)
+    got = {r.doc_id: r.ids for r in codec.encode(df).collect()}
+    asked = {r.doc_id: (r["__rare"], r["__at"]) for r in folded[0].collect()}
+    assert asked == {0: (["qzxqv", " wqzk", " qzxqv"], [0, 1, 2, 2, 1]), 1: ([], []), 2: ([], [])} and got[2] == "" and got[1] == str(codec.ranks.words["the"])
+
+
+def test_batches_are_encoded_in_parts(spark):
+    """More bytes than a task works on at a time, with empty texts and unknown words in each part."""
+    import public_tokenizers as P
+    import tiktoken
+
+    texts = [None if i % 50 == 7 else "" if i % 50 == 8 else f"qzxqv{i} the end of it, wqzk " * (20_000 if i == 300 else 600) for i in range(900)]
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    assert sum(map(len, filter(None, texts))) > 2 * bpe.BATCH_BYTES
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in bpe.encode_documents(rows).collect():
+        ids = enc.encode_ordinary(texts[r.doc_id] or "")
+        assert r.ids == ",".join(map(str, ids)) and r.n_tokens == len(ids) and bytes(r.decoded).decode() == (texts[r.doc_id] or "")
